@@ -10,9 +10,9 @@ Steps:
 2. the signatures of the classes are cut into bands; equal bands make buckets;
 3. in each bucket every member is compared with one centre (never with every other member), on full
    shingle sets; what is linked joins components;
-4. while a bucket still holds several components, members outside its largest component are compared with
-   those of the other components. A pair in one component needs no test, so no link between different
-   components is ever lost, and groups of copies cost linear work;
+4. documents of buckets that still hold several components are joined once more by an exact prefix filter,
+   across components only, so that no link is lost where the centre of a bucket was the wrong one to ask;
+   groups of copies cost linear work, as two members of one component never meet;
 5. components come from min-label propagation with pointer jumping over tables in the shared folder.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is kept; texts of fewer
@@ -38,8 +38,9 @@ BANDS = 32
 #: Chance to miss a pair that is just as similar as the threshold.
 MISS = 1e-7
 #: Shingles of one verification block; a block holds a centre and some of its members.
-BLOCK_SHINGLES = 1 << 20
-STAR_ROUNDS = 2
+BLOCK_SHINGLES = 1 << 17
+#: Counters of shingle frequencies.
+SLOT_BITS = 18
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -190,6 +191,76 @@ def _tested(spark: SparkSession, docs: DataFrame, pairs: DataFrame, sizes: DataF
     return edges
 
 
+def _slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in it:
+        for t in batch.column("set").to_pylist():
+            counts += np.bincount((np.frombuffer(t, np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def _prefixes(percent: int, frequency: np.ndarray):
+    """Of each set the shingles that a partner must share one of, rare ones first: (token, doc_id, label, n, pos)."""
+    names = ["token", "doc_id", "label", "n", "pos"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            cols: list[list] = [[] for _ in names]
+            for doc, label, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "set")), strict=True):
+                s = np.frombuffer(t, np.uint64)
+                n = len(s)
+                keep = n - -(-percent * n // 100) + 1
+                order = np.lexsort((s, frequency[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:keep]
+                for col, v in zip(cols, (s[order].view(np.int64), np.full(keep, doc), np.full(keep, label), np.full(keep, n), np.arange(keep)), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in cols], names=names)
+
+    return run
+
+
+def _compare(percent: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _missed(spark: SparkSession, docs: DataFrame, open_docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components of open_docs (doc_id, label), found by an exact prefix-filter join.
+
+    Two linked sets share one of their first shingles in any common order. Ordered by rarity (counts in a
+    fixed number of slots), shingles that a whole group shares come last, so members of one group do not meet
+    through them; where they do, the bound on what can still overlap drops the pair inside the join.
+    """
+    sets = docs.join(open_docs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full_sets(width), "doc_id long, set binary")
+    sets = scratch.table(sets.join(open_docs, "doc_id"), "open-sets")
+    counted = sets.select("set").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << SLOT_BITS, np.int64)
+    frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    firsts = scratch.table(sets.mapInArrow(_prefixes(percent, frequency), "token long, doc_id long, label long, n long, pos long"), "prefixes")
+    x = firsts.select("token", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "label", "n", "pos")))
+    y = firsts.select("token", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "label", "n", "pos")))
+    need = f"({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent}"
+    fits = F.expr(
+        "label_x != label_y and (n_x < n_y or (n_x = n_y and doc_id_x < doc_id_y))"
+        f" and 100 * n_x >= {percent} * n_y"
+        f" and pos_x <= n_x - ({2 * percent} * n_x + {99 + percent}) div {100 + percent}"
+        f" and 1 + least(n_x - pos_x - 1, n_y - pos_y - 1) >= {need}"
+    )
+    pairs = x.join(y, (x["token"] == y["token"]) & fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    found = scratch.table(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"), "missed")
+    scratch.drop("open-sets", "prefixes")
+    return found
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -210,32 +281,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
     members = scratch.table(spread.join(shared, "key").select("key", "centre", "doc_id"), "members")
     pairs = members.where("doc_id != centre").select("centre", "doc_id").distinct()
     edges = _tested(spark, docs, pairs, sizes, width, percent, scratch, "r0")
-    done = scratch.spark.read.schema("centre long, doc_id long, nu long").parquet(f"{scratch.base}/r0-pairs").select("centre", "doc_id")
     labels = connected(spark, edges, scratch, "cc0")
-    for turn in range(1, 64):
-        named = members.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-        big = parts.groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("largest"))).alias("m"), F.count("*").alias("k"))
-        big = big.where("k > 1").select("key", F.col("m.largest").alias("largest"))
-        mixed = named.join(big, "key")
-        if turn < STAR_ROUNDS:  # one new centre for each part but the largest
-            centres = parts.join(big, "key").where("label != largest").select("key", F.col("first").alias("centre"), F.col("label").alias("own"))
-        else:
-            centres = mixed.where("label != largest").select("key", F.col("doc_id").alias("centre"), F.col("label").alias("own"))
-        pairs = mixed.join(centres, "key").where("label != own").select(F.least("centre", "doc_id").alias("x"), F.greatest("centre", "doc_id").alias("y")).distinct()
-        pairs = pairs.join(done.select(F.least("centre", "doc_id").alias("x"), F.greatest("centre", "doc_id").alias("y")), ["x", "y"], "left_anti").select(F.col("x").alias("centre"), F.col("y").alias("doc_id"))
-        pairs = scratch.table(pairs, f"new{turn}")
-        if pairs.isEmpty():
-            if turn >= STAR_ROUNDS:
-                break
-            continue
-        more = _tested(spark, docs, pairs, sizes, width, percent, scratch, f"r{turn}")
-        done = done.union(pairs)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = connected(spark, edges, scratch, f"cc{turn}")
-        elif turn >= STAR_ROUNDS:
-            break
+    named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    open_docs = scratch.table(named.join(mixed, "key", "left_semi").select("doc_id", "label").distinct(), "open")
+    more = _missed(spark, docs, open_docs, width, percent, scratch)
+    if not more.isEmpty():
+        labels = connected(spark, edges.union(more), scratch, "cc1")
     rep_of = reps.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(rep_of, "digest", "left")
     component = F.coalesce("component", "doc_id")
