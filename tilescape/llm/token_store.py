@@ -25,7 +25,11 @@ other, told apart by uid; a null doc_id comes first; extra columns are ignored;
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,45 +46,104 @@ WINDOW = 8
 MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 #: Segments remembered by a Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+_OTHER_WHITE = re.compile(r"[^\S \n]")
 
 STORE = "part int, doc_id long, uid long, n_tokens long, local_start long, digests array<binary>, lens array<int>, held array<int>, shared array<int>, data binary, leaf binary"
 
 
+class _Pieces(dict):
+    """Packed ids of pieces (letters, signs or a line feed, with or without a space before) that the pre-tokenizer
+    would part there too. They go straight to the merges of the vocabulary."""
+
+    def __init__(self, tokenizer, pack: Callable[[list[int]], bytes]) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenize, self.pack = tokenizer.model.tokenize, pack
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level alphabet of the characters that pieces are made of
+        self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in " \n" + "".join(map(chr, range(0x21, 0x7F))) + "".join(map(chr, range(0xC0, 0x100)))}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.pack([t.id for t in self.tokenize(piece.translate(self.table))])
+        return out
+
+
+class _Segments(dict):
+    """Packed ids of segments that follow a space, learned from the library when first asked for."""
+
+    _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    _SPLIT = re.compile(rf"[{_LETTERS}]+|[.,;:!?#%&$*|]+|\n(?=[{_LETTERS}])").findall
+
+    def __init__(self, tokenizer, pack: Callable[[list[int]], bytes]) -> None:
+        self.encode, self.pack = tokenizer.encode, pack
+        self.pieces = _Pieces(tokenizer, pack)
+        # trust the short way only if it gives what the library gives
+        probe = " naïve,\nword one."
+        self.direct = b"".join(self.pieces[x] for x in (" naïve", ",", "\n", "word", " one", ".")) == pack(self.encode(probe, add_special_tokens=False).ids)
+
+    def __missing__(self, segment: str) -> bytes:
+        parts = self._SPLIT(segment) if self.direct else []
+        if segment and len(parts) == 1 and parts[0] == segment:
+            out = self.pieces[f" {segment}"]
+            del self.pieces[f" {segment}"]  # kept here
+        elif parts and "".join(parts) == segment:
+            pieces = self.pieces
+            head = f" {parts[0]}" if parts[0] != "\n" else None
+            if head is None:
+                out = self.pack(self.encode(f" {segment}", add_special_tokens=False).ids)
+            else:
+                out = (self[parts[0]] if parts[0][0].isalpha() else pieces[head]) + b"".join([pieces[p] for p in parts[1:]])
+        else:
+            out = self.pack(self.encode(f" {segment}", add_special_tokens=False).ids)
+        self[segment] = out
+        return out
+
+    def forget(self) -> None:
+        self.clear()
+        self.pieces.clear()
+
+
 class Encoder:
-    """Ids of texts as packed bytes, by the tokenizers library."""
+    """Ids of texts as packed bytes, by the tokenizers library. Byte-level vocabularies are encoded by segment."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if code == "H" else "<u4")
+        self.pack = lambda ids: array(code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        pre = made.get("pre_tokenizer") or {}
+        self.by_segment = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.segments = _Segments(self.tokenizer, self.pack)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def segment(self, text: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = self.known[text] = self.whole(text)
-        return out
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if not self.by_segment or any(s in text for s in self.special):
             return self.whole(text)
-        parts = text.split(" ")
-        segments = []
-        for at, p in enumerate(parts):
-            s = f" {p}" if at else p
-            # not a safe place to cut: white space at either side of the space
-            if at and (not p or p[0].isspace() or not parts[at - 1] or parts[at - 1][-1].isspace()):
-                segments[-1] += s
+        if len(self.segments) > REMEMBERED:
+            self.segments.forget()
+        first, *rest = text.split(" ")
+        if "  " in text or "\n " in text or " \n" in text or _OTHER_WHITE.search(text):
+            # white space at either side of a space: there is no safe place to cut
+            first, rest = self._joined(first, rest)
+        return self.whole(first) + b"".join(map(self.segments.__getitem__, rest))
+
+    @staticmethod
+    def _joined(first: str, rest: list[str]) -> tuple[str, list[str]]:
+        out, before = [first], first
+        for p in rest:
+            if p and before and not p[0].isspace() and not before[-1].isspace():
+                out.append(p)
             else:
-                segments.append(s)
-        known = self.known
-        return b"".join([known[s] if s in known else self.segment(s) for s in segments])
+                out[-1] += f" {p}"
+            before = p
+        return out[0], out[1:]
 
 
 @lru_cache(maxsize=2)
