@@ -79,7 +79,7 @@ def mix(scratch: Scratch, docs: DataFrame, *, weights: tuple[int, ...] = (3, 1,
             taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
         else:
             taken = F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
-        finish = (start + F.col("size")) / F.col("target")
+        finish = F.try_divide((start + F.col("size")).cast("double"), F.col("target"))
         out = out.withColumn(f"finish_{turn}", finish).withColumn(f"taken_{turn}", taken)
     return out.select("doc_id", "source", "size", "source_size", "target", *[f"{c}_{t}" for c in ("finish", "taken") for t in range(most)])
 

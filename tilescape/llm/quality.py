@@ -1,7 +1,8 @@
 """Quality rules: base counts, and the Jensen-Shannon distance of a document to its language's references.
 
-A language's references are counted over all of its documents: the shares of byte classes (letters, digits,
-white space, punctuation, symbols, ...) and the shares of its most frequent words plus one share for the rest.
+A language's references are counted over all of its documents: the median share of each byte class (letters,
+digits, white space, punctuation, symbols, ...), which junk cannot move until it is half of the documents, and the
+shares of its most frequent words plus one share for the rest.
 A document's distances (base 2, 0 to 1) to them are judged only from a minimum length on; short texts pass.
 
 Defined results: a null or empty text has counts of 0 and fails the base rule (fewer than 20 words); a null or
@@ -42,6 +43,8 @@ _CLASS = _classes()
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _POINT = ~((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))
+#: Steps of a share of a byte class when documents are counted by it.
+STEPS = 200
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
 
 
@@ -51,7 +54,7 @@ class Rules:
 
     common_words: int = 64
     max_languages: int = 256
-    min_chars: int = 300
+    min_chars: int = 200
     max_char_distance: float = 0.31
     min_words: int = 50
     max_word_distance: float = 0.44
@@ -119,7 +122,8 @@ class Reference:
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
     words: dict[str, Counter] = defaultdict(Counter)
-    chars: dict[str, np.ndarray] = {}
+    chars: Counter = Counter()
+    totals: Counter = Counter()
 
     def out(kind: int, rows: list[tuple[str, bytes, int]]) -> pa.RecordBatch:
         lang, key, n = zip(*rows, strict=True)
@@ -129,9 +133,11 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, t in zip(batch.column("lang").to_pylist(), raw(batch), strict=True):
             if lang is None or not t:
                 continue
-            words[lang].update(t.lower().split())
+            split = t.lower().split()
+            words[lang].update(split)
+            totals[lang] += len(split)
             c = class_counts(byte_counts(t))
-            chars[lang] = chars[lang] + c if lang in chars else c
+            chars.update((lang, k, b) for k, b in enumerate(np.rint(STEPS * c / c.sum()).astype(int).tolist()))
         if sum(map(len, words.values())) > HELD_WORDS:
             for lang, c in words.items():
                 if c:
@@ -140,28 +146,36 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, c in words.items():
         if c:
             yield out(1, [(lang, w, n) for w, n in c.items()])
-    if rows := [(lang, bytes([k]), int(n)) for lang, c in chars.items() for k, n in enumerate(c)]:
-        yield out(0, rows)
+    if chars:
+        yield out(0, [(lang, bytes([k, b]), n) for (lang, k, b), n in chars.items()])
+    if totals:
+        yield out(2, [(lang, b"", n) for lang, n in totals.items()])
 
 
 def references(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
     """The references of every language, counted over all documents. At most max_languages of them, the largest,
-    come to the driver, each with len(CLASSES) + common_words numbers: a size that does not grow with the corpus."""
+    come to the driver, each with at most len(CLASSES) * (STEPS + 1) + common_words + 1 numbers, whatever the corpus."""
     bound_batches(spark)
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_counts, "lang string, kind int, key binary, n long")
     summed = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    top = summed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rules.common_words)
-    totals = counted.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(rules.max_languages)
+    top = summed.withColumn("r", F.row_number().over(best)).where((F.col("kind") != 1) | (F.col("r") <= rules.common_words)).drop("r")
+    top = top.withColumn("total", F.max(F.when(F.col("kind") == 2, F.col("n"))).over(Window.partitionBy("lang")))
+    largest = top.orderBy(F.desc("total"), "lang").limit(rules.max_languages * (rules.common_words + len(CLASSES) * (STEPS + 1) + 1))
     out: dict[str, Reference] = {}
-    totals_of = {r["lang"]: int(r["total"]) for r in totals.collect()}
+    totals_of: dict[str, int] = {}
     rows = defaultdict(list)
-    for r in top.where(F.col("lang").isin(list(totals_of))).collect() if totals_of else []:
-        rows[r["lang"], r["kind"]].append((bytes(r["key"]), int(r["n"])))
+    for r in largest.collect():
+        if r["total"] and (r["lang"] in totals_of or len(totals_of) < rules.max_languages):
+            totals_of[r["lang"]] = int(r["total"])
+            rows[r["lang"], r["kind"]].append((bytes(r["key"]), int(r["n"])))
     for lang, total in totals_of.items():
-        chars = np.zeros(len(CLASSES))
+        bins = np.zeros((len(CLASSES), STEPS + 1), np.int64)
         for key, n in rows[lang, 0]:
-            chars[key[0]] = n
+            bins[key[0], key[1]] = n
+        upto = bins.cumsum(axis=1)
+        chars = (2 * upto >= upto[:, -1:]).argmax(axis=1).astype(float)
+        chars = chars if chars.sum() else np.ones(len(CLASSES))
         common = sorted(rows[lang, 1], key=lambda x: (-x[1], x[0]))
         shares = np.array([n for _, n in common] + [total - sum(n for _, n in common)], float)
         out[lang] = Reference(chars, {w: i for i, (w, _) in enumerate(common)}, shares)

@@ -46,7 +46,7 @@ WINDOW = 8
 MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 #: Segments remembered by a Python worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 _OTHER_WHITE = re.compile(r"[^\S \n]")
 
 STORE = "part int, doc_id long, uid long, n_tokens long, local_start long, digests array<binary>, lens array<int>, held array<int>, shared array<int>, data binary, leaf binary"
