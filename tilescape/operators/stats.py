@@ -44,34 +44,39 @@ def std_sigmoid(scores: DataFrame, value: str = "value") -> DataFrame:
     return scores.crossJoin(F.broadcast(stats)).withColumn("scaled", 1.0 / (1.0 + F.exp(-z))).drop("mean", "std")
 
 
-def covariance_pairs(features: DataFrame, dims: int) -> DataFrame:
-    """Population covariance of the first ``dims`` dimensions, upper triangle, from one scan of sums."""
-    sums = [F.sum(F.get("features", F.lit(i))).alias(f"s{i}") for i in range(dims)]
-    products = [F.sum(F.get("features", F.lit(i)) * F.get("features", F.lit(j))).alias(f"p{i}_{j}") for i in range(dims) for j in range(i, dims)]
-    one = features.agg(F.count("*").alias("n"), *sums, *products)
-    cell = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(f"p{i}_{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * (F.col(f"s{j}") / F.col("n"))).alias("covariance"))
-    return one.select(F.explode(F.array(*[cell(i, j) for i in range(dims) for j in range(i, dims)])).alias("c")).select("c.*")
+def gram_table(features: DataFrame) -> DataFrame:
+    """(r, c, n, v): row 0 the sums of all dimensions, row i + 1 those of their products with dimension i.
 
-
-def gram(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, sums and X'X of all features: one D x D partial a partition, added up in a tree of Spark tasks."""
+    One D x D partial a partition, added up by Spark: the shuffle has D * (D + 1) rows a partition, whatever the rows.
+    """
 
     def partial(it):
-        total, product, n = None, None, 0
+        total, n = None, 0
         for batch in it:
-            x = np.stack(batch.column("features").to_pylist()).astype(np.float64) if batch.num_rows else None
-            if x is None:
-                continue
-            total = x.sum(0) if total is None else total + x.sum(0)
-            product = x.T @ x if product is None else product + x.T @ x
-            n += len(x)
+            if batch.num_rows:
+                x = np.array(batch.column("features").to_pylist(), dtype=np.float64)
+                part = np.vstack([x.sum(0), x.T @ x])
+                total = part if total is None else total + part
+                n += len(x)
         if n:
-            rows = np.vstack([total, product])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), n, np.int64)), pa.array(list(rows), pa.list_(pa.float64()))], names=["r", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.full(len(total), n, np.int64)), pa.array(list(total), pa.list_(pa.float64()))], names=["r", "n", "v"])
 
     parts = features.select("features").mapInArrow(partial, "r int, n long, v array<double>")
-    summed = parts.select("r", "n", F.posexplode("v").alias("c", "v")).groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    table = summed.toArrow()
+    return parts.select("r", "n", F.posexplode("v").alias("c", "v")).groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+
+
+def covariance_pairs(features: DataFrame) -> DataFrame:
+    """(i, j, covariance) of the population, upper triangle."""
+    g = gram_table(features)
+    sums = g.where("r = 0")
+    left, right = sums.select(F.col("c").alias("i"), (F.col("v") / F.col("n")).alias("mi")), sums.select(F.col("c").alias("j"), (F.col("v") / F.col("n")).alias("mj"))
+    products = g.where("r > 0").select((F.col("r") - 1).alias("i"), F.col("c").alias("j"), (F.col("v") / F.col("n")).alias("p")).where("i <= j")
+    return products.join(left, "i").join(right, "j").select("i", "j", (F.col("p") - F.col("mi") * F.col("mj")).alias("covariance"))
+
+
+def gram(features: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, sums and X'X of all features, on the driver: D * (D + 1) numbers."""
+    table = gram_table(features).toArrow()
     if not table.num_rows:
         return 0, np.zeros(0), np.zeros((0, 0))
     r, c, v = (table.column(x).to_numpy() for x in ("r", "c", "v"))

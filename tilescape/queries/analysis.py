@@ -38,9 +38,9 @@ def std_sigmoid(spark, d):
     return stats.std_sigmoid(scores(spark, d)).select("tile_id", F.round("scaled", 6).alias("scaled"))
 
 
-@query(f"WITH {TILES}, ix AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 7)) AS i), (SELECT unnest(generate_series(0, 7)) AS j) WHERE i <= j) SELECT i, j, round(avg(features[i+1] * features[j+1]) - avg(features[i+1]) * avg(features[j+1]), 6) + 0.0 AS covariance FROM tiles, ix GROUP BY i, j")
+@query(f"WITH {TILES}, ix AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 63)) AS i), (SELECT unnest(generate_series(0, 63)) AS j) WHERE i <= j) SELECT i, j, round(avg(features[i+1] * features[j+1]) - avg(features[i+1]) * avg(features[j+1]), 6) + 0.0 AS covariance FROM tiles, ix GROUP BY i, j")
 def covariance_pairs(spark, d):
-    c = stats.covariance_pairs(tiles(spark, d), 8)
+    c = stats.covariance_pairs(tiles(spark, d))
     return c.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.round("covariance", 6) + 0.0).alias("covariance"))
 
 

@@ -74,9 +74,6 @@ def mpp_compat_check(spark, d):
     return slides(spark, d).select("slide_id", mpp.alias("mpp"), (F.abs(mpp - 0.5) / 0.5 > 0.1).alias("mismatch"))
 
 
-LISTED = FILES + ", listed AS (SELECT *, (id % 40)::VARCHAR AS stem_ FROM files)"
-
-
 @query(f"WITH {FILES}, p AS (SELECT directory, (id % 40)::VARCHAR AS stem, path, CASE {EXT} WHEN '.ndpi' THEN 0 WHEN '.svs' THEN 1 WHEN '.tif' THEN 2 WHEN '.jpg' THEN 11 END AS priority FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY directory, stem ORDER BY priority, path) AS rn FROM p WHERE priority IS NOT NULL) SELECT directory, stem, priority::BIGINT AS priority FROM r WHERE rn = 1")
 def sibling_lookup(spark, d):
     f = files(spark, d).select("directory", (F.col("id") % 40).cast("string").alias("stem"), "path", paths.sibling_priority(F.col("path")).alias("priority"))
@@ -84,12 +81,12 @@ def sibling_lookup(spark, d):
     return best.select("directory", "stem", paths.sibling_priority(F.col("path")).cast("long").alias("priority"))
 
 
-@query(f"WITH {FILES} SELECT path, is_dir, (row_number() OVER (ORDER BY is_dir DESC, path))::BIGINT AS position FROM files WHERE id < 200")
+@query(f"WITH {FILES} SELECT directory, path, is_dir, (row_number() OVER (PARTITION BY directory ORDER BY is_dir DESC, path))::BIGINT AS position FROM files")
 def listing_sort(spark, d):
     from pyspark.sql import Window
 
-    some = files(spark, d).where("id < 200")  # one folder's listing
-    return some.select("path", "is_dir", F.row_number().over(Window.orderBy(F.desc("is_dir"), "path")).cast("long").alias("position"))
+    order = Window.partitionBy("directory").orderBy(F.desc("is_dir"), "path")
+    return files(spark, d).select("directory", "path", "is_dir", F.row_number().over(order).cast("long").alias("position"))
 
 
 @query(f"WITH {FILES}, t AS (SELECT directory, CASE WHEN is_dir THEN 'directory' WHEN {EXT} IN ('.ndpi', '.svs') THEN 'wsi' WHEN {EXT} = '.h5' THEN 'hdf5' WHEN {EXT} IN ('.bmp', '.gif', '.icns', '.ico', '.jpg', '.jpeg', '.png', '.tif', '.tiff') THEN 'image' ELSE 'other' END AS type, id % 16 AS selection FROM files) SELECT directory, selection, CASE WHEN count(DISTINCT type) > 1 THEN 'mix' ELSE any_value(type) END AS kind FROM t GROUP BY directory, selection")

@@ -10,6 +10,8 @@ from tilescape.queries.adapters import LEVELS, PAGES, PIXELS, SLIDES, TILES, Reg
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
+#: Tile size of the deep-zoom queries; the SQL has it too.
+DZI_SIZE = 1024
 
 DISCOVERED = PAGES + """, fit AS (SELECT *, first_value(width) OVER w AS bw, first_value(height) OVER w AS bh FROM pages_ WHERE width >= 100 AND height >= 100 AND channels = 3 WINDOW w AS (PARTITION BY slide_id ORDER BY page_index)),
 ds AS (SELECT *, bw / width AS downsample FROM fit), flagged AS (SELECT *, coalesce(abs(width / height - bw / bh) > 0.1 OR downsample / lag(downsample) OVER (PARTITION BY slide_id ORDER BY page_index) > 3.0, abs(width / height - bw / bh) > 0.1) AS bad FROM ds),
@@ -86,7 +88,7 @@ def batch_assignment(spark, d):
 
 DZI = SLIDES + """, tops AS (SELECT *, ceil(log2(greatest(width, height)))::BIGINT AS max_level FROM slides), lv AS (SELECT *, unnest(generate_series(0, max_level)) AS level FROM tops),
 dz AS (SELECT *, (1::BIGINT << (max_level - level)::INT) AS scale FROM lv), dzl AS (SELECT *, (width + scale - 1) // scale AS level_width, (height + scale - 1) // scale AS level_height FROM dz),
-dzi AS (SELECT *, (level_width + 255) // 256 AS cols, (level_height + 255) // 256 AS rows FROM dzl)"""
+dzi AS (SELECT *, (level_width + 1023) // 1024 AS cols, (level_height + 1023) // 1024 AS rows FROM dzl)"""
 
 
 @query(f"WITH {DZI} SELECT slide_id, max_level FROM tops")
@@ -96,15 +98,15 @@ def dzi_max_level(spark, d):
 
 @query(f"WITH {DZI} SELECT slide_id, level, scale, level_width, level_height, cols, rows FROM dzi")
 def dzi_level_info(spark, d):
-    out = G.dzi_levels(slides(spark, d))
+    out = G.dzi_levels(slides(spark, d), DZI_SIZE)
     return out.select("slide_id", F.col("level").cast("long").alias("level"), "scale", "level_width", "level_height", "cols", "rows")
 
 
-DZI_TILES = DZI + ", dt AS (SELECT *, unnest(generate_series(0, cols - 1)) AS col FROM (SELECT *, unnest(generate_series(0, rows - 1)) AS row FROM dzi WHERE level <= 11))"
+DZI_TILES = DZI + ", dt AS (SELECT *, unnest(generate_series(0, cols - 1)) AS col FROM (SELECT *, unnest(generate_series(0, rows - 1)) AS row FROM dzi))"
 
 
 def _dzi_tiles(spark, d):
-    return G.dzi_tiles(G.dzi_levels(slides(spark, d)).where("level <= 11"))
+    return G.dzi_tiles(G.dzi_levels(slides(spark, d), DZI_SIZE))
 
 
 @query(f"WITH {DZI_TILES} SELECT slide_id, level, col, row FROM dt")
@@ -116,20 +118,20 @@ def dzi_tile_plan(spark, d):
     f"""WITH {DZI_TILES}, native AS (SELECT slide_id AS s, ordinal, downsample FROM levels_), levels_ AS (SELECT slide_id, o AS ordinal, ds AS downsample FROM slides, (VALUES (0::BIGINT, 1.0::DOUBLE), (1, 4.0), (2, 16.0), (3, 64.0)) l(o, ds)),
 pick AS (SELECT t.*, ordinal, downsample, row_number() OVER (PARTITION BY t.slide_id, level, col, row ORDER BY abs(downsample - scale), ordinal) AS rn FROM dt t JOIN native ON s = t.slide_id),
 r AS (SELECT *, CASE WHEN col > 0 THEN 1 ELSE 0 END AS ml, CASE WHEN row > 0 THEN 1 ELSE 0 END AS mt FROM pick WHERE rn = 1),
-q AS (SELECT *, least(col * 256 + 257, level_width) - col * 256 + ml AS tw, least(row * 256 + 257, level_height) - row * 256 + mt AS th FROM r)
-SELECT slide_id, level, col, row, ordinal AS native_level, floor((col * 256 * scale - ml * scale) / downsample)::BIGINT AS read_x, floor((row * 256 * scale - mt * scale) / downsample)::BIGINT AS read_y,
+q AS (SELECT *, least(col * 1024 + 1025, level_width) - col * 1024 + ml AS tw, least(row * 1024 + 1025, level_height) - row * 1024 + mt AS th FROM r)
+SELECT slide_id, level, col, row, ordinal AS native_level, floor((col * 1024 * scale - ml * scale) / downsample)::BIGINT AS read_x, floor((row * 1024 * scale - mt * scale) / downsample)::BIGINT AS read_y,
 floor(tw * scale / downsample)::BIGINT AS read_width, floor(th * scale / downsample)::BIGINT AS read_height, tw::BIGINT AS tile_width, th::BIGINT AS tile_height, abs(downsample - scale) > 0.01 AS resize FROM q""".replace(
         "native AS (SELECT slide_id AS s, ordinal, downsample FROM levels_), levels_ AS", "levels_ AS"
     ).replace("pick AS", "native AS (SELECT slide_id AS s, ordinal, downsample FROM levels_), pick AS")
 )
 def dzi_tile_rects(spark, d):
-    out = G.dzi_rects(_dzi_tiles(spark, d), levels(spark, d), overlap=1)
+    out = G.dzi_rects(_dzi_tiles(spark, d), levels(spark, d), DZI_SIZE, overlap=1)
     return out.withColumn("level", F.col("level").cast("long"))
 
 
 @query(f"WITH {DZI} SELECT slide_id, sum(cols * rows)::BIGINT AS tiles FROM dzi GROUP BY slide_id")
 def dzi_tile_totals(spark, d):
-    return G.dzi_levels(slides(spark, d)).groupBy("slide_id").agg(F.sum(F.col("cols") * F.col("rows")).alias("tiles"))
+    return G.dzi_levels(slides(spark, d), DZI_SIZE).groupBy("slide_id").agg(F.sum(F.col("cols") * F.col("rows")).alias("tiles"))
 
 
 @query(

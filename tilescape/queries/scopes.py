@@ -74,10 +74,10 @@ def nan_guard(spark, d):
     return t.groupBy("slide_id").agg(F.max(has_nan(F.col("features"))).alias("rejected"))
 
 
-@query(f"WITH {TILES} SELECT slide_id, tile_id, round(features[1], 6) AS f0 FROM tiles WHERE slide_id = 0 UNION ALL SELECT slide_id, tile_id, round(features[1], 6) FROM tiles WHERE slide_id = 2")
+@query(f"WITH {TILES} SELECT slide_id, tile_id, round(features[1], 6) AS f0 FROM tiles")
 def multi_slide_union(spark, d):
     one = lambda s: tiles(spark, d).where(F.col("slide_id") == s).select(*S.KEYS, F.round(F.col("features")[0], 6).alias("f0"))
-    return one(0).unionByName(one(2))
+    return one(0).unionByName(one(1)).unionByName(one(2))
 
 
 @query(f"WITH {TILES}, ns AS (SELECT DISTINCT slide_id, 'ns' || (label % 4) AS namespace FROM tiles WHERE NOT (slide_id = 1 AND label % 4 = 2)) SELECT namespace FROM ns WHERE namespace != 'ns0' GROUP BY namespace HAVING count(*) = (SELECT count(DISTINCT slide_id) FROM ns)")

@@ -49,9 +49,9 @@ def output_path_rule(spark, d):
     return files(spark, d).select("id", paths.output_path(F.col("path"), ns, F.lit("plot.jpg")).alias("output"))
 
 
-@query(f"WITH {FILES} SELECT directory, CASE WHEN count(*) = 1 THEN 'default' ELSE string_agg(translate(regexp_replace(split_part(path, '/', -1), '^(.+)\\.[^.]+$', '\\1'), '+/', '__'), '+' ORDER BY translate(regexp_replace(split_part(path, '/', -1), '^(.+)\\.[^.]+$', '\\1'), '+/', '__')) END AS namespace FROM files WHERE id < 60 GROUP BY directory")
+@query(f"WITH {FILES} SELECT directory, CASE WHEN count(*) = 1 THEN 'default' ELSE string_agg(translate(regexp_replace(split_part(path, '/', -1), '^(.+)\\.[^.]+$', '\\1'), '+/', '__'), '+' ORDER BY translate(regexp_replace(split_part(path, '/', -1), '^(.+)\\.[^.]+$', '\\1'), '+/', '__')) END AS namespace FROM files GROUP BY directory")
 def build_namespace(spark, d):
-    some = files(spark, d).where("id < 60").groupBy("directory").agg(F.collect_list("path").alias("paths"))
+    some = files(spark, d).groupBy("directory").agg(F.collect_list("path").alias("paths"))
     return some.select("directory", paths.namespace_of(F.col("paths")).alias("namespace"))
 
 
