@@ -30,11 +30,13 @@ import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +49,11 @@ MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 #: Segments remembered by a Python worker.
 REMEMBERED = 700_000
-_OTHER_WHITE = re.compile(r"[^\S \n]")
+#: Texts that are encoded together.
+GROUP_BYTES = 12 << 20
+#: White space other than the space and the line feed, as plain searches for one character are the fastest.
+_OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_ASCII_WHITE = tuple(c for c in _OTHER_WHITE if c.isascii())
 
 STORE = "part int, doc_id long, uid long, n_tokens long, local_start long, digests array<binary>, lens array<int>, held array<int>, shared array<int>, data binary, leaf binary"
 
@@ -99,6 +105,13 @@ class _Segments(dict):
         self[segment] = out
         return out
 
+    def start(self, segment: str) -> bytes:
+        """Ids of a segment that no space precedes."""
+        parts = self._SPLIT(segment) if self.direct else []
+        if "".join(parts) == segment and parts and parts[0] != "\n":
+            return b"".join([self.pieces[p] for p in parts])
+        return self.pack(self.encode(segment, add_special_tokens=False).ids)
+
     def forget(self) -> None:
         self.clear()
         self.pieces.clear()
@@ -123,16 +136,46 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _safe(self, text: str) -> bool:
+        """Whether every space of the text is a place to cut: none has white space at its side."""
+        if not self.by_segment or any(s in text for s in self.special):
+            return False
+        return not ("  " in text or "\n " in text or " \n" in text or any(c in text for c in (_ASCII_WHITE if text.isascii() else _OTHER_WHITE)))
+
     def __call__(self, text: str) -> bytes:
+        """Packed ids of one text."""
         if not self.by_segment or any(s in text for s in self.special):
             return self.whole(text)
-        if len(self.segments) > REMEMBERED:
-            self.segments.forget()
         first, *rest = text.split(" ")
-        if "  " in text or "\n " in text or " \n" in text or _OTHER_WHITE.search(text):
-            # white space at either side of a space: there is no safe place to cut
+        if not self._safe(text):
             first, rest = self._joined(first, rest)
-        return self.whole(first) + b"".join(map(self.segments.__getitem__, rest))
+        return self.segments.start(first) + b"".join(map(self.segments.__getitem__, rest))
+
+    def batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each closed by the end id, and the places where they end.
+
+        The segments of all texts are numbered by Arrow, so that Python looks each different one up once.
+        """
+        if len(self.segments) > REMEMBERED:
+            self.segments.forget()
+        safe = [self._safe(t) for t in texts]
+        starts = [self.segments.start(t.partition(" ")[0]) if ok else self(t) for t, ok in zip(texts, safe, strict=True)]
+        split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, safe, strict=True)], pa.string()), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        packed = [*map(self.segments.__getitem__, names), *starts, np.array([end_id], self.dtype).tobytes()]
+        number = coded.indices.to_numpy().astype(np.int64)
+        number[offsets[:-1]] = len(names) + np.arange(len(texts))  # no space precedes a text's first segment
+        number = np.insert(number, offsets[1:], len(packed) - 1)
+        blob = np.frombuffer(b"".join(packed), self.dtype)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        each = size[number]
+        upto = np.cumsum(each)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = blob[np.arange(total) + np.repeat(begin[number] - (upto - each), each)]
+        return ids, upto[offsets[1:] + np.arange(len(texts))]
 
     @staticmethod
     def _joined(first: str, rest: list[str]) -> tuple[str, list[str]]:
@@ -156,23 +199,32 @@ def _gear() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last WINDOW ids ends in zeros."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids ends in zeros. A chunk is never shorter than the
+    window, so documents in a row may be hashed together."""
     gear = _gear()[(ids & 0xFFFF).astype(np.int64)]
-    acc = np.zeros(n, np.uint32)
-    for j in range(min(WINDOW, n)):
-        acc[j:] += gear[: n - j] << np.uint32(j)
-    marks = np.flatnonzero(acc >> np.uint32(32 - MASK_BITS) == 0) + 1
-    ends, last, k = [], 0, 0
-    while n - last > SHORTEST:
-        k = int(np.searchsorted(marks, last + SHORTEST, side="left"))
-        end = int(marks[k]) if k < len(marks) else n
-        end = min(end, last + LONGEST, n)
+    acc = gear.copy()
+    for j in range(1, min(WINDOW, len(ids))):
+        acc[j:] += gear[:-j] << np.uint32(j)
+    return np.flatnonzero(acc >> np.uint32(32 - MASK_BITS) == 0) + 1
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return cut_between(marks(ids).tolist(), 0, len(ids))
+
+
+def cut_between(at: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of ids start .. stop, from the marks of the whole stream."""
+    ends, last = [], start
+    k = bisect_left(at, start)
+    while stop - last > SHORTEST:
+        k = bisect_left(at, last + SHORTEST, k)
+        end = min(at[k] if k < len(at) else stop, last + LONGEST, stop)
         ends.append(end)
         last = end
-    if last < n or not ends:
-        ends.append(n)
+    if last < stop or not ends:
+        ends.append(stop)
     return ends
 
 
@@ -193,20 +245,36 @@ def _encode(path: str, end_id: int) -> Callable:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        tail = np.array([end_id], enc.dtype).tobytes()
         size, uid = enc.dtype.itemsize, TaskContext.get().partitionId() << 36
+        def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal uid
+            texts = [t or "" for b in held for t in b.column("text").to_pylist()]
+            ids, stops = enc.batch(texts, end_id)
+            stream, found = memoryview(ids.tobytes()), marks(ids).tolist()
+            digests, lens, counts, at = [], [], [0], 0
+            for stop in stops.tolist():
+                for end in cut_between(found, at, stop):
+                    digests.append(digest(stream[at * size : end * size]))
+                    lens.append(end - at)
+                    at = end
+                counts.append(len(lens))
+            offsets = pa.array(counts, pa.int32())
+            uids = pa.array(range(uid, uid + len(texts)), pa.int64())
+            uid += len(texts)
+            places = pa.py_buffer(np.concatenate([[0], stops * size]).astype(np.int32).tobytes())
+            data = pa.Array.from_buffers(pa.binary(), len(texts), [None, places, pa.py_buffer(stream)])
+            doc = pa.concat_arrays([b.column("doc_id") for b in held])
+            return pa.RecordBatch.from_arrays([doc, uids, pa.ListArray.from_arrays(offsets, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(lens, pa.int32())), data], schema=schema)
+
+        held, weight = [], 0
         for batch in it:
-            rows = {k: [] for k in ("uid", "digests", "lens", "data")}
-            for t in batch.column("text").to_pylist():
-                ids = (enc(t) if t else b"") + tail
-                ends = cuts(np.frombuffer(ids, enc.dtype))
-                starts = [0, *ends[:-1]]
-                rows["uid"].append(uid)
-                rows["digests"].append([digest(ids[a * size : b * size]) for a, b in zip(starts, ends, strict=True)])
-                rows["lens"].append([b - a for a, b in zip(starts, ends, strict=True)])
-                rows["data"].append(ids)
-                uid += 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[f.name], f.type) for f in list(schema)[1:])], schema=schema)
+            held.append(batch)
+            weight += batch.nbytes
+            if weight >= GROUP_BYTES:
+                yield pack(held)
+                held, weight = [], 0
+        if held:
+            yield pack(held)
 
     return run
 
@@ -296,19 +364,23 @@ def _rebuild(dtype: str) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows: list[list] = [[] for _ in schema]
-            for r in batch.to_pylist():
-                got = {c["pos"]: c["chunk"] for c in r["fetched"] or ()}
-                at = 0
-                for k in r["held"]:
-                    n = r["lens"][k] * width
-                    got[k] = r["data"][at : at + n]
-                    at += n
-                chunks = [got[k] for k in range(len(r["lens"]))]
-                if [digest(c) for c in chunks] != r["digests"] or digest(b"".join(r["digests"])) != r["leaf"]:
-                    raise ValueError(f"the store does not give back document {r['doc_id']}")
-                ids = np.frombuffer(b"".join(chunks), dtype)
-                crc = zlib.crc32(ids.astype("<u4").tobytes())
-                for col, v in zip(rows, (r["doc_id"], r["part"], r["local_start"], len(ids), crc, ids.tobytes() if r["with_ids"] else None), strict=True):
+            column = {c: batch.column(c).to_pylist() for c in ("doc_id", "part", "local_start", "digests", "lens", "held", "data", "leaf", "fetched", "with_ids")}
+            for doc, part, start, digests, lens, held, data, leaf, fetched, with_ids in zip(*column.values(), strict=True):
+                if fetched or len(held) < len(lens):
+                    got, at = {c["pos"]: c["chunk"] for c in fetched or ()}, 0
+                    for k in held:
+                        got[k] = data[at : at + lens[k] * width]
+                        at += lens[k] * width
+                    data = b"".join([got[k] for k in range(len(lens))])
+                at, seen = 0, []
+                for n in lens:
+                    seen.append(digest(data[at : at + n * width]))
+                    at += n * width
+                if at != len(data) or seen != digests or digest(b"".join(digests)) != leaf:
+                    raise ValueError(f"the store does not give back document {doc}")
+                ids = np.frombuffer(data, dtype)
+                crc = zlib.crc32(ids.astype("<u4"))
+                for col, v in zip(rows, (doc, part, start, len(ids), crc, data if with_ids else None), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
@@ -322,7 +394,8 @@ def read_store(spark: SparkSession, path: str, *, tokenizer: str, with_ids: bool
     store = spark.read.schema(STORE).parquet(f"{path}/store")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     seen = store.select("part", "local_start", "n_tokens", "leaf").groupBy("part").applyInPandas(_roots, MANIFEST)
-    if not manifest.exceptAll(seen).isEmpty() or not seen.exceptAll(manifest).isEmpty():
+    parts = sorted(tuple(r) for r in manifest.collect())  # one row per part: a few thousand numbers at any size of the corpus
+    if sorted(tuple(r) for r in seen.collect()) != parts:
         raise ValueError("the store does not match its manifest")
     full = F.size("held") == F.size("lens")
     columns = ["doc_id", "uid", "part", "local_start", "digests", "lens", "held", "data", "leaf"]
@@ -335,11 +408,10 @@ def read_store(spark: SparkSession, path: str, *, tokenizer: str, with_ids: bool
     schema = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, ids binary"
     order = [*columns, "fetched"]
     built = whole.select(*order, flag).mapInArrow(_rebuild(dtype.str), schema).union(partial.select(*order, flag).mapInArrow(_rebuild(dtype.str), schema))
-    # one row per part: a few thousand numbers at any size of the corpus
     before, offsets = 0, []
-    for r in manifest.select("part", "n_tokens").orderBy("part").collect():
-        offsets.append((r["part"], before))
-        before += r["n_tokens"]
+    for part, _, tokens, _ in parts:
+        offsets.append((part, before))
+        before += tokens
     starts = F.broadcast(spark.createDataFrame(offsets or [(-1, 0)], "part int, before long"))
     out = built.join(starts, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
     return out
