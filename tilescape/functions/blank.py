@@ -90,3 +90,33 @@ def parse_detector(arguments: list[str]) -> tuple[str, float | None]:
     if arguments[0] not in DETECTORS:
         raise ValueError(f"unknown detector {arguments[0]!r}; one of {sorted(DETECTORS)}")
     return arguments[0], float(arguments[1]) if len(arguments) > 1 else None
+
+
+def pixel_detector(method: str, threshold: float | None = None) -> Callable:
+    """The same detectors on a decoded tile, a NumPy array [H, W, 3] of bytes."""
+    import numpy as np
+
+    first = {"ptp": 0.9, "otsu": 0.8, "std": 0.75, "green": 0.9}
+    if method not in first:
+        raise ValueError(f"unknown detector {method!r}; one of {sorted(DETECTORS)}")
+    limit = first[method] if threshold is None else threshold
+
+    def run(tile) -> bool:
+        p = tile.astype(np.float64)
+        if method == "ptp":
+            share = (p.max(2) - p.min(2) < 20).mean()
+        elif method == "std":
+            share = (p.std(2) < 7.0).mean()
+        elif method == "green":
+            share = p[:, :, 1].mean() / 255.0
+        else:
+            levels = np.floor(p @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(np.int64).ravel()
+            counts = np.bincount(levels, minlength=256)
+            w, s = counts.cumsum(), (counts * np.arange(256)).cumsum()
+            d = s * w[-1] - s[-1] * w
+            with np.errstate(divide="ignore", invalid="ignore"):
+                between = np.where((w > 0) & (w < w[-1]), d.astype(float) ** 2 / (w * (w[-1] - w)), 0.0)
+            share = (levels > between.argmax()).mean()
+        return bool(share > limit)
+
+    return run

@@ -12,6 +12,9 @@ from tilescape import schema
 from tilescape.schema import PARTITIONS
 
 
+SCHEMAS = {"tile_features": schema.TILE_FEATURES, "tiles": schema.TILES, "assignments": schema.ASSIGNMENTS, "scores": schema.SCORES, "slides": schema.SLIDES, "slide_embeddings": schema.SLIDE_EMBEDDINGS, "analysis_runs": schema.RUNS}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share: beneath spark.checkpoint.dir, or a temporary one if that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tilescape-')}"
@@ -23,7 +26,10 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def read_stored(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{table}")
+    """A stored table with its declared schema; an empty partition value comes back as an empty string."""
+    ddl = SCHEMAS.get(table)
+    df = (spark.read.schema(ddl) if ddl else spark.read).parquet(f"{root.rstrip('/')}/{table}")
+    return df.withColumn("filter_path", F.coalesce("filter_path", F.lit(""))) if "filter_path" in df.columns else df
 
 
 def write(df: DataFrame, root: str, table: str) -> None:
