@@ -47,7 +47,9 @@ def test_whole_table(spark, sample, library):
     assert held.count() == held.distinct().count() == files.select(F.explode("digests")).distinct().count()
 
 
-def test_copies_are_stored_once_and_ids_come_back(spark, documents, library):
+@pytest.mark.parametrize("rows_per_batch", [1, 2, 512])
+def test_copies_are_stored_once_and_ids_come_back(spark, documents, library, rows_per_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     text = " ".join(f"word{i}" for i in range(3000))
     rows = [(i, text + f" tail {i}") for i in range(20)] + [(99, None), (100, ""), (50, text + " tail 3"), (50, text + " tail 3"), (None, "no id")]
     path = store(spark, documents(rows, part="clash", uid="clash"))
@@ -58,6 +60,7 @@ def test_copies_are_stored_once_and_ids_come_back(spark, documents, library):
         assert len(ids) == r["n_tokens"] and ids[-1] == 2
     stored = spark.read.parquet(f"{path}/store").agg(F.sum(F.length("data"))).first()[0]
     assert stored < 4 * 2 * out[1]["n_tokens"]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_damage_is_found(spark, documents):

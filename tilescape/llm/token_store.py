@@ -47,10 +47,10 @@ WINDOW = 8
 #: A chunk ends where this many low bits of the rolling hash are zero: 256 ids on average, within the limits below.
 MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
-#: Segments remembered by a Python worker.
-REMEMBERED = 700_000
+#: Segments that a Python worker remembers before it drops those not used for a while; up to as many older ones stay.
+REMEMBERED = 400_000
 #: Texts that are encoded together.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 16 << 20
 #: White space other than the space and the line feed, as plain searches for one character are the fastest.
 _OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _ASCII_WHITE = tuple(c for c in _OTHER_WHITE if c.isascii())
@@ -82,24 +82,28 @@ class _Segments(dict):
     _SPLIT = re.compile(rf"[{_LETTERS}]+|[.,;:!?#%&$*|]+|\n(?=[{_LETTERS}])").findall
 
     def __init__(self, tokenizer, pack: Callable[[list[int]], bytes]) -> None:
-        self.encode, self.pack = tokenizer.encode, pack
+        self.encode, self.tokenize, self.pack = tokenizer.encode, tokenizer.model.tokenize, pack
         self.pieces = _Pieces(tokenizer, pack)
+        self.older: dict[str, bytes] = {}
         # trust the short way only if it gives what the library gives
         probe = " naïve,\nword one."
         self.direct = b"".join(self.pieces[x] for x in (" naïve", ",", "\n", "word", " one", ".")) == pack(self.encode(probe, add_special_tokens=False).ids)
 
     def __missing__(self, segment: str) -> bytes:
+        if (out := self.older.get(segment)) is not None:
+            self[segment] = out
+            return out
+        if self.direct and segment.isascii() and segment.isalpha():
+            out = self[segment] = self.pack([t.id for t in self.tokenize("\u0120" + segment)])
+            return out
         parts = self._SPLIT(segment) if self.direct else []
-        if segment and len(parts) == 1 and parts[0] == segment:
-            out = self.pieces[f" {segment}"]
-            del self.pieces[f" {segment}"]  # kept here
-        elif parts and "".join(parts) == segment:
+        if parts and parts[0] != "\n" and "".join(parts) == segment:
             pieces = self.pieces
-            head = f" {parts[0]}" if parts[0] != "\n" else None
-            if head is None:
-                out = self.pack(self.encode(f" {segment}", add_special_tokens=False).ids)
+            if len(parts) == 1:
+                out = self.pack([t.id for t in self.tokenize(f" {segment}".translate(pieces.table))])
             else:
-                out = (self[parts[0]] if parts[0][0].isalpha() else pieces[head]) + b"".join([pieces[p] for p in parts[1:]])
+                head = self[parts[0]] if parts[0][0].isalpha() else pieces[f" {parts[0]}"]
+                out = head + pieces[parts[1]] if len(parts) == 2 else head + b"".join([pieces[p] for p in parts[1:]])
         else:
             out = self.pack(self.encode(f" {segment}", add_special_tokens=False).ids)
         self[segment] = out
@@ -113,6 +117,8 @@ class _Segments(dict):
         return self.pack(self.encode(segment, add_special_tokens=False).ids)
 
     def forget(self) -> None:
+        """Drop what has not been asked for since the last time."""
+        self.older = dict(self)
         self.clear()
         self.pieces.clear()
 
@@ -165,17 +171,19 @@ class Encoder:
         coded = split.values.dictionary_encode()
         names = coded.dictionary.to_pylist()
         packed = [*map(self.segments.__getitem__, names), *starts, np.array([end_id], self.dtype).tobytes()]
-        number = coded.indices.to_numpy().astype(np.int64)
+        number = coded.indices.to_numpy().astype(np.int32)
         number[offsets[:-1]] = len(names) + np.arange(len(texts))  # no space precedes a text's first segment
         number = np.insert(number, offsets[1:], len(packed) - 1)
         blob = np.frombuffer(b"".join(packed), self.dtype)
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
-        begin = np.cumsum(size) - size
+        # a group of texts has far fewer than 2 ** 31 ids
+        size = np.fromiter(map(len, packed), np.int32, len(packed)) // self.dtype.itemsize
+        begin = np.cumsum(size, dtype=np.int32) - size
         each = size[number]
-        upto = np.cumsum(each)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = blob[np.arange(total) + np.repeat(begin[number] - (upto - each), each)]
-        return ids, upto[offsets[1:] + np.arange(len(texts))]
+        upto = np.cumsum(each, dtype=np.int32)
+        at = np.repeat(begin[number] - (upto - each), each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = blob[at]
+        return ids, upto[offsets[1:] + np.arange(len(texts))].astype(np.int64)
 
     @staticmethod
     def _joined(first: str, rest: list[str]) -> tuple[str, list[str]]:
@@ -241,7 +249,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def _encode(path: str, end_id: int) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("digests", pa.list_(pa.binary())), ("lens", pa.list_(pa.int32())), ("data", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lens", pa.list_(pa.int32())), ("data", pa.binary()), ("leaf", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -251,12 +259,13 @@ def _encode(path: str, end_id: int) -> Callable:
             texts = [t or "" for b in held for t in b.column("text").to_pylist()]
             ids, stops = enc.batch(texts, end_id)
             stream, found = memoryview(ids.tobytes()), marks(ids).tolist()
-            digests, lens, counts, at = [], [], [0], 0
+            digests, lens, counts, leaves, at = [], [], [0], [], 0
             for stop in stops.tolist():
                 for end in cut_between(found, at, stop):
                     digests.append(digest(stream[at * size : end * size]))
                     lens.append(end - at)
                     at = end
+                leaves.append(digest(b"".join(digests[counts[-1] :])))
                 counts.append(len(lens))
             offsets = pa.array(counts, pa.int32())
             uids = pa.array(range(uid, uid + len(texts)), pa.int64())
@@ -264,7 +273,8 @@ def _encode(path: str, end_id: int) -> Callable:
             places = pa.py_buffer(np.concatenate([[0], stops * size]).astype(np.int32).tobytes())
             data = pa.Array.from_buffers(pa.binary(), len(texts), [None, places, pa.py_buffer(stream)])
             doc = pa.concat_arrays([b.column("doc_id") for b in held])
-            return pa.RecordBatch.from_arrays([doc, uids, pa.ListArray.from_arrays(offsets, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(lens, pa.int32())), data], schema=schema)
+            tokens = pa.array(np.diff(stops, prepend=0), pa.int64())
+            return pa.RecordBatch.from_arrays([doc, uids, tokens, pa.ListArray.from_arrays(offsets, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(lens, pa.int32())), data, pa.array(leaves, pa.binary())], schema=schema)
 
         held, weight = [], 0
         for batch in it:
@@ -280,27 +290,50 @@ def _encode(path: str, end_id: int) -> Callable:
 
 
 def _lay_out(width: int) -> Callable:
-    """Rows sorted by (doc_id, uid, kind): a note on a document's chunks, if any, then the document."""
-    names = ["part", "doc_id", "uid", "n_tokens", "local_start", "digests", "lens", "held", "shared", "data", "leaf"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    """Rows sorted by (doc_id, uid, kind): a note on a document's chunks, if any, then the document.
+
+    Documents without a note, most of them, pass as Arrow columns.
+    """
+    names = [c.split()[0] for c in STORE.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total, note = TaskContext.get().partitionId(), 0, None
         for batch in it:
-            rows: list[list] = [[] for _ in names]
-            for r in batch.to_pylist():
-                if r["kind"] == 0:
-                    note = r
-                    continue
-                gone, shared = (set(note["gone"]), note["shared"]) if note and note["uid"] == r["uid"] else (set(), [])
-                ends = np.cumsum(r["lens"]) * width
-                held = [k for k in range(len(ends)) if k not in gone]
-                data = r["data"] if not gone else b"".join(r["data"][ends[k] - r["lens"][k] * width : ends[k]] for k in held)
-                n = sum(r["lens"])
-                for col, v in zip(rows, (part, r["doc_id"], r["uid"], n, total, r["digests"], r["lens"], held, sorted(shared), data, digest(b"".join(r["digests"]))), strict=True):
-                    col.append(v)
-                total += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
+            kind = batch.column("kind").to_numpy()
+            docs = batch.filter(pa.array(kind == 1))
+            n = docs.num_rows
+            lens = docs.column("lens")
+            offsets = lens.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+            count = np.diff(offsets)
+            position = np.arange(offsets[-1]) - np.repeat(offsets[:-1], count)
+            keep = np.ones(len(position), bool)
+            shared: list[list[int]] = [[]] * n
+            data = docs.column("data")
+            changed: dict[int, bytes] = {}
+            noted = {} if note is None else {note["uid"]: note}  # the document of the last batch's last note may come first here
+            for r in batch.filter(pa.array(kind == 0)).select(["uid", "gone", "shared"]).to_pylist():
+                noted[r["uid"]] = note = r
+            if noted:
+                uids = docs.column("uid").to_numpy()
+                for i in np.flatnonzero(np.isin(uids, np.fromiter(noted, np.int64, len(noted)))).tolist():
+                    r = noted[int(uids[i])]
+                    shared[i] = sorted(r["shared"])
+                    if r["gone"]:
+                        keep[offsets[i] + np.array(r["gone"])] = False
+                        each = lens[i].as_py()
+                        ends = np.cumsum(each) * width
+                        raw, gone = data[i].as_py(), set(r["gone"])
+                        changed[i] = b"".join(raw[ends[k] - each[k] * width : ends[k]] for k in range(len(each)) if k not in gone)
+            kept = np.concatenate([[0], np.cumsum(np.add.reduceat(keep.astype(np.int64), offsets[:-1]) if n else [])]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(kept), pa.array(position[keep].astype(np.int32)))
+            if changed:
+                data = pa.array([changed.get(i, v) for i, v in enumerate(data.to_pylist())], pa.binary())
+            tokens = docs.column("n_tokens").to_numpy()
+            start = total + np.cumsum(tokens) - tokens
+            total += int(tokens.sum())
+            columns = [pa.array(np.full(n, part, np.int32)), docs.column("doc_id"), docs.column("uid"), docs.column("n_tokens"), pa.array(start, pa.int64()), docs.column("digests"), lens, held, pa.array(shared, pa.list_(pa.int32())), data, docs.column("leaf")]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -320,16 +353,16 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: s
     bound_batches(spark)
     width = encoder(tokenizer).dtype.itemsize
     staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    staged = scratch.table(staged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, uid long, digests array<binary>, lens array<int>, data binary"), "encoded")
+    staged = scratch.table(staged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, uid long, n_tokens long, digests array<binary>, lens array<int>, data binary, leaf binary"), "encoded")
     places = staged.select("doc_id", "uid", F.posexplode("digests").alias("pos", "digest"))
     owner = F.min(F.struct("doc_id", "uid", "pos")).alias("owner")
     copied = places.groupBy("digest").agg(owner, F.count("*").alias("n")).where("n > 1").drop("n")
     notes = places.join(copied, "digest").withColumn("mine", (F.col("owner.uid") == F.col("uid")) & (F.col("owner.pos") == F.col("pos")))
     notes = notes.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.when(~F.col("mine"), F.col("pos"))).alias("gone"), F.collect_list(F.when(F.col("mine"), F.col("pos"))).alias("shared"))
-    notes = notes.select("doc_id", "uid", F.lit(0).alias("kind"), "gone", "shared", F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("array<int>").alias("lens"), F.lit(None).cast("binary").alias("data"))
+    notes = notes.select("doc_id", "uid", F.lit(0).alias("kind"), "gone", "shared", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("array<int>").alias("lens"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("leaf"))
     notes = scratch.table(notes, "notes")
     none = F.lit(None).cast("array<int>")
-    rows = notes.union(staged.select("doc_id", "uid", F.lit(1), none, none, "digests", "lens", "data"))
+    rows = notes.union(staged.select("doc_id", "uid", F.lit(1), none, none, "n_tokens", "digests", "lens", "data", "leaf"))
     ordered = rows.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
     ordered.mapInArrow(_lay_out(width), STORE).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/store")
     store = spark.read.schema(STORE).parquet(f"{path}/store")
@@ -357,32 +390,36 @@ def _supply(width: int) -> Callable:
     return run
 
 
-def _rebuild(dtype: str) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+BUILT = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, ids binary"
+
+
+def _rebuild(dtype: str, with_ids: bool, partial: bool) -> Callable:
+    """Documents from their own chunks, and for partial ones from fetched chunks too. Every chunk is hashed again."""
     width = np.dtype(dtype).itemsize
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows: list[list] = [[] for _ in schema]
-            column = {c: batch.column(c).to_pylist() for c in ("doc_id", "part", "local_start", "digests", "lens", "held", "data", "leaf", "fetched", "with_ids")}
-            for doc, part, start, digests, lens, held, data, leaf, fetched, with_ids in zip(*column.values(), strict=True):
-                if fetched or len(held) < len(lens):
+            n, crc, out = [], [], []
+            read = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+            more = zip(read("held"), read("fetched"), strict=True) if partial else (((), None) for _ in range(batch.num_rows))
+            for lens, data, leaf, (held, fetched) in zip(read("lens"), read("data"), read("leaf"), more, strict=True):
+                if partial:
                     got, at = {c["pos"]: c["chunk"] for c in fetched or ()}, 0
                     for k in held:
                         got[k] = data[at : at + lens[k] * width]
                         at += lens[k] * width
-                    data = b"".join([got[k] for k in range(len(lens))])
-                at, seen = 0, []
-                for n in lens:
-                    seen.append(digest(data[at : at + n * width]))
-                    at += n * width
-                if at != len(data) or seen != digests or digest(b"".join(digests)) != leaf:
-                    raise ValueError(f"the store does not give back document {doc}")
+                    data = b"".join([got.get(k, b"") for k in range(len(lens))])
+                at, seen, view = 0, [], memoryview(data)
+                for size in lens:
+                    seen.append(digest(view[at : at + size * width]))
+                    at += size * width
+                if at != len(data) or digest(b"".join(seen)) != leaf:
+                    raise ValueError("the store does not give back a document")
                 ids = np.frombuffer(data, dtype)
-                crc = zlib.crc32(ids.astype("<u4"))
-                for col, v in zip(rows, (doc, part, start, len(ids), crc, data if with_ids else None), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+                n.append(len(ids))
+                crc.append(zlib.crc32(ids.astype("<u4")))
+                out.append(data if with_ids else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("local_start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(out, pa.binary())], names=[c.split()[0] for c in BUILT.split(", ")])
 
     return run
 
@@ -398,16 +435,13 @@ def read_store(spark: SparkSession, path: str, *, tokenizer: str, with_ids: bool
     if sorted(tuple(r) for r in seen.collect()) != parts:
         raise ValueError("the store does not match its manifest")
     full = F.size("held") == F.size("lens")
-    columns = ["doc_id", "uid", "part", "local_start", "digests", "lens", "held", "data", "leaf"]
     supply = store.where(F.size("shared") > 0).select("digests", "lens", "held", "shared", "data").mapInArrow(_supply(dtype.itemsize), "digest binary, chunk binary")
     wanted = store.where(~full).select("uid", "held", F.posexplode("digests").alias("pos", "digest")).where(~F.array_contains("held", F.col("pos"))).drop("held")
     fetched = wanted.join(supply, "digest").groupBy("uid").agg(F.collect_list(F.struct("pos", "chunk")).alias("fetched"))
-    partial = store.where(~full).select(*columns).join(fetched, "uid", "left")
-    whole = store.where(full).select(*columns).withColumn("fetched", F.lit(None).cast("array<struct<pos:int,chunk:binary>>"))
-    flag = F.lit(with_ids).alias("with_ids")
-    schema = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long, ids binary"
-    order = [*columns, "fetched"]
-    built = whole.select(*order, flag).mapInArrow(_rebuild(dtype.str), schema).union(partial.select(*order, flag).mapInArrow(_rebuild(dtype.str), schema))
+    place = ["doc_id", "part", "local_start", "lens", "data", "leaf"]
+    whole = store.where(full).select(*place).mapInArrow(_rebuild(dtype.str, with_ids, False), BUILT)
+    partial = store.where(~full).select(*place, "held", "uid").join(fetched, "uid", "left").select(*place, "held", "fetched").mapInArrow(_rebuild(dtype.str, with_ids, True), BUILT)
+    built = whole.union(partial)
     before, offsets = 0, []
     for part, _, tokens, _ in parts:
         offsets.append((part, before))
