@@ -48,7 +48,7 @@ WINDOW = 8
 MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 #: Segments that a Python worker remembers before it drops those not used for a while; up to as many older ones stay.
-REMEMBERED = 400_000
+REMEMBERED = 450_000
 #: Texts that are encoded together.
 GROUP_BYTES = 16 << 20
 #: White space other than the space and the line feed, as plain searches for one character are the fastest.
@@ -166,10 +166,10 @@ class Encoder:
             self.segments.forget()
         safe = [self._safe(t) for t in texts]
         starts = [self.segments.start(t.partition(" ")[0]) if ok else self(t) for t, ok in zip(texts, safe, strict=True)]
-        split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, safe, strict=True)], pa.string()), " ")
+        split = pc.split_pattern(pa.array(texts if all(safe) else [t if ok else "" for t, ok in zip(texts, safe, strict=True)], pa.string()), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         packed = [*map(self.segments.__getitem__, names), *starts, np.array([end_id], self.dtype).tobytes()]
         number = coded.indices.to_numpy().astype(np.int32)
         number[offsets[:-1]] = len(names) + np.arange(len(texts))  # no space precedes a text's first segment
@@ -256,7 +256,7 @@ def _encode(path: str, end_id: int) -> Callable:
         size, uid = enc.dtype.itemsize, TaskContext.get().partitionId() << 36
         def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal uid
-            texts = [t or "" for b in held for t in b.column("text").to_pylist()]
+            texts = [t or "" for b in held for t in b.column("text").to_numpy(zero_copy_only=False).tolist()]
             ids, stops = enc.batch(texts, end_id)
             stream, found = memoryview(ids.tobytes()), marks(ids).tolist()
             digests, lens, counts, leaves, at = [], [], [0], [], 0
@@ -328,7 +328,7 @@ def _lay_out(width: int) -> Callable:
             kept = np.concatenate([[0], np.cumsum(np.add.reduceat(keep.astype(np.int64), offsets[:-1]) if n else [])]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(kept), pa.array(position[keep].astype(np.int32)))
             if changed:
-                data = pa.array([changed.get(i, v) for i, v in enumerate(data.to_pylist())], pa.binary())
+                data = pa.array([changed.get(i, v) for i, v in enumerate(data.to_numpy(zero_copy_only=False).tolist())], pa.binary())
             tokens = docs.column("n_tokens").to_numpy()
             start = total + np.cumsum(tokens) - tokens
             total += int(tokens.sum())
@@ -400,9 +400,11 @@ def _rebuild(dtype: str, with_ids: bool, partial: bool) -> Callable:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n, crc, out = [], [], []
-            read = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+            read = lambda c: batch.column(c).to_numpy(zero_copy_only=False).tolist() if c in ("data", "leaf") else batch.column(c).to_pylist()  # noqa: B023, E731
+            sizes, bounds = batch.column("lens").flatten().to_numpy().tolist(), batch.column("lens").offsets.to_numpy().tolist()
+            sizes = [sizes[a - bounds[0] : b - bounds[0]] for a, b in zip(bounds, bounds[1:], strict=False)]
             more = zip(read("held"), read("fetched"), strict=True) if partial else (((), None) for _ in range(batch.num_rows))
-            for lens, data, leaf, (held, fetched) in zip(read("lens"), read("data"), read("leaf"), more, strict=True):
+            for lens, data, leaf, (held, fetched) in zip(sizes, read("data"), read("leaf"), more, strict=True):
                 if partial:
                     got, at = {c["pos"]: c["chunk"] for c in fetched or ()}, 0
                     for k in held:
