@@ -154,14 +154,16 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def references(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
     """The references of every language, counted over all documents. At most max_languages of them, the largest,
-    come to the driver, each with at most len(CLASSES) * (STEPS + 1) + common_words + 1 numbers, whatever the corpus."""
+    come to the driver, each with at most (len(CLASSES) + 1) * (STEPS + 1) + 1 numbers, whatever the corpus."""
     bound_batches(spark)
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_counts, "lang string, kind int, key binary, n long")
     summed = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    top = summed.withColumn("r", F.row_number().over(best)).where((F.col("kind") != 1) | (F.col("r") <= rules.common_words)).drop("r")
+    # one rank limit for all, so that each task ranks its own best first and passes no more than those on
+    limit = max(rules.common_words, STEPS + 1)
+    best = Window.partitionBy("lang", "kind", F.when(F.col("kind") == 0, F.substring("key", 1, 1))).orderBy(F.desc("n"), "key")
+    top = summed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit).drop("r")
     top = top.withColumn("total", F.max(F.when(F.col("kind") == 2, F.col("n"))).over(Window.partitionBy("lang")))
-    largest = top.orderBy(F.desc("total"), "lang").limit(rules.max_languages * (rules.common_words + len(CLASSES) * (STEPS + 1) + 1))
+    largest = top.orderBy(F.desc("total"), "lang").limit(rules.max_languages * (limit + len(CLASSES) * (STEPS + 1) + 1))
     out: dict[str, Reference] = {}
     totals_of: dict[str, int] = {}
     rows = defaultdict(list)
@@ -176,7 +178,7 @@ def references(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) ->
         upto = bins.cumsum(axis=1)
         chars = (2 * upto >= upto[:, -1:]).argmax(axis=1).astype(float)
         chars = chars if chars.sum() else np.ones(len(CLASSES))
-        common = sorted(rows[lang, 1], key=lambda x: (-x[1], x[0]))
+        common = sorted(rows[lang, 1], key=lambda x: (-x[1], x[0]))[: rules.common_words]
         shares = np.array([n for _, n in common] + [total - sum(n for _, n in common)], float)
         out[lang] = Reference(chars, {w: i for i, (w, _) in enumerate(common)}, shares)
     return out
