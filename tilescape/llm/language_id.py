@@ -186,11 +186,13 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
 
-def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 500, slack: float = 0.3) -> Identifier:
-    """Learn from ``labelled`` (doc_id, text, lang). The sample is at most per_language texts of a language; its
-    n-gram counts, which do not grow with the corpus, come to the driver."""
+def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 500, max_languages: int = 256, slack: float = 0.3) -> Identifier:
+    """Learn from ``labelled`` (doc_id, text, lang): the max_languages languages with most documents, and of each at
+    most per_language texts. Their n-gram counts, which do not grow with the corpus, come to the driver."""
     bound_batches(spark)
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    largest = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    labelled = labelled.where(F.col("lang").isin(largest))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id").distinct()
     sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").persist()
