@@ -48,9 +48,9 @@ WINDOW = 8
 MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
 #: Segments that a Python worker remembers before it drops those not used for a while; up to as many older ones stay.
-REMEMBERED = 450_000
+REMEMBERED = 300_000
 #: Texts that are encoded together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: White space other than the space and the line feed, as plain searches for one character are the fastest.
 _OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _ASCII_WHITE = tuple(c for c in _OTHER_WHITE if c.isascii())
@@ -210,11 +210,15 @@ def _gear() -> np.ndarray:
 def marks(ids: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash of the last WINDOW ids ends in zeros. A chunk is never shorter than the
     window, so documents in a row may be hashed together."""
-    gear = _gear()[(ids & 0xFFFF).astype(np.int64)]
-    acc = gear.copy()
-    for j in range(1, min(WINDOW, len(ids))):
-        acc[j:] += gear[:-j] << np.uint32(j)
-    return np.flatnonzero(acc >> np.uint32(32 - MASK_BITS) == 0) + 1
+    out = []
+    for start in range(0, len(ids), 1 << 19):  # in parts, for memory's sake; a part begins a window early
+        early = min(start, WINDOW - 1)
+        gear = _gear()[ids[start - early : start + (1 << 19)] & 0xFFFF]
+        acc = gear.copy()
+        for j in range(1, min(WINDOW, len(gear))):
+            acc[j:] += gear[:-j] << np.uint32(j)
+        out.append(np.flatnonzero(acc[early:] >> np.uint32(32 - MASK_BITS) == 0) + start + 1)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
