@@ -38,6 +38,29 @@ def test_pages(source, expected):
     assert text(source) == expected
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<div class=content><p>intro</p><section><p>A</p></section><section><p>B</p></section></div>", "intro\n\nA\n\nB"),
+        ("<div class=content><p>intro</p><section><p>" + "A long. " * 99 + "B</p></section></div>", "intro\n\n" + "A long. " * 99 + "B"),
+        ("<body><div class=intro><p>what it is about</p></div><div class=body><p>and the rest of it, which is longer</p></div></body>", "what it is about\n\nand the rest of it, which is longer"),
+        ("<div><p>before</p><table><tr><td>one<td>two</table><p>after</p></div>", "before\n\none\n\ntwo\n\nafter"),
+        ("<main><h1>T</h1><p>lead</p><article><p>the story itself</p></article></main>", "T\n\nlead\n\nthe story itself"),
+        ("<div class='w-1/2'><p>left</p></div><div class=w-1><p>right</p></div>", "left\n\nright"),
+    ],
+)
+def test_nothing_of_the_main_text_is_left_behind(source, expected):
+    assert text(source) == expected
+
+
+def test_winners_are_chosen_by_the_text_they_hold():
+    page = "<body><main><h1>T</h1><article><p>the story itself</p></article></main><div class=w-1><p>z</p></div></body>"
+    assert text(page, ["/body/main"]) == "T\n\nthe story itself"
+    assert text(page, ["/body/div.w-#", "/body/main"]) == "T\n\nthe story itself"
+    assert text(page, ["/body/div.w-#"]) == "z"
+    assert text("<div class=a><a href=x>more</a></div><div class=b><p>the text</p></div>", ["/div.a"]) == "the text"
+
+
 def test_classes_are_generalised():
     assert H.generalised("div", {"class": "post-17 Wide"}) == "div.post-#.wide"
 

@@ -1,9 +1,10 @@
 """Main text of web pages by consensus on host paths.
 
-Every page's containers (the outermost article or main element, else the nearest div, section, cell or body) are
-scored by the text that stands in them outside of links and boilerplate. A page votes for the tag-class path of
-its best container, with numbers in classes generalised; Spark counts the votes of each host, and the host's
-winning paths decide what is extracted from each of its pages. A page with none of them uses its own best container.
+Text belongs to a container: the outermost article or main element, else the nearest div, section, cell or body.
+A page votes for the narrowest tag-class path at and beneath which its text outside of links and boilerplate stands,
+with numbers in classes generalised; Spark counts the votes of each host, and of the host's winning paths the one that
+holds most of a page's text decides what is extracted: every block at or beneath it. A page that has no text in any
+of them uses its own path.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null url votes for the empty
 host; ties between paths go to the first in code point order; repeated rows are extracted alike; extra columns
@@ -43,6 +44,8 @@ SCOPES = {"p": frozenset({"table", "td", "th", "button"}), "li": frozenset({"ul"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Share of a host's voting pages that a path needs to be one of its winning paths; the path with most votes always is.
 WINNING_SHARE = 0.2
+#: A page's path narrows to a child that holds this share of its text, but never past text of its own.
+NARROWING_SHARE = 0.95
 BROADCAST_HOSTS = 100_000
 
 
@@ -56,29 +59,58 @@ class Element:
     in_header: bool = False
 
 
+def beneath(path: str, root: str) -> bool:
+    """Whether a path is ``root`` or stands beneath it."""
+    return path == root or path.startswith(root + "/")
+
+
 @dataclass
 class Page:
-    """Blocks of text in page order: (text, container path, characters in links)."""
+    """Blocks of text in page order: (text, container path, characters in links, within an article or main element)."""
+
+    blocks: list[tuple[str, str, int, bool]] = field(default_factory=list)
 
-    blocks: list[tuple[str, str, int]] = field(default_factory=list)
+    def weights(self, pinned: bool = False) -> dict[str, int]:
+        """Text outside of links of every container path, of articles and main elements alone if ``pinned``."""
+        found: dict[str, int] = defaultdict(int)
+        for text, path, linked, within in self.blocks:
+            if (within or not pinned) and len(text) > 2 * linked:
+                found[path] += len(text) - 2 * linked
+        return found
 
     def best(self) -> tuple[str, int] | None:
-        """The container path with most text outside of links, and that amount."""
-        score: dict[str, int] = defaultdict(int)
-        for text, path, linked in self.blocks:
-            score[path] += len(text) - 2 * linked
-        top = max(score.items(), key=lambda x: (x[1], [-ord(c) for c in x[0]]), default=None)
-        return top if top and top[1] > 0 else None
+        """The narrowest path that holds the page's text outside of links, and that amount. Where articles and main
+        elements hold half of the text, it is the path that holds theirs."""
+        held, pinned = self.weights(), self.weights(pinned=True)
+        if not held:
+            return None
+        if 2 * sum(pinned.values()) >= sum(held.values()):
+            held = pinned
+        total, depth = sum(held.values()), 0
+        inside = [(path.split("/")[1:], n) for path, n in held.items()]
+        while all(len(steps) > depth for steps, _ in inside):
+            share: dict[str, int] = defaultdict(int)
+            for steps, n in inside:
+                share[steps[depth]] += n
+            top = min(share, key=lambda x: (-share[x], x))
+            if share[top] < NARROWING_SHARE * total:
+                break
+            inside = [x for x in inside if x[0][depth] == top]
+            depth += 1
+        return "".join(f"/{x}" for x in inside[0][0][:depth]), total
 
     def text(self, winners: list[str]) -> str:
-        there = {path for _, path, _ in self.blocks}
-        chosen = next((w for w in winners if w in there), None)
-        if chosen is None:
-            own = self.best()
-            if own is None:
-                return ""
+        held = self.weights()
+        amounts = [(w, sum(n for path, n in held.items() if beneath(path, w))) for w in winners]
+        most = max((n for _, n in amounts), default=0)
+        if most:
+            # of nested winners that hold as much the narrower one, then the one with more votes
+            chosen = max((w for w, n in amounts if n >= NARROWING_SHARE * most), key=lambda w: w.count("/"))
+        elif own := self.best():
             chosen = own[0]
-        return "\n\n".join(t for t, path, _ in self.blocks if path == chosen)
+        else:
+            chosen = next((w for w in winners if any(beneath(path, w) for _, path, _, _ in self.blocks)), None)
+        return "" if chosen is None else "\n\n".join(t for t, path, _, _ in self.blocks if beneath(path, chosen))
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -86,7 +118,8 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def generalised(tag: str, attributes: dict[str, str]) -> str:
-    classes = sorted({re.sub(r"[0-9]+", "#", c.lower()) for c in attributes.get("class", "").split()})
+    # a slash in a class is no step of the path
+    classes = sorted({re.sub(r"[0-9]+", "#", c.lower()).replace("/", "\\") for c in attributes.get("class", "").split()})
     return ".".join([tag, *classes])
 
 
@@ -112,7 +145,7 @@ def parse(source: str | None) -> Page:
             text = " ".join(html_codec.unescape("".join(held)).split())
             top = stack[-1]
             if text and not top.boilerplate:
-                page.blocks.append((text, top.container, min(linked, len(text))))
+                page.blocks.append((text, top.container, min(linked, len(text)), top.pinned))
             held.clear()
         linked = 0
 
@@ -184,8 +217,6 @@ def parse(source: str | None) -> Page:
                 container, pinned = path, True
             elif tag in CONTAINERS and not pinned and tag != "blockquote":
                 container = path
-            elif main and tag == "article" and "/main" in container.rsplit("/article", 1)[0] and container.rsplit("/", 1)[-1].startswith("main"):
-                container = path  # an article inside of main is the narrower choice
         stack.append(Element(tag, path, boilerplate, container, pinned, up.in_header or inner_header))
         links += tag == "a"
     flush()
