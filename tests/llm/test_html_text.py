@@ -61,6 +61,24 @@ def test_winners_are_chosen_by_the_text_they_hold():
     assert text("<div class=a><a href=x>more</a></div><div class=b><p>the text</p></div>", ["/div.a"]) == "the text"
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<div class='content-sidebar-wrap'><main><article><p>a</p></article></main></div>", "a"),
+        ("<div class='layout has-sidebar'><p>a</p><div class=sidebar>no</div></div>", "a"),
+        ("<div class=sidebar><main><p>a</p><div class=sidebar><p>no</p></div></main></div><div class=sidebar><p>no</p></div>", "a"),
+        ("<article class='post category-search'><p>a</p></article><article class=related><p>no</p></article>", "a"),
+        ("<article class=related><p>a</p></article>", "a"),
+        ("<div class=elementor-widget><p>a</p></div><div class=elementor-widget><p>b</p></div>", "a\n\nb"),
+        ("<article><h2 id=search>Search</h2><p>a</p><section id='search'><p>b</p></section><section id='related'><p>c</p></section></article>", "Search\n\na\n\nb\n\nc"),
+        ("<article><p>a</p><section class=share-price><p>b</p></section><div class=share-buttons>no</div></article>", "a\n\nb"),
+        ("<article><p>short</p><div class=comments><p>" + "no " * 99 + "</p></div></article><div class=related-posts>no</div>", "short"),
+    ],
+)
+def test_marks_do_not_override_the_main_text(source, expected):
+    assert text(source) == expected
+
+
 def test_classes_are_generalised():
     assert H.generalised("div", {"class": "post-17 Wide"}) == "div.post-#.wide"
 

@@ -36,6 +36,14 @@ RAW = frozenset("script style noscript template iframe svg math object video aud
 BOILERPLATE_TAGS = frozenset("aside button dialog footer form head header menu nav option select".split())
 #: Words of a class, an id or a role that mark boilerplate.
 BOILERPLATE_WORDS = frozenset("ad ads advert advertisement advertising adverts alert banner bottombar breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus disclaimer footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
+#: Words after a marking word of a compound name that leave it the head: share-buttons, but not share-price.
+PLACE_WORDS = frozenset("area bar block bottom box button buttons icon icons inner item items left link links list posts primary right secondary section top".split())
+#: Names that begin so tell what a layout has, not what the element is.
+STATE_WORDS = frozenset("has hide is no show with without".split())
+#: Visitors' words, which may well be longer than the page's own.
+DISCUSSION_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Marks of a word that hold this share of the page's text are no marks.
+UNMARKING_SHARE = 0.9
 CONTAINERS = frozenset("article main div section td body blockquote".split())
 #: An open element of the key closes when one of the values starts.
 IMPLIED_END = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}, "head": {"body"}}
@@ -57,6 +65,8 @@ class Element:
     container: str  # generalised path of the container that text in here belongs to
     pinned: bool  # within an article or main element
     in_header: bool = False
+    marks: tuple[tuple[int, str], ...] = ()  # (number, word) of the marked elements around and of this one
+    pin: int = 0  # number of the article or main element around, 0 for none
 
 
 def beneath(path: str, root: str) -> bool:
@@ -123,11 +133,53 @@ def generalised(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def _marked(attributes: dict[str, str]) -> bool:
-    named = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-    if attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes:
-        return True
-    return any(w in BOILERPLATE_WORDS for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
+def _hidden(attributes: dict[str, str]) -> bool:
+    return attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes
+
+
+def _head(name: str) -> str:
+    """The word that says what a compound name is the name of; empty if it tells of a state."""
+    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if len(words) > 1 and words[0] in STATE_WORDS:
+        return ""
+    while len(words) > 1 and words[-1] in PLACE_WORDS:
+        words.pop()
+    return words[-1] if words else ""
+
+
+def _mark(tag: str, attributes: dict[str, str], in_article: bool) -> str:
+    """The word that marks an element as boilerplate, or an empty text."""
+    if tag in ("html", "body", "main") or tag in HEADINGS:
+        return ""
+    classes = attributes.get("class", "").split()
+    names = [*classes, attributes.get("role", "")]
+    if not (in_article and (tag == "section" or "section" in classes)):
+        names.append(attributes.get("id", ""))
+    if tag == "article":  # its classes often hold its subjects: category-search
+        return next((n.lower() for n in names if n.lower() in BOILERPLATE_WORDS), "")
+    return next((w for w in map(_head, names) if w in BOILERPLATE_WORDS), "")
+
+
+def _unmarked(blocks: list[tuple], pins: dict[int, tuple]) -> list[tuple]:
+    """The blocks outside of marked elements. A mark is void if it is of or around the page's only articles and main
+    elements, or if those of its word hold nearly all of the text in them (in a page without any: of all text)."""
+    if not any(b[4] for b in blocks):
+        return blocks
+    void: set[tuple[int, str]] = set()
+    sizes: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        if b[5]:
+            sizes[b[5]] += len(b[0])
+    if sizes and all(pins[p] for p in sizes):
+        void.update(pins[max(sizes, key=lambda p: (sizes[p], -p))])
+    base = [b for b in blocks if b[3]] or blocks
+    total = sum(len(b[0]) for b in base)
+    of: dict[str, int] = defaultdict(int)
+    for b in base:
+        for word in {w for n, w in b[4] if (n, w) not in void}:
+            of[word] += len(b[0])
+    words = {w for w, n in of.items() if n >= (1 if w in DISCUSSION_WORDS else UNMARKING_SHARE) * total}
+    return [b for b in blocks if all(m in void or m[1] in words for m in b[4])]
 
 
 def parse(source: str | None) -> Page:
@@ -138,6 +190,9 @@ def parse(source: str | None) -> Page:
     held: list[str] = []
     linked = 0
     links = 0
+    blocks: list[tuple] = []  # those of Page, the marks around and the article or main element
+    pins: dict[int, tuple] = {}  # the marks around and of every article and main element
+    number = 0
 
     def flush() -> None:
         nonlocal linked
@@ -145,7 +200,7 @@ def parse(source: str | None) -> Page:
             text = " ".join(html_codec.unescape("".join(held)).split())
             top = stack[-1]
             if text and not top.boilerplate:
-                page.blocks.append((text, top.container, min(linked, len(text)), top.pinned))
+                blocks.append((text, top.container, min(linked, len(text)), top.pinned, top.marks, top.pin))
             held.clear()
         linked = 0
 
@@ -199,27 +254,36 @@ def parse(source: str | None) -> Page:
             continue
         up = stack[-1]
         if tag not in BLOCKS and tag not in BOILERPLATE_TAGS and not m[3].strip():
-            stack.append(Element(tag, up.path, up.boilerplate, up.container, up.pinned, up.in_header))
+            stack.append(Element(tag, up.path, up.boilerplate, up.container, up.pinned, up.in_header, up.marks, up.pin))
             links += tag == "a"
             continue
         attributes = _attributes(m[3])
         in_article = up.pinned and not up.boilerplate
         # the header of an article holds its heading; a page's header is boilerplate
         inner_header = tag == "header" and in_article
-        boilerplate = up.boilerplate or (tag in BOILERPLATE_TAGS and not inner_header) or (tag not in ("html", "body") and not inner_header and _marked(attributes))
+        boilerplate = up.boilerplate or (tag in BOILERPLATE_TAGS and not inner_header) or (tag not in ("html", "body") and not inner_header and _hidden(attributes))
         if up.in_header and not up.boilerplate:
             boilerplate = boilerplate or (tag in BLOCKS and tag not in HEADINGS and tag not in ("div", "hgroup"))
         path, container, pinned = up.path, up.container, up.pinned
+        marks, pin = up.marks, up.pin
+        if not boilerplate and not inner_header and (word := _mark(tag, attributes, in_article)):
+            number += 1
+            # one mark a word is enough, but for those outside of the article, which it may make void
+            if all(w != word for _, w in (marks[len(pins[pin]) :] if pin else marks)):
+                marks = (*marks, (number, word))
         if tag in BLOCKS:
             path = f"{up.path}/{generalised(tag, attributes)}"
             main = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
             if main and not pinned:
                 container, pinned = path, True
+                pin = len(pins) + 1
+                pins[pin] = marks
             elif tag in CONTAINERS and not pinned and tag != "blockquote":
                 container = path
-        stack.append(Element(tag, path, boilerplate, container, pinned, up.in_header or inner_header))
+        stack.append(Element(tag, path, boilerplate, container, pinned, up.in_header or inner_header, marks, pin))
         links += tag == "a"
     flush()
+    page.blocks = [b[:4] for b in _unmarked(blocks, pins)]
     return page
 
 
