@@ -59,3 +59,13 @@ def test_many_languages_make_groups(spark, documents, monkeypatch):
     assert len(m.groups) == 2
     for lang, w in words.items():
         assert m(w)[0] == lang
+
+
+def test_every_language_is_learned(spark, documents):
+    """More than 256 languages, each with a letter pair of its own; the ones with fewest documents too."""
+    rows = [(i, f"{chr(97 + i % 20)}{chr(0x3B1 + i // 20)}" * 20, f"x{i:03}") for i in range(300)]
+    more = [(1000 + i, t, lang) for i, t, lang in rows[:280]]
+    m = L.train(spark, documents(rows + more))
+    assert sum(len(g.value.langs) for g in m.groups) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(documents(rows), m).collect()}
+    assert got == {i: lang for i, _, lang in rows}

@@ -6,7 +6,9 @@ array of packed n-grams and a matrix of each language's interpolated log probabi
 seen back off through the sorted contexts and their weights. The language of the lowest cross-entropy per
 character wins; it is rejected if its cross-entropy lies beyond what its own training texts reach.
 
-Training uses whole texts of at most ``per_language`` documents of each language, those with the smallest hash.
+Training uses whole texts of at most ``per_language`` documents of each language, those with the smallest hash. All
+languages are learned: the models are made and broadcast a group at a time, and a batch of texts meets one group
+after the other, so that neither the driver nor a worker holds more than HELD_GROUPS of them.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything if nothing can be
 learned; ties go to the language first in code point order; repeated rows are judged alike; extra columns are ignored.
@@ -21,15 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilescape.llm.common import bound_batches, texts
+from tilescape.llm.common import Scratch, bound_batches, texts
 
 ORDER = 4
 BITS = 12
 #: Languages that share one set of sorted arrays; more languages make more sets.
 GROUP = 16
+#: Groups that a process keeps between batches; of more it loads one at a time.
+HELD_GROUPS = 4
+#: Chosen documents whose ids are broadcast; more meet the documents by a shuffle.
+BROADCAST_IDS = 2_000_000
 UNDETERMINED = "und"
 
 
@@ -158,18 +165,34 @@ def group_models(per_lang: dict[str, list[tuple]], alphabet: int) -> Models:
 
 @dataclass
 class Identifier:
-    groups: list[Models]
+    groups: list[Broadcast]  # of Models
     limits: dict[str, float]
 
     def __call__(self, text: str | None) -> tuple[str, float, float | None, bool]:
         """language, score, cross-entropy in bits a character, rejected."""
-        code = folded(text)
-        if not len(code) or not self.groups:
+        return self.judge([text])[0]
+
+    def judge(self, batch: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        codes = [folded(t) for t in batch]
+        langs: list[str] = []
+        entropies: list[list[np.ndarray]] = [[] for _ in codes]
+        for held in self.groups if any(map(len, codes)) else []:
+            models = held.value
+            langs += models.langs
+            for code, found in zip(codes, entropies, strict=True):
+                if len(code):
+                    found.append(models.entropy(code))
+            del models
+            if len(self.groups) > HELD_GROUPS:
+                vars(held).pop("_value", None)  # the process' copy; the next batch loads it anew
+        return [self._verdict(len(code), found, langs) for code, found in zip(codes, entropies, strict=True)]
+
+    def _verdict(self, length: int, entropies: list[np.ndarray], langs: list[str]) -> tuple[str, float, float | None, bool]:
+        if not entropies:
             return UNDETERMINED, 0.0, None, True
-        bits = np.concatenate([m.entropy(code) for m in self.groups])
-        langs = [x for m in self.groups for x in m.langs]
+        bits = np.concatenate(entropies)
         best = int(np.argmin(bits))
-        weight = np.exp2(-(bits - bits[best]) * min(len(code), 64))
+        weight = np.exp2(-(bits - bits[best]) * min(length, 64))
         beyond = bits[best] - self.limits.get(langs[best], np.inf)
         score = float(1 / weight.sum()) * (float(np.exp2(-beyond)) if beyond > 0 else 1.0)
         return langs[best], min(1.0, max(0.0, score)), float(bits[best]), bool(beyond > 0)
@@ -186,35 +209,35 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
 
-def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 500, max_languages: int = 256, slack: float = 0.3) -> Identifier:
-    """Learn from ``labelled`` (doc_id, text, lang): the max_languages languages with most documents, and of each at
-    most per_language texts. Their n-gram counts, which do not grow with the corpus, come to the driver."""
+def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 500, slack: float = 0.3) -> Identifier:
+    """Learn from ``labelled`` (doc_id, text, lang): every language, and of each at most per_language texts. Their
+    n-gram counts, which do not grow with a language's documents, come to the driver a group of languages at a time."""
     bound_batches(spark)
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    largest = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    labelled = labelled.where(F.col("lang").isin(largest))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").persist()
-    counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    per_lang = {}
-    alphabet = 1 + len(np.unique(gram & _mask(1)))
-    for lang in sorted(set(langs)):
-        mine = np.flatnonzero(langs == lang)
-        order = mine[np.argsort(gram[mine], kind="stable")]
-        per_lang[lang] = kneser_ney(gram[order], n[order], alphabet)
-    names = sorted(per_lang)
-    groups = [group_models({x: per_lang[x] for x in names[i : i + GROUP]}, alphabet) for i in range(0, len(names), GROUP)]
-    raw = Identifier(groups, {})
-    own: dict[str, list[float]] = defaultdict(list)
-    for r in identify(sample.select("doc_id", "text", F.col("lang").alias("truth")), raw, keep="truth").collect():
-        if r["bits"] is not None and r["lang_pred"] == r["truth"]:
-            own[r["truth"]].append(r["bits"])
+    scratch = Scratch(spark, "languages")
+    chosen = scratch.table(labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id").distinct(), "chosen")
+    sample = labelled.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id", "left_semi").persist()
+    counts = scratch.table(sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    alphabet = 1 + counts.select(F.col("gram").bitwiseAND(F.lit(int(_mask(1))))).distinct().count()
+    groups = []
+    for i in range(0, len(names), GROUP):
+        group = names[i : i + GROUP]
+        table = counts.where(F.col("lang").isin(group)).toArrow()
+        langs = np.array(table.column("lang").to_pylist(), object)
+        gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        per_lang = {}
+        for lang in group:
+            mine = np.flatnonzero(langs == lang)
+            order = mine[np.argsort(gram[mine], kind="stable")]
+            per_lang[lang] = kneser_ney(gram[order], n[order], alphabet)
+        groups.append(spark.sparkContext.broadcast(group_models(per_lang, alphabet)))
+    own = identify(sample.select("doc_id", "text", F.col("lang").alias("truth")), Identifier(groups, {}), keep="truth")
+    reach = own.where("bits is not null and lang_pred = truth").groupBy("truth").agg(F.percentile("bits", F.lit(0.999)).alias("bits")).collect()
     sample.unpersist()
-    return Identifier(groups, {x: float(np.quantile(v, 0.999)) + slack for x, v in own.items()})
+    scratch.drop("chosen", "counts")
+    return Identifier(groups, {r["truth"]: r["bits"] + slack for r in reach})
 
 
 def identify(docs: DataFrame, model: Identifier, keep: str | None = None) -> DataFrame:
@@ -224,7 +247,7 @@ def identify(docs: DataFrame, model: Identifier, keep: str | None = None) -> Dat
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cols = list(zip(*[model(t) for t in texts(batch)], strict=True)) or [[]] * 4
+            cols = list(zip(*model.judge(texts(batch)), strict=True)) or [[]] * 4
             arrays = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays + ([batch.column(keep)] if keep else []), names=names + ([keep] if keep else []))
 
