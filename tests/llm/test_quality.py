@@ -70,3 +70,14 @@ def test_filter_passes_columns_through(spark, documents):
     assert quality.keep_good(spark, df).columns == df.columns and quality.keep_good(spark, df).count() == 0
     assert quality.judge(spark, documents([])).count() == 0
     assert quality.judge(spark, df).count() == 4
+
+
+def test_every_language_has_references(spark, documents, monkeypatch):
+    """More languages than a group, in more groups than a process keeps: each document is judged by its own."""
+    monkeypatch.setattr(quality, "GROUP", 30)
+    rows = [(i, f"{chr(97 + i % 20)}x{i} {chr(97 + i // 20)}y{i} " * 100, f"l{i:03}") for i in range(300)]
+    df = documents(rows + [(1000 + i, t, lang) for i, t, lang in rows[:280]])
+    refs = quality.references(spark, df)
+    assert len(refs) == 300 and set(refs) == {lang for _, _, lang in rows} and "l0000" not in refs
+    got = quality.judge(spark, documents([*rows, (2000, rows[299][1], None), (2001, rows[299][1], "unknown")]), refs=refs).collect()
+    assert len(got) == 302 and all(r["word_distance"] < 1e-6 for r in got)

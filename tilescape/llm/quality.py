@@ -12,16 +12,18 @@ an empty result; extra columns are passed through untouched by ``keep_good`` and
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilescape.llm.common import bound_batches, raw
+from tilescape.llm.common import Scratch, bound_batches, raw
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -43,6 +45,10 @@ _CLASS = _classes()
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _POINT = ~((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))
+#: Languages whose references are collected and broadcast together.
+GROUP = 256
+#: Groups of references that a process keeps; of more it loads one at a time.
+HELD_GROUPS = 8
 #: Steps of a share of a byte class when documents are counted by it.
 STEPS = 200
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(WINDOW)], np.uint64)
@@ -53,7 +59,6 @@ class Rules:
     """Thresholds of the verdict."""
 
     common_words: int = 64
-    max_languages: int = 256
     min_chars: int = 200
     max_char_distance: float = 0.31
     min_words: int = 50
@@ -119,6 +124,42 @@ class Reference:
     shares: np.ndarray
 
 
+class References(Mapping):
+    """The references of all languages, broadcast in groups of neighbouring languages."""
+
+    def __init__(self, groups: list[Broadcast], starts: list[str], sizes: list[int]) -> None:
+        self.groups, self.starts, self.sizes = groups, starts, sizes
+        self._at, self._open = -1, {}
+
+    def __getstate__(self) -> dict:
+        return vars(self) | {"_at": -1, "_open": {}}
+
+    def group(self, lang: str) -> int:
+        """Number of the group that a language is in if it has references; -1 before the first."""
+        return bisect_right(self.starts, lang) - 1
+
+    def _load(self, at: int) -> dict[str, Reference]:
+        if at != self._at:
+            if self._at >= 0 and len(self.groups) > HELD_GROUPS:
+                vars(self.groups[self._at]).pop("_value", None)
+            self._open = self.groups[at].value
+            self._at = at
+        return self._open
+
+    def __getitem__(self, lang: str) -> Reference:
+        at = -1 if lang is None else self.group(lang)
+        if at < 0:
+            raise KeyError(lang)
+        return self._load(at)[lang]
+
+    def __iter__(self) -> Iterator[str]:
+        for at in range(len(self.groups)):
+            yield from list(self._load(at))
+
+    def __len__(self) -> int:
+        return sum(self.sizes)
+
+
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64())])
     words: dict[str, Counter] = defaultdict(Counter)
@@ -152,42 +193,47 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(2, [(lang, b"", n) for lang, n in totals.items()])
 
 
-def references(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
-    """The references of every language, counted over all documents. At most max_languages of them, the largest,
-    come to the driver, each with at most (len(CLASSES) + 1) * (STEPS + 1) + 1 numbers, whatever the corpus."""
+def references(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> References:
+    """The references of every language, counted over all documents. They come to the driver GROUP languages at a time,
+    each with at most common_words + len(CLASSES) * (STEPS + 1) + 1 numbers, whatever the corpus."""
     bound_batches(spark)
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_counts, "lang string, kind int, key binary, n long")
     summed = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     # one rank limit for all, so that each task ranks its own best first and passes no more than those on
     limit = max(rules.common_words, STEPS + 1)
     best = Window.partitionBy("lang", "kind", F.when(F.col("kind") == 0, F.substring("key", 1, 1))).orderBy(F.desc("n"), "key")
-    top = summed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit).drop("r")
-    top = top.withColumn("total", F.max(F.when(F.col("kind") == 2, F.col("n"))).over(Window.partitionBy("lang")))
-    largest = top.orderBy(F.desc("total"), "lang").limit(rules.max_languages * (limit + len(CLASSES) * (STEPS + 1) + 1))
-    out: dict[str, Reference] = {}
-    totals_of: dict[str, int] = {}
-    rows = defaultdict(list)
-    for r in largest.collect():
-        if r["total"] and (r["lang"] in totals_of or len(totals_of) < rules.max_languages):
-            totals_of[r["lang"]] = int(r["total"])
+    ranked = summed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit)
+    scratch = Scratch(spark, "references")
+    top = scratch.table(ranked.where((F.col("kind") != 1) | (F.col("r") <= rules.common_words)).drop("r"), "top")
+    totals_of = {r["lang"]: int(r["n"]) for r in top.where("kind = 2 and n > 0").select("lang", "n").collect()}
+    langs = sorted(totals_of)
+    parts = [langs[i : i + GROUP] for i in range(0, len(langs), GROUP)]
+    groups = []
+    for part in parts:
+        rows = defaultdict(list)
+        for r in top.where(F.col("lang").between(part[0], part[-1])).collect():
             rows[r["lang"], r["kind"]].append((bytes(r["key"]), int(r["n"])))
-    for lang, total in totals_of.items():
-        bins = np.zeros((len(CLASSES), STEPS + 1), np.int64)
-        for key, n in rows[lang, 0]:
-            bins[key[0], key[1]] = n
-        upto = bins.cumsum(axis=1)
-        chars = (2 * upto >= upto[:, -1:]).argmax(axis=1).astype(float)
-        chars = chars if chars.sum() else np.ones(len(CLASSES))
-        common = sorted(rows[lang, 1], key=lambda x: (-x[1], x[0]))[: rules.common_words]
-        shares = np.array([n for _, n in common] + [total - sum(n for _, n in common)], float)
-        out[lang] = Reference(chars, {w: i for i, (w, _) in enumerate(common)}, shares)
-    return out
+        groups.append(spark.sparkContext.broadcast({lang: _reference(rows[lang, 0], rows[lang, 1], totals_of[lang]) for lang in part}))
+    scratch.drop("top")
+    return References(groups, [p[0] for p in parts], [len(p) for p in parts])
+
+
+def _reference(classes: list[tuple[bytes, int]], words: list[tuple[bytes, int]], total: int) -> Reference:
+    bins = np.zeros((len(CLASSES), STEPS + 1), np.int64)
+    for key, n in classes:
+        bins[key[0], key[1]] = n
+    upto = bins.cumsum(axis=1)
+    chars = (2 * upto >= upto[:, -1:]).argmax(axis=1).astype(float)
+    chars = chars if chars.sum() else np.ones(len(CLASSES))
+    common = sorted(words, key=lambda x: (-x[1], x[0]))
+    shares = np.array([n for _, n in common] + [total - sum(n for _, n in common)], float)
+    return Reference(chars, {w: i for i, (w, _) in enumerate(common)}, shares)
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 
 
-def judge_text(text: bytes | None, lang: str | None, refs: dict[str, Reference], rules: Rules) -> tuple:
+def judge_text(text: bytes | None, lang: str | None, refs: Mapping[str, Reference], rules: Rules) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept."""
     text = text or b""
     words = text.split()
@@ -195,26 +241,40 @@ def judge_text(text: bytes | None, lang: str | None, refs: dict[str, Reference],
     points, white = int(counts[_POINT].sum()), int(counts[_WHITE].sum())
     again = repeated_words(words)
     failed = len(words) < rules.min_base_words or 100 * again > rules.max_repeat_percent * len(words)
-    near = [refs[lang]] if lang in refs else list(refs.values())
     by_char = by_word = None
-    if near and points >= rules.min_chars:
+    long, wordy = points >= rules.min_chars, len(words) >= rules.min_words
+    if long or wordy:
+        own = refs.get(lang)
         c = class_counts(counts)
-        by_char = min(distance(c, r.chars) for r in near)
-    if near and len(words) >= rules.min_words:
-        seen = Counter(text.lower().split())
-        found = []
-        for r in near:
-            h = np.zeros(len(r.shares))
-            for w, i in r.words.items():
-                h[i] = seen.get(w, 0)
-            h[-1] = len(words) - h.sum()
-            found.append(distance(h, r.shares))
-        by_word = min(found)
+        seen = Counter(text.lower().split()) if wordy else Counter()
+        # one reference at a time, as those of all languages need not fit
+        for r in (own,) if own else refs.values():
+            if long:
+                d = distance(c, r.chars)
+                by_char = d if by_char is None else min(by_char, d)
+            if wordy:
+                h = np.zeros(len(r.shares))
+                for w, i in r.words.items():
+                    h[i] = seen.get(w, 0)
+                h[-1] = len(words) - h.sum()
+                d = distance(h, r.shares)
+                by_word = d if by_word is None else min(by_word, d)
     bad = (by_char is not None and by_char > rules.max_char_distance) or (by_word is not None and by_word > rules.max_word_distance)
     return len(words), points - white, int(counts[_SYMBOL].sum()), repeated_lines(text), again, failed, by_char, by_word, not (failed or bad)
 
 
-def judge(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), refs: dict[str, Reference] | None = None) -> DataFrame:
+def _judged(batch: pa.RecordBatch, langs: list[str | None], refs: Mapping[str, Reference], rules: Rules) -> list[tuple]:
+    """judge_text of every row; rows of the same group of languages after each other, so that it is loaded once."""
+    rows, out = raw(batch), [()] * batch.num_rows
+    order = range(len(rows))
+    if isinstance(refs, References) and len(refs.groups) > HELD_GROUPS:
+        order = sorted(order, key=lambda i: -1 if langs[i] is None else refs.group(langs[i]))
+    for i in order:
+        out[i] = judge_text(rows[i], langs[i], refs, rules)
+    return out
+
+
+def judge(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), refs: Mapping[str, Reference] | None = None) -> DataFrame:
     """One row of counts, distances and verdict for every row of ``docs`` (doc_id, text, lang)."""
     bound_batches(spark)
     refs = references(spark, docs, rules) if refs is None else refs
@@ -222,7 +282,7 @@ def judge(spark: SparkSession, docs: DataFrame, rules: Rules = Rules(), refs: di
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [judge_text(t, lang, refs, rules) for t, lang in zip(raw(batch), batch.column("lang").to_pylist(), strict=True)]
+            rows = _judged(batch, batch.column("lang").to_pylist(), refs, rules)
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in COLUMNS.split(", ")])
 
@@ -237,6 +297,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> D
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             langs = batch.column("lang").cast(pa.string()).to_pylist()
-            yield batch.filter(pa.array([judge_text(t, lang, refs, rules)[-1] for t, lang in zip(raw(batch), langs, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([x[-1] for x in _judged(batch, langs, refs, rules)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
