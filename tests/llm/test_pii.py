@@ -78,3 +78,19 @@ def test_reliabilities_are_recovered():
 def test_luhn_and_bank_numbers():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.iban_ok("DE89 3704 0044 0532 0130 00") and not pii.iban_ok("DE88 3704 0044 0532 0130 00")
+
+
+def test_long_secrets_are_found_whole(spark, documents):
+    import random
+
+    rng = random.Random(5)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, f"some words here token = {run('0123456789abcdef', n)} and more") for i, n in enumerate([40] * 12 + [128, 129, 256, 4096])]
+    rows += [(20 + i, f"the bearer eyJ{run(word, n)} is sent") for i, n in enumerate((100, 200, 1000))]
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(spark, documents(rows)).collect()}
+    for i, t in rows:
+        start = t.index("eyJ") if i >= 20 else t.index("= ") + 2
+        assert f"secret:{start}:{t.index(' ', start)}" in got[i], (i, got[i])
+    text = "key " + "a1/+" * 200_000
+    assert pii.candidates(text, []) == [(pii.KINDS.index("secret"), 4, len(text))]

@@ -55,7 +55,7 @@ KNOWN_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_",
 IBAN_COUNTRIES = ("DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "PT", "IE", "LU")
 
 _CANDIDATES = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,128}(?![A-Za-z0-9_/+-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+")),
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
     ("name", re.compile(r"\b(?:" + "|".join(GIVEN) + r") (?:[A-Z]\. )?[A-Z][a-zà-ÿ]+\b")),
@@ -128,7 +128,7 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
     before = re.findall(r"[^\W_][\w]*", text[max(0, start - 40) : start].lower())[-4:]
     digits = sum(c.isdigit() for c in span)
     if name == "secret":
-        pattern = 1 if re.fullmatch(r"[0-9a-f]{32,128}|[A-Z0-9]{20}|[A-Za-z0-9_-]{32,}", span) else 0
+        pattern = 1 if re.fullmatch(r"[0-9a-f]{32,}|[A-Z0-9]{20}|[A-Za-z0-9_-]{32,}", span) else 0
         gazetteer = 1 if span.startswith(KNOWN_PREFIXES) else 0
     elif name == "national_id":
         pattern = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
