@@ -125,6 +125,20 @@ def test_duplicate_vectors_have_edges(spark):
     assert edges.where("src >= dst").count() == 0 and edges.count() > 0
 
 
+
+def test_ties_beyond_the_kept_candidates_go_to_the_smaller_id(spark):
+    """A third of the rows are copies of one vector; each has more neighbours at distance 0 than are kept."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16))
+    x[200:400] = x[200]
+    x[400:430] = x[400] + 1e-3
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    best = np.argsort(d2, axis=1, kind="stable")[:, :8]
+    got = {(r["i"], r["rank"]): r["j"] for r in knn.knn(rows, 8, block_rows=300).collect()}
+    assert got == {(i, r + 1): int(j) for i in range(600) for r, j in enumerate(best[i])}
+
+
 def connected_inside(labels, pairs):
     parent = {n: n for n in labels}
 

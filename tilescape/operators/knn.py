@@ -26,6 +26,7 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
     xr, jr = x[order], ids[order]
     norms = (xr * xr).sum(1)
     keep = min(len(order), k + 8)  # products rank roughly, differences decide
+    rounding = 8 * (x.shape[1] + 4) * np.finfo(float).eps
     out: list[pa.Table] = []
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
@@ -36,7 +37,17 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
         d2 = ((xl[:, None, :] - xr[near]) ** 2).sum(2)
         best = np.argsort(d2, axis=1, kind="stable")[:, : min(k, keep)]
         r = np.arange(len(rows))[:, None]
-        out.append(pa.table({"i": np.repeat(ids[rows], best.shape[1]), "j": jr[near[r, best]].ravel(), "d2": d2[r, best].ravel()}))
+        near, d2 = near[r, best], d2[r, best]
+        if keep < len(order):
+            # rows that the products cannot tell from the k-th may be more than were kept
+            bound = np.partition(rough, min(k, keep) - 1, axis=1)[:, min(k, keep) - 1] + rounding * (norms.max() + (xl * xl).sum(1))
+            alike = rough <= bound[:, None]
+            for n in np.flatnonzero(alike.sum(1) > keep):
+                among = np.flatnonzero(alike[n])
+                exact = ((xl[n] - xr[among]) ** 2).sum(1)
+                first = np.argsort(exact, kind="stable")[: best.shape[1]]
+                near[n], d2[n] = among[first], exact[first]
+        out.append(pa.table({"i": np.repeat(ids[rows], best.shape[1]), "j": jr[near].ravel(), "d2": d2.ravel()}))
     return pa.concat_tables(out)
 
 
