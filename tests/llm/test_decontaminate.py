@@ -81,3 +81,21 @@ def test_empty_benchmarks_and_shards(spark, documents, benchmark, monkeypatch):
     monkeypatch.setattr(D, "SHARD_CHARS", 500)
     assert [r["doc_id"] for r in D.leaks(spark, documents([(1, item), (1, item)]), benchmark).collect()] == [1, 1]
     assert D.leaks(spark, documents([]), benchmark).count() == 0
+
+
+def test_short_items_are_found_at_bounds_of_words(spark, documents):
+    items = [(1, "Who wrote Hamlet?"), (2, "中华民国成立于哪一年"), (3, "Name the red planet"), (4, "yes"), (5, "it is so"), (6, "our ten art kings")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "quiz: who  wrote hamlet? shakespeare did"),
+        (2, "请问中华民国成立于哪一年呢"),
+        (3, "(name the rad planet)"),  # one edit of 19 characters
+        (4, "yes it is so"),
+        (5, "four ten art kingship"),
+        (6, "nothing of it"),
+        (7, None),
+    ]
+    docs = documents(rows)
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in D.leaks(spark, docs, benchmark).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 1)}
+    assert {r["doc_id"] for r in D.without_leaks(spark, docs, benchmark).collect()} == {4, 5, 6, 7}

@@ -5,14 +5,17 @@ least one piece then occurs unchanged, so an automaton over all pieces finds eve
 count rules out most chance hits (an occurrence keeps at least m + 1 - q - k * q of the item's q-grams), and
 Myers' bit-parallel distance decides the rest. Texts are compared lower-cased, with white space runs as one space.
 
-Defined results: null or empty texts match nothing; items that are null or shorter than ``min_chars`` are not
-searched for; repeated items are found under each item_id; repeated documents are reported or removed alike; an
+Items shorter than ``min_chars`` are searched for with the same budget, but count only where they begin and end at
+the bounds of words; those whose few words any text may hold by chance (see ``telling``) are left out.
+
+Defined results: null or empty texts match nothing; items that are null or do not tell are not searched for; repeated items are found under each item_id; repeated documents are reported or removed alike; an
 empty benchmark removes nothing; extra columns pass through ``without_leaks`` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +29,12 @@ from tilescape.llm.common import batches, bound_batches, texts
 #: Characters of items that one automaton holds; a larger benchmark is searched in several passes.
 SHARD_CHARS = 8_000_000
 Q = 5
+#: Scripts that write without spaces: characters that are words or large parts of them, and alphabets.
+_IDEOGRAPHS = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff{_IDEOGRAPHS}]")
+_IDEOGRAPH = re.compile(f"[{_IDEOGRAPHS}]")
+_HANGUL = re.compile("[\uac00-\ud7a3]")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalised(text: str | None) -> str:
@@ -36,6 +45,44 @@ def budget(length: int, rate: float) -> int:
     return int(length * rate)
 
 
+def telling(text: str) -> bool:
+    """Whether an item's words are too many to stand in a text by chance: three different words of 12 letters and
+    digits in all (a Hangul syllable is two), or 8 ideographs or kana, or 16 letters of another script without spaces."""
+    words = _WORD.findall(text)
+    if len(_IDEOGRAPH.findall(text)) >= 8 or len(_UNSPACED.findall(text)) >= 16:
+        return True
+    return len(set(words)) >= 3 and sum(map(len, words)) + len(_HANGUL.findall(text)) >= 12
+
+
+def _parted(text: str, at: int) -> bool:
+    """Whether a word may begin or end at a place of the text."""
+    if not 0 < at < len(text):
+        return True
+    a, b = text[at - 1], text[at]
+    return not (a.isalnum() and b.isalnum()) or bool(_UNSPACED.match(a) or _UNSPACED.match(b))
+
+
+def at_bounds(pattern: str, text: str, k: int, low: int, high: int) -> tuple[int, int]:
+    """(distance, end) of the best occurrence of a short pattern in text[low:high] that begins and ends at bounds of
+    words, by the plain table from every start that is such a bound; a distance of k + 1 if there is none."""
+    best = (k + 1, 0)
+    high = min(high, len(text))
+    for start in range(low, high):
+        if not _parted(text, start):
+            continue
+        row = list(range(len(pattern) + 1))
+        for end in range(start + 1, min(high, start + len(pattern) + k) + 1):
+            c, above = text[end - 1], row[0]
+            row[0] = end - start
+            for j, p in enumerate(pattern, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (p != c))
+            if row[-1] < best[0] and _parted(text, end):
+                best = (row[-1], end)
+            if min(row) >= best[0]:
+                break
+    return best
+
+
 def pieces(text: str, k: int) -> list[tuple[int, str]]:
     """(offset, piece) of the k + 1 pieces."""
     at = [len(text) * j // (k + 1) for j in range(k + 2)]
@@ -78,9 +125,10 @@ def positions(pattern: str) -> dict[str, int]:
 class Matcher:
     """The items of one shard, ready to search texts."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], rate: float) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...], rate: float, min_chars: int = 0) -> None:
         import ahocorasick
 
+        self.min_chars = min_chars  # shorter items need bounds of words
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.items = []
         for n, (item, text) in enumerate(items):
@@ -121,15 +169,18 @@ class Matcher:
                     if sum(g in there for g in grams) < need:
                         continue
                 d, end = myers(pattern, window, peq)
+                end += low
+                if m < self.min_chars and d < best[0]:
+                    d, end = at_bounds(pattern, text, k, low, high)
                 if d < best[0]:
-                    best = (d, low + end)
+                    best = (d, end)
             if best[0] <= k:
                 yield item, best[0], k, best[1]
 
 
 @lru_cache(maxsize=2)
-def _matcher(key: str, items: tuple, rate: float) -> Matcher:
-    return Matcher(items, rate)
+def _matcher(key: str, items: tuple, rate: float, min_chars: int) -> Matcher:
+    return Matcher(items, rate, min_chars)
 
 
 def _shards(benchmark: DataFrame, min_chars: int) -> list[tuple[tuple[int, str], ...]]:
@@ -140,7 +191,7 @@ def _shards(benchmark: DataFrame, min_chars: int) -> list[tuple[tuple[int, str],
     for s in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == s).collect()
         ready = sorted((r["item_id"], normalised(r["text"])) for r in rows)
-        if ready := tuple(x for x in ready if len(x[1]) >= min_chars):
+        if ready := tuple(x for x in ready if len(x[1]) >= min_chars or telling(x[1])):
             yield ready
 
 
@@ -155,7 +206,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, rate: f
         key = hashlib.sha256(repr(shard).encode()).hexdigest()
 
         def run(it: Iterator[pa.RecordBatch], shard=shard, key=key) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, shard, rate)
+            matcher = _matcher(key, shard, rate, min_chars)
             rows = (
                 {"doc_id": i, "item_id": item, "distance": d, "budget": k, "end_at": end}
                 for batch in it
@@ -176,7 +227,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         key = hashlib.sha256(repr(shard).encode()).hexdigest()
 
         def run(it: Iterator[pa.RecordBatch], shard=shard, key=key) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(key, shard, rate)
+            matcher = _matcher(key, shard, rate, min_chars)
             for batch in it:
                 yield batch.filter(pa.array([next(matcher.search(normalised(t)), None) is None for t in texts(batch)], pa.bool_()))
 
