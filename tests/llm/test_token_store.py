@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -82,10 +83,34 @@ def test_empty_table(spark, documents):
 def test_segments_give_the_librarys_ids(library):
     rng = random.Random(4)
     bits = ["a", " ", "  ", "\n", "\n\n", "'s", "é", "1", "23", ".", "!", "<|endoftext|>", "word", "The", "\t", " ", "漢字", "don't", "x'", "🙂", "\r\n", " ", "Ünï", ".\nSo", "é", "²"]
-    encode = T.encoder(PATH)
-    for _ in range(4000):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
-        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    ids, stops = T.encoder(PATH).batch(pa.array(texts), 2)
+    assert ids[stops - 1].tolist() == [2] * len(texts)
+    for text, part in zip(texts, np.split(ids, stops[:-1]), strict=True):
+        assert part[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert T.encoder(PATH)(texts[0]) == ids[: stops[0] - 1].tobytes()
+
+
+def test_characters_give_the_librarys_ids(library):
+    """Every character of the first planes' beginnings, beside letters, digits and signs."""
+    texts = [f"a{c} {c}b {c}{c}.{c} 1{c}\n{c}" for c in map(chr, [*range(1, 0x530), 0x660, 0x2019, 0x3000, 0x4E00, 0x1F600])]
+    ids, stops = T.encoder(PATH).batch(pa.array(texts), 2)
+    for text, part in zip(texts, np.split(ids, stops[:-1]), strict=True):
+        assert part[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 3)
+    encode = T.Encoder(PATH)
+    for texts in (["one two three four", ""], ["five two, two.", "one"], ["one two three four five"]):
+        ids, stops = encode.batch(pa.array(texts), 2)
+        assert [p[:-1].tolist() for p in np.split(ids, stops[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "", "c" * 9, "dd", "ee"])], names=["text"])
+    parts = [p.column("text").to_pylist() for p in T.by_bytes(batch, 4)]
+    assert parts == [["ab", None, ""], ["c" * 9], ["dd", "ee"]]
 
 
 def test_chunks_follow_content():

@@ -27,12 +27,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,154 +46,190 @@ WINDOW = 8
 #: A chunk ends where this many low bits of the rolling hash are zero: 256 ids on average, within the limits below.
 MASK_BITS = 8
 SHORTEST, LONGEST = 64, 1024
-#: Segments that a Python worker remembers before it drops those not used for a while; up to as many older ones stay.
-REMEMBERED = 300_000
+#: Pieces that a Python worker remembers before it drops those that the last texts did not have.
+REMEMBERED = 1_000_000
 #: Texts that are encoded together.
-GROUP_BYTES = 8 << 20
-#: White space other than the space and the line feed, as plain searches for one character are the fastest.
-_OTHER_WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-_ASCII_WHITE = tuple(c for c in _OTHER_WHITE if c.isascii())
+GROUP_BYTES = 4 << 20
+#: White space other than the space and the line feed.
+_OTHER_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 STORE = "part int, doc_id long, uid long, n_tokens long, local_start long, digests array<binary>, lens array<int>, held array<int>, shared array<int>, data binary, leaf binary"
 
 
-class _Pieces(dict):
-    """Packed ids of pieces (letters, signs or a line feed, with or without a space before) that the pre-tokenizer
-    would part there too. They go straight to the merges of the vocabulary."""
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin .. begin + size of all ranges in a row."""
+    upto = np.cumsum(size, dtype=np.int64)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, int(begin.max(initial=0))) < 1 << 30 else np.int64
+    at = np.repeat((begin - (upto - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return at
 
-    def __init__(self, tokenizer, pack: Callable[[list[int]], bytes]) -> None:
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenize, self.pack = tokenizer.model.tokenize, pack
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        # the byte-level alphabet of the characters that pieces are made of
-        self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in " \n" + "".join(map(chr, range(0x21, 0x7F))) + "".join(map(chr, range(0xC0, 0x100)))}
+class _Learned:
+    """Ids of the pieces met so far: pieces in an Arrow array, their ids in a row in another."""
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.pack([t.id for t in self.tokenize(piece.translate(self.table))])
-        return out
+    def __init__(self, dtype: np.dtype) -> None:
+        self.pieces, self.ids, self.size = pa.array([], pa.string()), np.empty(0, dtype), np.empty(0, np.int64)
 
+    def begin(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
 
-class _Segments(dict):
-    """Packed ids of segments that follow a space, learned from the library when first asked for."""
+    def add(self, pieces: pa.Array, ids: list[list[int]]) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.ids.dtype)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
 
-    _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-    _SPLIT = re.compile(rf"[{_LETTERS}]+|[.,;:!?#%&$*|]+|\n(?=[{_LETTERS}])").findall
+    def keep(self, at: np.ndarray) -> None:
+        """Drop all but the pieces at these places."""
+        self.ids = self.ids[spread(self.begin()[at], self.size[at])]
+        self.pieces, self.size = self.pieces.take(pa.array(at)), self.size[at]
 
-    def __init__(self, tokenizer, pack: Callable[[list[int]], bytes]) -> None:
-        self.encode, self.tokenize, self.pack = tokenizer.encode, tokenizer.model.tokenize, pack
-        self.pieces = _Pieces(tokenizer, pack)
-        self.older: dict[str, bytes] = {}
-        # trust the short way only if it gives what the library gives
-        probe = " naïve,\nword one."
-        self.direct = b"".join(self.pieces[x] for x in (" naïve", ",", "\n", "word", " one", ".")) == pack(self.encode(probe, add_special_tokens=False).ids)
-
-    def __missing__(self, segment: str) -> bytes:
-        if (out := self.older.get(segment)) is not None:
-            self[segment] = out
-            return out
-        if self.direct and segment.isascii() and segment.isalpha():
-            out = self[segment] = self.pack([t.id for t in self.tokenize("\u0120" + segment)])
-            return out
-        parts = self._SPLIT(segment) if self.direct else []
-        if parts and parts[0] != "\n" and "".join(parts) == segment:
-            pieces = self.pieces
-            if len(parts) == 1:
-                out = self.pack([t.id for t in self.tokenize(f" {segment}".translate(pieces.table))])
-            else:
-                head = self[parts[0]] if parts[0][0].isalpha() else pieces[f" {parts[0]}"]
-                out = head + pieces[parts[1]] if len(parts) == 2 else head + b"".join([pieces[p] for p in parts[1:]])
-        else:
-            out = self.pack(self.encode(f" {segment}", add_special_tokens=False).ids)
-        self[segment] = out
-        return out
-
-    def start(self, segment: str) -> bytes:
-        """Ids of a segment that no space precedes."""
-        parts = self._SPLIT(segment) if self.direct else []
-        if "".join(parts) == segment and parts and parts[0] != "\n":
-            return b"".join([self.pieces[p] for p in parts])
-        return self.pack(self.encode(segment, add_special_tokens=False).ids)
 
-    def forget(self) -> None:
-        """Drop what has not been asked for since the last time."""
-        self.older = dict(self)
-        self.clear()
-        self.pieces.clear()
+class Encoder:
+    """Ids of texts by the tokenizers library.
 
+    Byte-level vocabularies are encoded by segment: texts are cut at spaces, and the different segments into pieces (letters,
+    digits, signs or a line feed, with or without a space before) where the pre-tokenizer cuts them too. Each different
+    piece goes straight to the merges of the vocabulary, once; what is made of other characters goes through the library.
+    """
 
-class Encoder:
-    """Ids of texts as packed bytes, by the tokenizers library. Byte-level vocabularies are encoded by segment."""
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ſΑ-ΡΣ-Ωα-ωА-я"
+    #: ASCII signs but the apostrophe, which begins contractions.
+    SIGNS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    PIECE = f"( ?[{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\n)"
+    #: Segments that PIECE cuts as the pre-tokenizer does: no white space but single line feeds, and none after the space.
+    REGULAR = f"^(?: ?[{LETTERS}0-9{SIGNS}]+)?(?:\n[{LETTERS}0-9{SIGNS}]+)*\n?$"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if code == "H" else "<u4")
-        self.pack = lambda ids: array(code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.by_segment = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.segments = _Segments(self.tokenizer, self.pack)
+        self.learned = _Learned(self.dtype)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level alphabet of the characters that pieces are made of
+        self.table = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x20, 0x450) if re.fullmatch(f"[ {self.LETTERS}0-9{self.SIGNS}]", chr(c))} | {10: level.pre_tokenize_str("\n")[0][0]}
+        # a space with white space at its side is no place to cut; special tokens are for the library alone
+        self.unsafe = "|".join(["  ", "\n ", " \n", f"[{_OTHER_WHITE}]", *("".join(c if c.isalnum() else f"\\{c}" for c in s) for s in self.special)])
+        # trust the short way only if it gives what the library gives
+        probe = " naïve,\nword one 12."
+        self.direct = self.by_segment and [i for x in (" naïve", ",", "\n", "word", " one", " 12", ".") for i in self._merged(pa.array([x]))[0]] == self.whole(probe)
 
-    def whole(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _safe(self, text: str) -> bool:
-        """Whether every space of the text is a place to cut: none has white space at its side."""
-        if not self.by_segment or any(s in text for s in self.special):
-            return False
-        return not ("  " in text or "\n " in text or " \n" in text or any(c in text for c in (_ASCII_WHITE if text.isascii() else _OTHER_WHITE)))
+    def _merged(self, pieces: pa.Array) -> list[list[int]]:
+        tokenize, table = self.tokenizer.model.tokenize, self.table
+        plain = pc.replace_substring(pc.replace_substring(pieces, " ", table[32]), "\n", table[10])  # ASCII signs and letters stand for themselves
+        names = pc.if_else(pc.string_is_ascii(pieces), plain, pieces).to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        other = np.flatnonzero(~pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False)).tolist()
+        for i in other:
+            names[i] = names[i].translate(table)
+        return [[t.id for t in tokenize(p)] for p in names]
 
     def __call__(self, text: str) -> bytes:
         """Packed ids of one text."""
-        if not self.by_segment or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if not self._safe(text):
-            first, rest = self._joined(first, rest)
-        return self.segments.start(first) + b"".join(map(self.segments.__getitem__, rest))
-
-    def batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.batch(pa.array([text], pa.string()), 0)[0][:-1].tobytes()
+
+    def _cut(self, segments: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of segments: numbers of the pieces in a row, how many each segment has; ids of the pieces, where they
+        begin, how many each has. Segments marked as whole go through the library as they are."""
+        mask = lambda pattern: pc.match_substring_regex(segments, pattern).to_numpy(zero_copy_only=False) if self.direct else whole
+        words, regular = mask(f"^ ?[{self.LETTERS}]+$") & ~whole, mask(self.REGULAR) & ~whole  # a word is one piece, and most segments are words
+        mixed = regular & ~words
+        odd = np.flatnonzero(~regular)
+        cut = pc.split_pattern(pc.replace_substring_regex(segments.filter(pa.array(mixed)), self.PIECE, "\x1f\\1"), "\x1f")
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        wanted = np.ones(ends[-1] - ends[0], bool)
+        wanted[ends[:-1] - ends[0]] = False  # what stands before the first piece, nothing
+        coded = pa.concat_arrays([segments.filter(pa.array(words)), cut.flatten().filter(pa.array(wanted))]).dictionary_encode()
+        pieces = coded.dictionary
+        at = pc.index_in(pieces, value_set=self.learned.pieces)
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            self.learned.add(new, self._merged(new))
+            at = at.fill_null(-1).to_numpy().copy()
+            at[at < 0] = np.arange(len(self.learned.pieces) - len(new), len(self.learned.pieces))
+        else:
+            at = at.to_numpy()
+        if len(self.learned.pieces) > REMEMBERED:
+            self.learned.keep(at)
+            at = np.arange(len(pieces))
+        # each odd segment is one piece of its own, after all others
+        others = [self.whole(s) for s in segments.take(pa.array(odd)).to_pylist()]
+        size = np.concatenate([self.learned.size, np.fromiter(map(len, others), np.int64, len(others))])
+        ids = np.concatenate([self.learned.ids, np.fromiter(chain.from_iterable(others), self.dtype)])
+        count = np.ones(len(segments), np.int64)
+        count[mixed] = np.diff(ends) - 1
+        numbers = np.empty(int(count.sum()), np.int64)
+        known, single = at[coded.indices.to_numpy()], int(words.sum())
+        kind = np.repeat(np.where(words, 0, np.where(mixed, 1, 2)), count)
+        numbers[kind == 0], numbers[kind == 1] = known[:single], known[single:]
+        numbers[kind == 2] = len(self.learned.size) + np.arange(len(odd))
+        return numbers, count, ids, np.cumsum(size) - size, size
+
+    def batch(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by the end id, and the places where they end.
 
-        The segments of all texts are numbered by Arrow, so that Python looks each different one up once.
+        The segments of all texts are numbered by Arrow, so that each different one is cut once.
         """
-        if len(self.segments) > REMEMBERED:
-            self.segments.forget()
-        safe = [self._safe(t) for t in texts]
-        starts = [self.segments.start(t.partition(" ")[0]) if ok else self(t) for t, ok in zip(texts, safe, strict=True)]
-        split = pc.split_pattern(pa.array(texts if all(safe) else [t if ok else "" for t, ok in zip(texts, safe, strict=True)], pa.string()), " ")
+        unsafe = pc.match_substring_regex(texts, self.unsafe) if self.by_segment else pa.array(np.ones(len(texts), bool))
+        split = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
-        packed = [*map(self.segments.__getitem__, names), *starts, np.array([end_id], self.dtype).tobytes()]
-        number = coded.indices.to_numpy().astype(np.int32)
-        number[offsets[:-1]] = len(names) + np.arange(len(texts))  # no space precedes a text's first segment
-        number = np.insert(number, offsets[1:], len(packed) - 1)
-        blob = np.frombuffer(b"".join(packed), self.dtype)
-        # a group of texts has far fewer than 2 ** 31 ids
-        size = np.fromiter(map(len, packed), np.int32, len(packed)) // self.dtype.itemsize
-        begin = np.cumsum(size, dtype=np.int32) - size
-        each = size[number]
-        upto = np.cumsum(each, dtype=np.int32)
-        at = np.repeat(begin[number] - (upto - each), each)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = blob[at]
-        return ids, upto[offsets[1:] + np.arange(len(texts))].astype(np.int64)
-
-    @staticmethod
-    def _joined(first: str, rest: list[str]) -> tuple[str, list[str]]:
-        out, before = [first], first
-        for p in rest:
-            if p and before and not p[0].isspace() and not before[-1].isspace():
-                out.append(p)
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), coded.dictionary, pa.scalar(""))
+        first = split.values.take(pa.array(offsets[:-1]))  # no space precedes a text's first segment
+        rest, uncut, places = [], [], []
+        for i in np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist():
+            parts = self._parts(text := texts[i].as_py())
+            rest += parts
+            uncut += [any(s in text for s in self.special)] * len(parts)
+            places.append((i, len(parts)))
+        numbers, count, ids, begin, size = self._cut(pa.concat_arrays([spaced, first, pa.array(rest, pa.string())]), np.concatenate([np.zeros(len(spaced) + len(texts), bool), np.array(uncut, bool)]))
+        # the segments' numbers text by text; a safe text's are its split, another's its parts
+        number = coded.indices.to_numpy().astype(np.int64)
+        number[offsets[:-1]] = len(spaced) + np.arange(len(texts))
+        each = np.diff(offsets)
+        if places:
+            where = np.array([i for i, _ in places])
+            parts = np.array([n for _, n in places])
+            keep = np.ones(len(number), bool)
+            keep[offsets[where]] = False  # the empty stand-in
+            number = np.insert(number[keep], np.repeat(offsets[where] - np.arange(len(where)), parts), len(spaced) + len(texts) + np.arange(parts.sum()))
+            each[where] = parts
+        # the end id is one more segment, of one more piece
+        number = np.insert(number, np.cumsum(each), len(count))
+        numbers, count = np.append(numbers, len(size)), np.append(count, 1)
+        begin, size, ids = np.append(begin, len(ids)), np.append(size, 1), np.append(ids, np.array([end_id], self.dtype))
+        first_piece = np.cumsum(count) - count
+        per_segment = np.add.reduceat(size[numbers], first_piece[count > 0]) if len(numbers) else np.empty(0, np.int64)
+        length = np.zeros(len(count), np.int64)
+        length[count > 0] = per_segment
+        pieces = numbers[spread(first_piece[number], count[number])]
+        out = ids[spread(begin[pieces], size[pieces])]
+        stops = np.cumsum(length[number])[np.cumsum(each + 1) - 1]
+        return out, stops
+
+    def _parts(self, text: str) -> list[str]:
+        """A text in parts that can be encoded one by one: at spaces between two characters other than white space."""
+        if not self.by_segment or any(s in text for s in self.special):
+            return [text]
+        out = before = None
+        for p in text.split(" "):
+            if out is None:
+                out = [p]
+            elif p and before and not p[0].isspace() and not before[-1].isspace():
+                out.append(f" {p}")
             else:
                 out[-1] += f" {p}"
             before = p
-        return out[0], out[1:]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -252,16 +287,30 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def by_bytes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes of text, or of one row."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _encode(path: str, end_id: int) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lens", pa.list_(pa.int32())), ("data", pa.binary()), ("leaf", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         size, uid = enc.dtype.itemsize, TaskContext.get().partitionId() << 36
+
         def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             nonlocal uid
-            texts = [t or "" for b in held for t in b.column("text").to_numpy(zero_copy_only=False).tolist()]
+            texts = pa.concat_arrays([b.column("text") for b in held]).fill_null("")
             ids, stops = enc.batch(texts, end_id)
+            if len(ids) * size >= 1 << 31:
+                raise ValueError("a text has more ids than one Arrow value can hold")
             stream, found = memoryview(ids.tobytes()), marks(ids).tolist()
             digests, lens, counts, leaves, at = [], [], [0], [], 0
             for stop in stops.tolist():
@@ -282,11 +331,12 @@ def _encode(path: str, end_id: int) -> Callable:
 
         held, weight = [], 0
         for batch in it:
-            held.append(batch)
-            weight += batch.nbytes
-            if weight >= GROUP_BYTES:
-                yield pack(held)
-                held, weight = [], 0
+            for part in by_bytes(batch, GROUP_BYTES):
+                held.append(part)
+                weight += part.nbytes
+                if weight >= GROUP_BYTES:
+                    yield pack(held)
+                    held, weight = [], 0
         if held:
             yield pack(held)
 
