@@ -61,6 +61,31 @@ def test_repeated_rows_and_null_ids(spark, documents):
     assert len(out) == 4 and sum(r["kept"] for r in out) == 3  # both rows of document 1, and the wordless one
 
 
+def test_repeated_ids_with_different_texts_and_nulls(spark, documents):
+    one, other = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda words: " ".join([*words[:-1], "tail"])
+    df = documents([(5, " ".join(one)), (5, " ".join(other)), (7, near(one)), (3, near(other)), (None, near(one) + " more"), (None, "x y z u v"), (None, "x y z u v")])
+    for _ in range(2):
+        out = near_dup.near_duplicates(spark, df.repartition(5), width=3, percent=85).collect()
+        expected = [(5, 5, True), (5, 3, False), (7, 5, False), (3, 3, True), (None, 5, False), (None, None, True), (None, None, True)]
+        assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in out), key=repr) == sorted(expected, key=repr)
+
+
+def test_any_64_bit_ids(spark, documents):
+    words = [f"w{i}" for i in range(80)]
+    ids = [2**62, 2**62 + 1, 2**63 - 1, -(2**62), -(2**63), 0]
+    rows = [(i, " ".join([*words[:-1], f"t{k}"])) for k, i in enumerate(ids)] + [(2**63 - 2, "something else entirely here"), (-5, "something else entirely here")]
+    assert run(spark, documents(rows), 3, 85) == brute(rows, 3, 85)
+
+
+def test_large_groups_that_share_rare_shingles(spark, documents):
+    """Two large components that meet in shingles no other text has, and a text that is like neither."""
+    left, right = [f"l{i}" for i in range(100)], [f"r{i}" for i in range(100)]
+    rows = [(i, " ".join([*left, "meet here now please", f"x{i}"])) for i in range(150)] + [(1000 + i, " ".join([*right, "meet here now please", f"y{i}"])) for i in range(150)]
+    rows.append((500, " ".join([*left[:52], "meet here now please", *right[48:]])))
+    assert run(spark, documents(rows), 3, 85) == brute(rows, 3, 85)
+
+
 def test_chains_and_wrong_centres(spark, documents):
     """Groups whose smallest id is no neighbour of most members: links between the others must be found."""
     rng = random.Random(5)
@@ -82,6 +107,11 @@ def test_very_long_text(spark, documents):
     assert got[2][1] == 1 and got[1][0] == 119_998
 
 
+def test_first_permutation_is_one():
+    first = near_dup._first()
+    assert len(set(first.tolist())) == near_dup.UNIVERSE and first.min() == 0 and first.max() == near_dup.UNIVERSE - 1
+
+
 def test_band_length_keeps_the_miss_rate():
     for percent in (50, 80, 85, 95):
         r = near_dup.rows_per_band(percent)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OPEN:
         _OPEN[app] = tempfile.mkdtemp(prefix="tilescape-")
@@ -69,11 +72,33 @@ class Scratch:
             return
 
 
+def placed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with two more columns that tell its rows apart, and their names: the file and the row's number in it.
+    Rows that do not come straight from Parquet files are written first."""
+    names = ["_file", "_row"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+
+    def with_places(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+
+    try:
+        return with_places(docs), (names[0], names[1])
+    except AnalysisException:
+        return with_places(scratch.table(docs, "rows")), (names[0], names[1])
+
+
+#: Bytes of an Arrow batch that a Python worker gets.
+BATCH_BYTES = 16 << 20
+
+
 def bound_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small enough that a batch of very long texts still fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Keep Arrow batches small enough that a batch of very long texts still fits a Python worker: by rows and by
+    bytes. The session keeps the smaller settings, as plans are made of them when they run, not here."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:

@@ -1,23 +1,25 @@
 """MinHash near-duplicate detection with circulant permutations.
 
-One permutation scatters shingles over a ring of ``UNIVERSE`` slots; a second one, shifted by 0, 1, 2, ...
-slots, gives every coordinate of the signature. The ranks under all shifts of a slot are neighbours in one
-array, so a shingle's whole column of ranks is one contiguous read.
+Shingles are hashed to a ring of ``UNIVERSE`` slots. A first permutation scatters the slots; a second one, shifted by
+0, 1, 2, ... slots, gives every coordinate of the signature. The ranks under all shifts of a slot are neighbours in
+one array, so a shingle's whole column of ranks is one contiguous read.
 
 Steps:
-1. documents with the same shingle set fall into one class (a digest of the sorted set); its smallest
-   doc_id stands for it, so copies never meet each other as pairs;
+1. documents with the same shingle set fall into one class (a digest of the sorted set), numbered when the table of
+   classes is written; copies never meet each other as pairs;
 2. the signatures of the classes are cut into bands; equal bands make buckets;
 3. in each bucket every member is compared with one centre (never with every other member), on full
    shingle sets; what is linked joins components;
-4. documents of buckets that still hold several components are joined once more by an exact prefix filter,
-   across components only, so that no link is lost where the centre of a bucket was the wrong one to ask;
-   groups of copies cost linear work, as two members of one component never meet;
+4. classes of buckets that still hold several components are joined once more by an exact prefix filter, over
+   shingles that several components have, so that no link is lost where the centre of a bucket was the wrong one to
+   ask; shingles of one component alone, however large, are dropped before the join;
 5. components come from min-label propagation with pointer jumping over tables in the shared folder.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is kept; texts of fewer
-words than a shingle have one shingle, the whole sequence; repeated doc_ids are rows of one document id
-(each row is returned); extra columns are ignored by ``near_duplicates``; an empty table gives an empty result.
+words than a shingle have one shingle, the whole sequence; every row is judged by its own text, so rows that repeat a
+doc_id may be in different components; a null doc_id links like any other, but is no component's smallest id unless
+all ids of the component are null; then component_id is null, and the rows are kept; ids are any 64-bit numbers;
+extra columns are ignored by ``near_duplicates``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,6 +78,12 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(_mixed(acc))
 
 
+@lru_cache(maxsize=1)
+def _first() -> np.ndarray:
+    """The first permutation of the slots."""
+    return np.random.Generator(np.random.PCG64(19530101)).permutation(UNIVERSE).astype(np.int32)
+
+
 @lru_cache(maxsize=2)
 def _ring(coordinates: int) -> np.ndarray:
     """Row s: the ranks of slot s under the permutation shifted by 0 .. coordinates-1."""
@@ -84,9 +92,9 @@ def _ring(coordinates: int) -> np.ndarray:
 
 
 def signature(hashed: np.ndarray, coordinates: int) -> np.ndarray:
-    """Circulant MinHash of a set; the first permutation is the mixed hash's top bits."""
-    ring = _ring(coordinates)
-    slots = (hashed >> np.uint64(64 - 21)).astype(np.int64)
+    """Circulant MinHash of a set of hashes, whose top bits name their slots."""
+    ring, first = _ring(coordinates), _first()
+    slots = first[(hashed >> np.uint64(64 - 21)).astype(np.int64)]
     out = np.full(coordinates, UNIVERSE, np.uint32)
     for at in range(0, len(slots), 4096):
         np.minimum(out, ring[slots[at : at + 4096]].min(axis=0), out=out)
@@ -101,8 +109,8 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _sketch(width: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _sketch(width: int, bands: int, rows: int, carry: tuple[str, ...]):
+    names = ["doc_id", "n_shingles", "digest", "bands", *carry]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -114,42 +122,47 @@ def _sketch(width: int, bands: int, rows: int):
                 keys.append(band_keys(signature(s, bands * rows), bands) if len(s) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *(batch.column(c) for c in carry)], names=names)
 
     return run
 
 
 def _full_sets(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("digest", pa.binary()), ("set", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in raw(batch)], pa.binary())], schema=schema)
+            sets = [s.tobytes() for t in raw(batch) if len(s := shingles(t, width))]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
 
+def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """digest, set of ``classes`` (low), and of other classes with documents of the same ids."""
+    lows = classes.select(F.col("low").alias("_low")).distinct()
+    rows = docs.join(lows, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("text")
+    return rows.mapInArrow(_full_sets(width), "digest binary, set binary").dropDuplicates(["digest"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     import pandas as pd
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        """A centre (the row whose doc_id is the centre's) against the other rows of its block."""
+        """A centre (the row whose node is the centre's) against the other rows of its block."""
         centre = int(block["centre"].iloc[0])
-        mine = block.loc[block["doc_id"] == centre, "set"]
+        mine = block.loc[block["node"] == centre, "set"]
         out = []
         if len(mine):
             c = np.frombuffer(mine.iloc[0], np.uint64)
-            for u, s in zip(block["doc_id"], block["set"], strict=True):
-                if u == centre:
-                    continue
-                s = np.frombuffer(s, np.uint64)
-                if 100 * min(len(c), len(s)) < percent * max(len(c), len(s)):
-                    continue
-                both = len(np.intersect1d(c, s, assume_unique=True))
-                if 100 * both >= percent * (len(c) + len(s) - both):
-                    out.append(u)
+            out = [u for u, s in zip(block["node"], block["set"], strict=True) if u != centre and similar(c, np.frombuffer(s, np.uint64), percent)]
         return pd.DataFrame({"a": np.full(len(out), centre, np.int64), "b": np.array(out, np.int64)})
 
     return run
@@ -159,35 +172,33 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str)
     """(node, label): the smallest node reachable over edges (a, b); only nodes with an edge appear."""
     both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{tag}-0")
-    before, step = None, 0
+    step = 0
     while True:
-        total = labels.agg(F.sum("label").cast("decimal(38,0)").alias("s")).first()["s"]
-        if total is None or total == before:
-            scratch.drop(f"{tag}-edges")
-            return labels
-        before, step = total, step + 1
+        step += 1
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
+        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hop = met.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left")
-        labels = scratch.table(hop.select("node", F.least("label", F.coalesce("far", "label")).alias("label")), f"{tag}-{step}")
-        scratch.drop(f"{tag}-{step - 2}")
+        moved = scratch.table(hop.select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), f"{tag}-{step}")
+        labels = moved.drop("old")
+        scratch.drop(f"{tag}-{step - 1}")
+        if moved.where("label != old").isEmpty():
+            scratch.drop(f"{tag}-edges")
+            return labels
 
 
-def _tested(spark: SparkSession, docs: DataFrame, pairs: DataFrame, sizes: DataFrame, width: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
-    """Those of the pairs (centre, doc_id) that are similar on full sets, as edges (a, b)."""
-    u, c = sizes.select("doc_id", F.col("n_shingles").alias("nu")), sizes.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("nc"))
-    fit = pairs.join(u, "doc_id").join(c, "centre").where(100 * F.least("nu", "nc") >= percent * F.greatest("nu", "nc"))
-    fit = scratch.table(fit.select("centre", "doc_id", "nu"), f"{tag}-pairs")
+def _tested(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, scratch: Scratch, tag: str) -> DataFrame:
+    """Those of the pairs (centre, node) that are similar on full sets, as edges (a, b)."""
+    u, c = reps.select("node", F.col("n_shingles").alias("nu")), reps.select(F.col("node").alias("centre"), F.col("n_shingles").alias("nc"))
+    fit = pairs.join(u, "node").join(c, "centre").where(100 * F.least("nu", "nc") >= percent * F.greatest("nu", "nc"))
+    fit = scratch.table(fit.select("centre", "node", "nu"), f"{tag}-pairs")
     blocks = fit.groupBy("centre").agg(F.ceil(F.sum("nu") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = fit.join(blocks, "centre").select("centre", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    centres = members.select("centre", F.col("centre").alias("doc_id"), "block").distinct()
-    wanted = members.union(centres)
-    ids = wanted.select("doc_id").distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full_sets(width), "doc_id long, set binary")
-    sets = scratch.table(sets, f"{tag}-sets")
-    edges = wanted.join(sets, "doc_id").groupBy("centre", "block").applyInPandas(_verify(percent), "a long, b long")
+    members = fit.join(blocks, "centre").select("centre", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    centres = members.select("centre", F.col("centre").alias("node"), "block").distinct()
+    wanted = scratch.table(members.union(centres).join(reps.select("node", "low", "digest"), "node"), f"{tag}-wanted")
+    sets = _sets(docs, wanted, width)
+    edges = wanted.select("centre", "node", "block", "digest").join(sets, "digest").drop("digest").groupBy("centre", "block").applyInPandas(_verify(percent), "a long, b long")
     edges = scratch.table(edges, f"{tag}-edges")
-    scratch.drop(f"{tag}-sets")
+    scratch.drop(f"{tag}-pairs", f"{tag}-wanted")
     return edges
 
 
@@ -201,13 +212,13 @@ def _slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(percent: int, frequency: np.ndarray):
-    """Of each set the shingles that a partner must share one of, rare ones first: (token, doc_id, label, n, pos)."""
-    names = ["token", "doc_id", "label", "n", "pos"]
+    """Of each set the shingles that a partner must share one of, rare ones first: (token, node, label, n, pos)."""
+    names = ["token", "node", "label", "n", "pos"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             cols: list[list] = [[] for _ in names]
-            for doc, label, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "set")), strict=True):
+            for doc, label, t in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "set")), strict=True):
                 s = np.frombuffer(t, np.uint64)
                 n = len(s)
                 keep = n - -(-percent * n // 100) + 1
@@ -222,73 +233,73 @@ def _prefixes(percent: int, frequency: np.ndarray):
 def _compare(percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _missed(spark: SparkSession, docs: DataFrame, open_docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between different components of open_docs (doc_id, label), found by an exact prefix-filter join.
+def _missed(docs: DataFrame, open_nodes: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components of open_nodes (node, label, low, digest), found by an exact prefix-filter join.
 
     Two linked sets share one of their first shingles in any common order. Ordered by rarity (counts in a
-    fixed number of slots), shingles that a whole group shares come last, so members of one group do not meet
-    through them; where they do, the bound on what can still overlap drops the pair inside the join.
+    fixed number of slots), shingles that a whole group shares come last. Shingles of one component alone are dropped;
+    of the rest, Spark's skew join splits the frequent ones, and the bound on what can still overlap drops
+    most pairs inside the join.
     """
-    sets = docs.join(open_docs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full_sets(width), "doc_id long, set binary")
-    sets = scratch.table(sets.join(open_docs, "doc_id"), "open-sets")
+    sets = scratch.table(_sets(docs, open_nodes, width).join(open_nodes.drop("low"), "digest").drop("digest"), "open-sets")
     counted = sets.select("set").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(1 << SLOT_BITS, np.int64)
     frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    firsts = scratch.table(sets.mapInArrow(_prefixes(percent, frequency), "token long, doc_id long, label long, n long, pos long"), "prefixes")
-    x = firsts.select("token", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "label", "n", "pos")))
-    y = firsts.select("token", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "label", "n", "pos")))
+    firsts = scratch.table(sets.mapInArrow(_prefixes(percent, frequency), "token long, node long, label long, n long, pos long"), "prefixes")
+    met = scratch.table(firsts.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"), "met")
+    firsts = scratch.table(firsts.join(met, "token", "left_semi"), "meeting")
+    x = firsts.select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "pos")))
+    y = firsts.select("token", *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "pos")))
     need = f"({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent}"
     fits = F.expr(
-        "label_x != label_y and (n_x < n_y or (n_x = n_y and doc_id_x < doc_id_y))"
+        "label_x != label_y and (n_x < n_y or (n_x = n_y and node_x < node_y))"
         f" and 100 * n_x >= {percent} * n_y"
         f" and pos_x <= n_x - ({2 * percent} * n_x + {99 + percent}) div {100 + percent}"
         f" and 1 + least(n_x - pos_x - 1, n_y - pos_y - 1) >= {need}"
     )
-    pairs = x.join(y, (x["token"] == y["token"]) & fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    pairs = x.join(y, (x["token"] == y["token"]) & fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     found = scratch.table(both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long"), "missed")
-    scratch.drop("open-sets", "prefixes")
+    scratch.drop("open-sets", "prefixes", "met", "meeting")
     return found
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, group and ``carry`` for every row of ``docs`` (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their sets of ``width``-word shingles;
-    component_id is the smallest doc_id reachable over links, and the document with that id is kept.
+    component_id is the smallest doc_id reachable over links, and the document with that id is kept. group numbers the
+    components of this run, which repeated ids may not tell apart; it is null for empty sets.
     """
     bound_batches(spark)
     scratch = Scratch(spark, "near_dup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows_per_band(percent, bands)
-    sketches = scratch.table(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
-    full = sketches.where("digest is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    reps = scratch.table(classes, "classes")
-    sizes = reps.select(F.col("rep").alias("doc_id"), "n_shingles")
-    spread = reps.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    members = scratch.table(spread.join(shared, "key").select("key", "centre", "doc_id"), "members")
-    pairs = members.where("doc_id != centre").select("centre", "doc_id").distinct()
-    edges = _tested(spark, docs, pairs, sizes, width, percent, scratch, "r0")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    ddl = ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)])
+    sketches = scratch.table(docs.mapInArrow(_sketch(width, bands, rows_per_band(percent, bands), carry), ddl), "sketches")
+    classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    reps = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    spread = reps.select("node", F.explode("bands").alias("key"))
+    shared = scratch.table(spread.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "shared")
+    members = scratch.table(spread.join(shared, "key").select("key", "centre", "node"), "members")
+    pairs = members.where("node != centre").select("centre", "node").distinct()
+    edges = _tested(docs, pairs, reps, width, percent, scratch, "r0")
     labels = connected(spark, edges, scratch, "cc0")
-    named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    open_docs = scratch.table(named.join(mixed, "key", "left_semi").select("doc_id", "label").distinct(), "open")
-    more = _missed(spark, docs, open_docs, width, percent, scratch)
+    named = scratch.table(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
+    mixed = scratch.table(named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key"), "mixed")
+    open_nodes = named.join(mixed, "key", "left_semi").select("node", "label").distinct().join(reps.select("node", "low", "digest"), "node")
+    more = _missed(docs, scratch.table(open_nodes, "open"), width, percent, scratch)
     if not more.isEmpty():
         labels = connected(spark, edges.union(more), scratch, "cc1")
-    rep_of = reps.select("digest", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(rep_of, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    linked = labels.join(reps.select("node", "low"), "node")
+    component = linked.select("node", "label").join(linked.groupBy("label").agg(F.min("low").alias("component")), "label")
+    of = reps.select("digest", "low", "node").join(component, "node", "left").select("digest", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("component")).alias("component"), F.coalesce("label", "node").alias("group"))
+    out = sketches.drop("bands").join(of, "digest", "left")
+    smallest = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"), "group", *carry)

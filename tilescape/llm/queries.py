@@ -18,7 +18,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(spark, read(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_dup.near_duplicates(spark, read(spark, sf_dir, "documents"), width=3, percent=85).drop("group")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
