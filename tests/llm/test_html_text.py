@@ -1,6 +1,10 @@
 """Extraction on planted pages and layouts."""
 
+import random
 import re
+import time
+import tracemalloc
+from collections import Counter
 
 import pytest
 
@@ -79,6 +83,24 @@ def test_marks_do_not_override_the_main_text(source, expected):
     assert text(source) == expected
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<div class='content no-sidebar'><h1>T</h1><p>the story</p></div>", "T\n\nthe story"),
+        ("<div class='content with-sidebar has-related-news'><h1>T</h1><p>the story</p></div>", "T\n\nthe story"),
+        ("<article class=no-sidebar><p>a</p></article>", "a"),
+        ("<body><div class=a><p>first half of the story</p></div><div class=b><p>second half of the story</p></div></body>", "first half of the story\n\nsecond half of the story"),
+        ("<article><p>a<svg><path d=x></p><p>b</p></article>", "a\n\nb"),
+        ("<article><iframe src=x><p>a</p><video><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a</p><object data=x>fallback<p>b</p></article>", "a\n\nb"),
+        ("<noscript><article><p>a</p></article>", "a"),
+        ("<article><svg><title>no</title></svg><p>a</p></article>", "a"),
+    ],
+)
+def test_layout_words_siblings_and_unclosed_elements(source, expected):
+    assert text(source) == expected
+
+
 def test_classes_are_generalised():
     assert H.generalised("div", {"class": "post-17 Wide"}) == "div.post-#.wide"
 
@@ -98,10 +120,30 @@ def test_hosts_vote(spark):
     assert H.extract(spark, df.where("false")).count() == 0
 
 
+def test_consensus_against_a_plain_count(spark):
+    """Votes of every page's own path, counted in Python; every page read again with its host's winners."""
+    rng = random.Random(3)
+    layouts = ["<body><div class=x{n}><p>{t}</p></div><div class=y><p>{s}</p></div></body>", "<body><main><p>{t}</p><section><p>{s}</p></section></main></body>", "<table><tr><td>{s}<td class=z>{t}</table>", "<body><section class='a b'><div><p>{t}</p></div><div><p>{s}</p></div></section></body>"]
+    rows = []
+    for i in range(120):
+        host = rng.choice("abc")
+        body = rng.choice(layouts[: 2 + "abc".index(host)]).format(n=i, t="long text " * rng.randint(0, 9), s="side " * rng.randint(0, 12))
+        rows.append((i, f"https://{host}.org/{i}", body))
+    votes, winners = {}, {}
+    for _, url, body in rows:
+        if best := H.parse(body).best():
+            votes.setdefault(url[8], Counter())[best[0]] += 1
+    for host, counted in votes.items():
+        ranked = sorted(counted.items(), key=lambda x: (-x[1], x[0]))
+        winners[host] = [p for i, (p, n) in enumerate(ranked) if i == 0 or n >= H.WINNING_SHARE * sum(counted.values())]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == {i: text(body, winners[url[8]]) for i, url, body in rows}
+
+
 def test_joined_by_host_gives_the_same(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     first = sorted(H.extract(spark, pages).collect())
-    monkeypatch.setattr(H, "BROADCAST_HOSTS", -1)
+    monkeypatch.setattr(H, "BROADCAST_BYTES", -1)
     assert sorted(H.extract(spark, pages).collect()) == first
 
 
@@ -122,3 +164,22 @@ def test_very_deep_and_long():
     assert len(text("<article>" + "<p>word</p>" * 50_000)) == 50_000 * 6 - 2
     text("<" * 200_000)
     text("<a " + "x='" * 50_000)
+    text("<svg>" * 50_000 + "<p>x</p>" * 1000)
+
+
+def test_time_and_memory_grow_with_the_length_alone():
+    def took(n):
+        source = "".join(f"<div class='level{'x' * (i % 7)} wide-{i}'>t{i % 10}</span>" for i in range(n))
+        began = time.process_time()
+        found = H.parse(source).text(["/div.level.wide-#"])
+        assert found.startswith("t0\n\nt1\n\nt2") and found.count("t") == n
+        return time.process_time() - began
+
+    took(2_000)
+    assert took(80_000) < 10 * took(20_000)
+    source = "".join(f"<div class=wide-{i}>t" for i in range(100_000))
+    tracemalloc.start()
+    H.parse(source)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20

@@ -8,7 +8,10 @@ of them uses its own path.
 
 Defined results: a null or empty html, or one without text, gives an empty text; a null url votes for the empty
 host; ties between paths go to the first in code point order; repeated rows are extracted alike; extra columns
-are ignored; an empty table gives an empty result. Unclosed tags are closed where HTML implies it.
+are ignored; an empty table gives an empty result. Unclosed tags are closed where HTML implies it; of elements whose
+content is not text, scripts, styles, titles and text areas without an end tag run to the end of the page, others to
+the next block. Paths are numbered nodes of a tree, so that time and memory grow with a page's length alone,
+however deep it is nested.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not text of the page.
 RAW = frozenset("script style noscript template iframe svg math object video audio canvas textarea title xmp noembed noframes".split())
+#: Those that nothing but their own end tag ends.
+SWALLOWING = frozenset("script style textarea title".split())
 #: Elements that are never part of the main text.
 BOILERPLATE_TAGS = frozenset("aside button dialog footer form head header menu nav option select".split())
 #: Words of a class, an id or a role that mark boilerplate.
@@ -54,73 +59,112 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WINNING_SHARE = 0.2
 #: A page's path narrows to a child that holds this share of its text, but never past text of its own.
 NARROWING_SHARE = 0.95
-BROADCAST_HOSTS = 100_000
+#: Bytes of hosts and their winning paths that are broadcast; longer lists meet the pages by a shuffle.
+BROADCAST_BYTES = 32 << 20
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?![A-Za-z0-9:-])", re.IGNORECASE)
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: int
     boilerplate: bool
-    container: str  # generalised path of the container that text in here belongs to
+    container: int  # generalised path of the container that text in here belongs to
     pinned: bool  # within an article or main element
     in_header: bool = False
     marks: tuple[tuple[int, str], ...] = ()  # (number, word) of the marked elements around and of this one
     pin: int = 0  # number of the article or main element around, 0 for none
 
 
-def beneath(path: str, root: str) -> bool:
-    """Whether a path is ``root`` or stands beneath it."""
-    return path == root or path.startswith(root + "/")
-
-
 @dataclass
 class Page:
-    """Blocks of text in page order: (text, container path, characters in links, within an article or main element)."""
-
-    blocks: list[tuple[str, str, int, bool]] = field(default_factory=list)
+    """Blocks of text in page order: (text, number of the container's path, characters in links, within an article or
+    main element). A path is a node of a tree: its parent, which has a smaller number, and its last step; 0 is the root."""
+
+    blocks: list[tuple[str, int, int, bool]] = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [0])
+    steps: list[str] = field(default_factory=lambda: [""])
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def child(self, parent: int, step: str) -> int:
+        found = self.numbers.setdefault((parent, step), len(self.steps))
+        if found == len(self.steps):
+            self.parents.append(parent)
+            self.steps.append(step)
+        return found
 
-    def weights(self, pinned: bool = False) -> dict[str, int]:
-        """Text outside of links of every container path, of articles and main elements alone if ``pinned``."""
-        found: dict[str, int] = defaultdict(int)
+    def name(self, path: int) -> str:
+        out = []
+        while path:
+            out.append(self.steps[path])
+            path = self.parents[path]
+        return "".join(f"/{x}" for x in reversed(out))
+
+    def find(self, name: str) -> int | None:
+        at: int | None = 0
+        for step in name.split("/")[1:]:
+            at = self.numbers.get((at, step))
+            if at is None:
+                return None
+        return at
+
+    def weights(self, pinned: bool = False) -> list[int]:
+        """Text outside of links right in every path, of articles and main elements alone if ``pinned``."""
+        found = [0] * len(self.steps)
         for text, path, linked, within in self.blocks:
             if (within or not pinned) and len(text) > 2 * linked:
                 found[path] += len(text) - 2 * linked
         return found
 
+    def beneath(self, own: list[int]) -> list[int]:
+        """The sums of every path and all beneath it."""
+        sums = list(own)
+        for path in range(len(sums) - 1, 0, -1):
+            sums[self.parents[path]] += sums[path]
+        return sums
+
     def best(self) -> tuple[str, int] | None:
         """The narrowest path that holds the page's text outside of links, and that amount. Where articles and main
         elements hold half of the text, it is the path that holds theirs."""
         held, pinned = self.weights(), self.weights(pinned=True)
-        if not held:
+        if not any(held):
             return None
-        if 2 * sum(pinned.values()) >= sum(held.values()):
+        if 2 * sum(pinned) >= sum(held):
             held = pinned
-        total, depth = sum(held.values()), 0
-        inside = [(path.split("/")[1:], n) for path, n in held.items()]
-        while all(len(steps) > depth for steps, _ in inside):
-            share: dict[str, int] = defaultdict(int)
-            for steps, n in inside:
-                share[steps[depth]] += n
-            top = min(share, key=lambda x: (-share[x], x))
-            if share[top] < NARROWING_SHARE * total:
+        sums = self.beneath(held)
+        children: dict[int, list[int]] = defaultdict(list)
+        for path in range(1, len(sums)):
+            if sums[path]:
+                children[self.parents[path]].append(path)
+        at = 0
+        while not held[at]:
+            top = min(children[at], key=lambda x: (-sums[x], self.steps[x]))
+            if sums[top] < NARROWING_SHARE * sums[0]:
                 break
-            inside = [x for x in inside if x[0][depth] == top]
-            depth += 1
-        return "".join(f"/{x}" for x in inside[0][0][:depth]), total
+            at = top
+        return self.name(at), sums[0]
 
     def text(self, winners: list[str]) -> str:
-        held = self.weights()
-        amounts = [(w, sum(n for path, n in held.items() if beneath(path, w))) for w in winners]
-        most = max((n for _, n in amounts), default=0)
+        sums, places = self.beneath(self.weights()), [self.find(w) for w in winners]
+        amounts = [(w, at, sums[at]) for w, at in zip(winners, places, strict=True) if at is not None]
+        most = max((n for _, _, n in amounts), default=0)
         if most:
             # of nested winners that hold as much the narrower one, then the one with more votes
-            chosen = max((w for w, n in amounts if n >= NARROWING_SHARE * most), key=lambda w: w.count("/"))
+            chosen = max(((w, at) for w, at, n in amounts if n >= NARROWING_SHARE * most), key=lambda x: x[0].count("/"))[1]
         elif own := self.best():
-            chosen = own[0]
+            chosen = self.find(own[0])
         else:
-            chosen = next((w for w in winners if any(beneath(path, w) for _, path, _, _ in self.blocks)), None)
-        return "" if chosen is None else "\n\n".join(t for t, path, _, _ in self.blocks if beneath(path, chosen))
+            there = [0] * len(sums)
+            for _, path, _, _ in self.blocks:
+                there[path] += 1
+            there = self.beneath(there)
+            chosen = next((at for _, at, _ in amounts if there[at]), None)
+        if chosen is None:
+            return ""
+        inside = [False] * len(sums)
+        for path in range(len(sums)):
+            inside[path] = path == chosen or (path > 0 and inside[self.parents[path]])
+        return "\n\n".join(t for t, path, _, _ in self.blocks if inside[path])
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -186,10 +230,11 @@ def parse(source: str | None) -> Page:
     page = Page()
     if not source:
         return page
-    stack = [Element("", "", False, "", False)]
+    stack = [Element("", 0, False, 0, False)]
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a tag are
+    endless: set[str] = set()  # tags without any more end tags
     held: list[str] = []
     linked = 0
-    links = 0
     blocks: list[tuple] = []  # those of Page, the marks around and the article or main element
     pins: dict[int, tuple] = {}  # the marks around and of every article and main element
     number = 0
@@ -204,10 +249,13 @@ def parse(source: str | None) -> Page:
             held.clear()
         linked = 0
 
+    def push(element: Element) -> None:
+        places[element.tag].append(len(stack))
+        stack.append(element)
+
     def close(at: int) -> None:
-        nonlocal links
-        for e in stack[at:]:
-            links -= e.tag == "a"
+        for e in reversed(stack[at:]):
+            places[e.tag].pop()
         del stack[at:]
 
     last, n = 0, len(source)
@@ -216,7 +264,7 @@ def parse(source: str | None) -> Page:
         data = source[last : m.start() if m else n]
         if data:
             held.append(data)
-            if links and not stack[-1].boilerplate:
+            if places["a"] and not stack[-1].boilerplate:
                 linked += len(data)
         if not m:
             break
@@ -225,16 +273,21 @@ def parse(source: str | None) -> Page:
         if not tag:
             continue
         if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
+            if places[tag]:
+                at = places[tag][-1]
                 if any(e.tag in BLOCKS for e in stack[at:]):
                     flush()
                 close(at)
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, last)
-                last = end.end() if end else n
+            if not m[3].rstrip().endswith("/") or tag in SWALLOWING:
+                end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, last)
+                if end:
+                    last = end.end()
+                else:
+                    endless.add(tag)
+                    block = None if tag in SWALLOWING else _BLOCK_TAG.search(source, last)
+                    last = block.start() if block else n
             continue
         if tag == "br":
             held.append(" ")
@@ -242,20 +295,16 @@ def parse(source: str | None) -> Page:
         if tag in BLOCKS:
             flush()
         for open_tag, starters in IMPLIED_END.items():
-            if tag in starters:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == open_tag:
-                        flush()
-                        close(i)
-                        break
-                    if stack[i].tag in SCOPES[open_tag]:
-                        break
+            if tag in starters and places[open_tag]:
+                at = places[open_tag][-1]
+                if all(places[s][-1] < at for s in SCOPES[open_tag] if places[s]):
+                    flush()
+                    close(at)
         if tag in VOID:
             continue
         up = stack[-1]
         if tag not in BLOCKS and tag not in BOILERPLATE_TAGS and not m[3].strip():
-            stack.append(Element(tag, up.path, up.boilerplate, up.container, up.pinned, up.in_header, up.marks, up.pin))
-            links += tag == "a"
+            push(Element(tag, up.path, up.boilerplate, up.container, up.pinned, up.in_header, up.marks, up.pin))
             continue
         attributes = _attributes(m[3])
         in_article = up.pinned and not up.boilerplate
@@ -272,7 +321,7 @@ def parse(source: str | None) -> Page:
             if all(w != word for _, w in (marks[len(pins[pin]) :] if pin else marks)):
                 marks = (*marks, (number, word))
         if tag in BLOCKS:
-            path = f"{up.path}/{generalised(tag, attributes)}"
+            path = page.child(up.path, generalised(tag, attributes))
             main = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
             if main and not pinned:
                 container, pinned = path, True
@@ -280,8 +329,7 @@ def parse(source: str | None) -> Page:
                 pins[pin] = marks
             elif tag in CONTAINERS and not pinned and tag != "blockquote":
                 container = path
-        stack.append(Element(tag, path, boilerplate, container, pinned, up.in_header or inner_header, marks, pin))
-        links += tag == "a"
+        push(Element(tag, path, boilerplate, container, pinned, up.in_header or inner_header, marks, pin))
     flush()
     page.blocks = [b[:4] for b in _unmarked(blocks, pins)]
     return page
@@ -321,6 +369,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_column())
     winners = Scratch(spark, "host_paths").table(consensus(pages), "winners")
     # a list of hosts grows with the crawl: below the bound it is broadcast, above it the pages meet it by host
-    side = F.broadcast(winners) if winners.count() <= BROADCAST_HOSTS else winners
+    size = winners.agg(F.sum(F.octet_length("host") + F.aggregate("winners", F.lit(0), lambda n, w: n + F.octet_length(w)) + 64).alias("n")).first()["n"] or 0
+    side = F.broadcast(winners) if size <= BROADCAST_BYTES else winners
     joined = pages.join(side, "host", "left").select("page_id", "url", "html", "winners")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
