@@ -1,9 +1,11 @@
 """Targets by the plain resharing loop; shares of the mix; reruns."""
 
+import hashlib
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tilescape.llm import mixing
 from tilescape.llm.common import Scratch
@@ -47,7 +49,7 @@ def test_whole_table(spark, sample):
     for r in out:
         assert r["target"] == pytest.approx(target[source[r["doc_id"]]])
     for s, t in taken.items():
-        assert abs(t - target[s]) <= 1
+        assert abs(t - target[s]) <= 2 + 0.01 * target[s]
     again = op6_mixing(spark, "/root/testdata/sf0.001").collect()
     assert sorted(out) == sorted(again)
 
@@ -59,24 +61,82 @@ def test_sql_agrees(spark):
     assert sorted(map(tuple, op6_mixing(spark, "/root/testdata/sf0.001").collect())) == expected
 
 
-def test_nulls_ties_and_one_hot_source(spark, documents):
-    rows = [(i, "w " * (i % 7), "en", "hot") for i in range(60)] + [(100, None, "en", "a"), (101, "x y", "en", None), (102, "", "en", "empty"), (103, "one two three", "en", "a"), (103, "one two three", "en", "a")]
-    out = run(spark, documents(rows, size="clash", target="clash"))
+def brute(rows, cut, seed=17, weights=(3, 1, 2), share=1.5, most=2):
+    """The queue of copies in one sorted list, served up to the budget: words taken by (row, round)."""
+    size = [len(WORD.findall(r[1] or "")) for r in rows]
+    per = {}
+    for r, n in zip(rows, size, strict=True):
+        per[r[3]] = per.get(r[3], 0) + n
+    target = plain_targets(per, weights, share, most)
+    rank = {s: i for i, s in enumerate(sorted(per, key=lambda s: (s is None, s or "")))}
+    line = []
+    for s in per:
+        start = 0
+        for turn in range(most):
+            mine = [i for i, r in enumerate(rows) if r[3] == s]
+            for i in sorted(mine, key=lambda i: (hashlib.md5(":".join(map(str, [seed, turn, rows[i][0]])).encode()).hexdigest(), size[i])):  # noqa: S324
+                across = cut == "words" and start < target[s] < start + size[i]
+                step = -(-size[i] // mixing.PACKETS) if across else max(1, size[i])
+                line += [((start + min(at + step, size[i])) / target[s], rank[s], i, turn, min(step, size[i] - at)) for at in range(0, size[i], step)]
+                start += size[i]
+    left, taken, last = int(share * sum(size)), {(i, t): 0 for i in range(len(rows)) for t in range(most)}, 0.0
+    for finish, _, i, turn, words in sorted(line):
+        fit = min(words, left)
+        n = fit if cut == "words" else words if 2 * fit >= words else 0
+        taken[i, turn] += n if left > 0 else 0
+        last = finish if left > 0 and n else last
+        left -= fit
+    return taken, target, last
+
+
+@pytest.mark.parametrize("cut", ["words", "whole"])
+def test_the_queue_against_one_sorted_list(spark, sample, cut):
+    df, rows = sample
+    plain = [(r["doc_id"], r["text"], None, r["source"]) for r in rows]
+    taken, target, last = brute(plain, cut)
+    at = {r[0]: i for i, r in enumerate(plain)}
+    out = run(spark, df, cut=cut)
+    assert {(at[r["doc_id"]], t): r[f"taken_{t}"] for r in out for t in (0, 1)} == taken
+    whole = [r[f"finish_{t}"] for r in out for t in (0, 1) if r[f"taken_{t}"] == r["size"] > 0]
+    assert max(whole) <= last
+    assert sum(taken.values()) == int(1.5 * sum(r["size"] for r in out)) or cut == "whole"
+    for s, t in target.items():
+        got = sum(r["taken_0"] + r["taken_1"] for r in out if r["source"] == s)
+        longest = max(r["size"] for r in out if r["source"] == s)
+        assert abs(got - t) <= (longest if cut == "whole" else 2 + longest / mixing.PACKETS * 2)
+
+
+@pytest.mark.parametrize("cut", ["words", "whole"])
+def test_nulls_ties_and_one_hot_source(spark, documents, cut):
+    rows = [(i, "w " * (i % 7), "en", "hot") for i in range(60)] + [(100, None, "en", "a"), (101, "x y", "en", None), (102, "", "en", "empty"), (103, "one two three", "en", "a"), (103, "one two three four", "en", "a"), (104, "long " * 5000, "en", "b"), (None, "no id", "en", "a")]
+    out = run(spark, documents(rows, size="clash", target="clash", rank=3, finish=1), cut=cut)
     assert len(out) == len(rows)
     per = {}
     for r in out:
-        per.setdefault(r["source"], [0, 0, r["target"]])
+        per.setdefault(r["source"], [0, 0, r["target"], 0])
         per[r["source"]][0] += r["size"]
         per[r["source"]][1] += r["taken_0"] + r["taken_1"]
+        per[r["source"]][3] = max(per[r["source"]][3], r["size"])
     for s, t in plain_targets({s: v[0] for s, v in per.items()}).items():
-        assert per[s][2] == pytest.approx(t) and abs(per[s][1] - t) <= 1
-    assert run(spark, documents([])) == []
+        assert per[s][2] == pytest.approx(t) and abs(per[s][1] - t) <= (per[s][3] if cut == "whole" else 12)
+    assert sorted(map(repr, run(spark, documents(rows), cut=cut))) == sorted(map(repr, out))
+    assert run(spark, documents([]), cut=cut) == []
+    assert {r["taken_0"] for r in run(spark, documents([(1, None), (2, "")]), cut=cut)} == {0}
 
 
-def test_whole_documents_and_schedule(spark, sample):
+def test_schedule_is_sorted_over_partitions(spark, sample):
     df, _ = sample
-    mixed = mixing.mix(Scratch(spark, "mix"), df, cut="whole")
-    for r in mixed.collect():
-        assert r["taken_0"] in (0, r["size"]) and r["taken_1"] in (0, r["size"])
-    order = [r["finish"] for r in mixing.schedule(mixed).collect()]
-    assert order == sorted(order)
+    parts = mixing.schedule(mixing.queued(Scratch(spark, "mix"), df)).withColumn("part", F.spark_partition_id()).collect()
+    ends = {}
+    for r in parts:
+        ends.setdefault(r["part"], []).append((r["finish"], r["rank"]))
+    ranges = [(min(v), max(v)) for _, v in sorted(ends.items())]
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    whole = run(spark, df, cut="whole")
+    assert {r[f"taken_{t}"] in (0, r["size"]) for r in whole for t in (0, 1)} == {True}
+
+
+def test_very_long_text(spark, documents):
+    out = run(spark, documents([(1, "w " * 300_000, "en", "a"), (2, "w " * 300, "en", "b"), (3, "x", "en", "b")]))
+    assert sum(r["taken_0"] + r["taken_1"] for r in out) == int(1.5 * 300_301)
+    assert {r["doc_id"]: r["taken_0"] + r["taken_1"] for r in out}[2] in range(590, 601)
