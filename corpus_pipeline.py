@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet in
 the shared folder and rereads them as the next stage's documents. Parameters here are the production ones.
+
+Defined results, beyond those of the operators: rows are told apart by their place, so rows with a null or repeated
+doc_id are each judged for themselves; of the rows that a group's kept id names, one stays;
+rows without a word form no group, but the quality stage has removed them; rows with the same id that are taken twice
+or more stand as often as each is taken; extra columns stay until the last stage; an empty table gives an empty result
+at every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilescape.llm.common import Scratch, read
+from tilescape.llm.common import Scratch, placed, read
 from tilescape.llm.decontaminate import without_leaks
 from tilescape.llm.mixing import mix
 from tilescape.llm.near_dup import near_duplicates
@@ -28,8 +34,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document with the smallest id stays."""
-    kept = near_duplicates(spark, docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows, place = placed(Scratch(spark, "dedup"), docs)
+    kept = near_duplicates(spark, rows, width=5, percent=80, carry=place).where("kept")
+    first = kept.where("group is not null").groupBy("group").agg(F.min(F.struct(*place)).alias("p"))
+    stay = first.select("p.*").union(kept.where("group is null").select(*place))
+    return rows.join(stay, list(place), "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +48,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, up to COPIES times each, so that every source comes near its target; one row per copy taken."""
-    taken = mix(Scratch(spark, "mix"), docs, most=COPIES, cut="whole").where("taken_0 > 0 or taken_1 > 0")
-    copies = taken.select(F.col("doc_id").alias("_id"), F.filter(F.array(*[F.when(F.col(f"taken_{t}") > 0, F.lit(t)) for t in range(COPIES)]), lambda x: x.isNotNull()).alias("_turns"))
-    names = docs.columns
-    return docs.join(copies.dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*names, F.explode("_turns").alias("_turn")).select(*names)
+    scratch = Scratch(spark, "mix")
+    rows, place = placed(scratch, docs)
+    times = sum((F.col(f"taken_{t}") > 0).cast("int") for t in range(COPIES))
+    taken = mix(scratch, rows, most=COPIES, cut="whole", carry=place).select(*place, F.array_repeat(F.lit(0), times).alias("_copies")).where(F.size("_copies") > 0)
+    return rows.join(taken, list(place)).select(*docs.columns, F.explode("_copies").alias("_copy")).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
