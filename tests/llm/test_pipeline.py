@@ -1,13 +1,14 @@
 """Each stage on its own input against brute force, and the run end to end."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from tests.llm import test_decontaminate, test_near_dup, test_quality
+from tests.llm import test_decontaminate, test_mixing, test_near_dup, test_quality
 from tilescape.llm import decontaminate
 from tilescape.llm.common import Scratch
 
@@ -36,11 +37,12 @@ def test_stages(spark, sample):
     assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before} & clean
     assert not any(t in decontaminate.normalised(r["text"]) for r in after for t in items)
     (before, after) = inputs[3]
-    assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
-    per = {}
-    for r in after:
-        per[r["doc_id"]] = per.get(r["doc_id"], 0) + 1
-    assert max(per.values()) == P.COPIES
+    plain = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in before]
+    taken, target, _ = test_mixing.brute(plain, "whole")
+    assert Counter(r["doc_id"] for r in after) == +Counter({r[0]: sum(taken[i, t] > 0 for t in range(P.COPIES)) for i, r in enumerate(plain)})
+    for source, wanted in target.items():
+        size = lambda rows: [len(r["text"].split()) for r in rows if r["source"] == source]  # noqa: B023, E731
+        assert abs(sum(size(after)) - wanted) <= max(size(before))
     (before, after) = inputs[4]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     at, expected = 0, []
@@ -54,3 +56,25 @@ def test_stages(spark, sample):
 def test_run(spark):
     out = P.run(spark, DATA)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 100
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_names(spark, documents):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, prose(1)), (1, prose(1)), (1, prose(2)), (None, prose(3)), (None, prose(4)), (5, prose(1) + " tail"), (6, None), (7, ""), (8, prose(5), None, None)]
+    df = documents(rows, _file="clash", _row=1, size=2, component_id=3, taken_0=4, _copies=5)
+    deduped = P.near_dedup(spark, df, DATA)
+    assert deduped.columns == df.columns
+    assert sorted((repr(r["doc_id"]), r["text"] or "") for r in deduped.collect()) == sorted((repr(i), t or "") for i, t, *_ in [rows[0], *rows[2:5], *rows[6:]])  # two documents share the id 1
+    clean = P.decontaminate(spark, deduped, DATA)
+    assert clean.columns == df.columns and clean.count() == deduped.count()
+    mixed = P.mixing(spark, df.where("length(text) > 0"), DATA)
+    assert mixed.columns == df.columns
+    taken = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    assert set(taken) <= {(r[0], r[1]) for r in rows} and taken[1, prose(1)] in (2, 3, 4)
+    assert sum(n * len(t.split()) for (_, t), n in taken.items()) >= 1.5 * 420 - 61
+    assert P.token_output(spark, df, DATA).count() == len(rows)
+
+
+def test_stages_of_empty_tables(spark, documents):
+    for _, stage in P.STAGES:
+        assert stage(spark, documents([]), DATA).count() == 0
