@@ -5,8 +5,8 @@ Shingles are hashed to a ring of ``UNIVERSE`` slots. A first permutation scatter
 one array, so a shingle's whole column of ranks is one contiguous read.
 
 Steps:
-1. documents with the same shingle set fall into one class (a digest of the sorted set), numbered when the table of
-   classes is written; copies never meet each other as pairs;
+1. documents with the same shingle set fall into one class (a digest of the sorted set), numbered in the order of
+   their smallest doc_ids; copies never meet each other as pairs;
 2. the signatures of the classes are cut into bands; equal bands make buckets;
 3. in each bucket every member is compared with one centre (never with every other member), on full
    shingle sets; what is linked joins components;
@@ -284,7 +284,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 5, per
     ddl = ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carry)])
     sketches = scratch.table(docs.mapInArrow(_sketch(width, bands, rows_per_band(percent, bands), carry), ddl), "sketches")
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    reps = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # numbered in the order of their smallest ids: first come the originals, which are the best centres for their copies
+    ordered = classes.repartitionByRange("low", "digest").sortWithinPartitions("low", "digest")
+    reps = scratch.table(ordered.withColumn("node", F.monotonically_increasing_id()), "classes")
     spread = reps.select("node", F.explode("bands").alias("key"))
     shared = scratch.table(spread.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "shared")
     members = scratch.table(spread.join(shared, "key").select("key", "centre", "node"), "members")
