@@ -1,10 +1,14 @@
-"""Hosts, paths and rules against plain Python; the trees on planted URLs."""
+"""Hosts, paths, rules and features against plain Python; the trees on planted URLs and other generators' labels."""
 
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tilescape.llm import url_filter as U
 from tilescape.llm.queries import op1_url_filter
@@ -28,14 +32,37 @@ def rule(host, path):
     return best
 
 
+def auc(scored):
+    """Share of pairs of both labels that the score puts in the right order, ties for a half."""
+    ranks, at = {}, 0
+    for value, n in sorted(Counter(v for v, _ in scored).items()):
+        ranks[value] = at + (n + 1) / 2
+        at += n
+    bad = [ranks[v] for v, label in scored if label]
+    return (sum(bad) - len(bad) * (len(bad) + 1) / 2) / (len(bad) * (len(scored) - len(bad)))
+
+
+def other_urls(n=1500):
+    """Labelled URLs from another generator, with forms and many words that the built-in one does not have."""
+    rng = random.Random(8)
+    bad_words, good_words = [*U.BAD_WORDS[::2], "lottery", "jackpot", "escort", "payday"], [*U.GOOD_WORDS[::2], "bakery", "council", "botany", "railway"]
+    out = []
+    for i in range(n):
+        label = int(rng.random() < 0.4)
+        words = [rng.choice(bad_words if rng.random() < (0.85 if label else 0.1) else good_words) for _ in range(rng.choice([1, 2, 2, 3]))]
+        name = rng.choice(["", "-"]).join(words) + rng.choice(["", "", str(rng.randrange(100))])
+        tail = "?" + "&".join(f"k{j}={rng.randrange(10**6)}" for j in range(rng.choice([1, 3, 5]))) if rng.random() < (0.5 if label else 0.2) else ""
+        end = rng.choice(["info", "xyz", "com", "biz"] if rng.random() < (0.7 if label else 0.2) else ["org", "com", "edu", "co.uk"])
+        out.append((f"https://{rng.choice(['', 'www.', 'shop.'])}{name}.{end}/{'/'.join(str(rng.randrange(99)) for _ in range(rng.randrange(4)))}{tail}", label))
+    return out
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return U.train(spark, U.labelled_urls(spark))
 
 
 def judged(spark, model, urls, **extra):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({k: F.lit(v) for k, v in extra.items()})
     return {r["page_id"]: r for r in U.judge(df, model).collect()}
 
@@ -51,6 +78,70 @@ def test_whole_table(spark):
         assert r["verdict"] == (fit[0] if fit else "block" if r["margin"] > 0 else "allow")
 
 
+def plain_features(url):
+    """Features worked out one by one, and what the rates are of."""
+    host, path = parts(url)
+    query = (re.search(r"\?([^#]*)", url) or [None, ""])[1]
+    labels, chars = host.split("."), Counter(host)
+    ratio = lambda s: sum(c in "0123456789" for c in s) / len(s) if s else 0.0
+    grams = [host[i : i + U.GRAM] for i in range(max(1, len(host) - U.GRAM + 1))]
+    x = {
+        "url_length": len(url), "host_length": len(host), "path_length": len(path), "host_depth": len(labels) if host else 0, "path_depth": path.count("/"), "longest_label": max(map(len, labels)),
+        "digit_ratio": ratio(url), "host_digit_ratio": ratio(host), "hyphens": host.count("-"), "entropy": -sum(n / len(host) * math.log2(n / len(host)) for n in chars.values()), "parameters": 1 + query.count("&") if query else 0,
+        "parameter_length": len(query), "encoded": url.count("%"),
+    }
+    return x, [(".".join(labels[-1:]), ".".join(labels[-2:])), grams]
+
+
+def test_features_against_plain_python(spark, model):
+    urls = [u for u, _ in other_urls(60)] + ["http://a.b/", "http://abc", "https://x-y.z1.example.org/a%20b/c?q=1&r=2#f"]
+    df = U._with_rates(U.lexical(spark.createDataFrame([(u,) for u in urls], "url string")), model.rates).withColumn("margin", F.expr(model.margin))
+    values = sorted({v for u in urls for v in (*plain_features(u)[1][0], *plain_features(u)[1][1])})
+    bucket = {r["v"]: r["b"] for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", U.bucket(F.col("v")).alias("b")).collect()}
+    for r in df.collect():
+        x, (suffixes, grams) = plain_features(r["url"])
+        x |= {"suffix_rate": model.rates[0][bucket[suffixes[0]]], "suffix2_rate": model.rates[1][bucket[suffixes[1]]], "gram_rate": sum(model.rates[2][bucket[g]] for g in grams) / len(grams)}
+        for name in U.FEATURES:
+            assert r[name] == pytest.approx(x[name]), (r["url"], name)
+        assert r["margin"] == pytest.approx(evaluate(model.margin, {n: r[n] for n in U.FEATURES}))
+
+
+def evaluate(sql, x):
+    """A sum of weighted nested CASE expressions, read token by token."""
+    tokens = re.findall(r"CASE|WHEN|THEN|ELSE|END|<=|[()*+]|\w[\w.+-]*|-[\d.][\w.+-]*", sql)
+    at = 0
+
+    def number(t):
+        return float(t.rstrip("D"))
+
+    def term():
+        nonlocal at
+        if tokens[at] != "CASE":
+            at += 1
+            return number(tokens[at - 1])
+        name, bound = tokens[at + 2], number(tokens[at + 4])
+        at += 6
+        yes = term()
+        at += 1
+        no = term()
+        at += 1
+        return yes if x[name] <= bound else no
+
+    total = 0.0
+    while at < len(tokens):
+        weight = number(tokens[at])
+        at += 3  # weight, *, (
+        total += weight * term()
+        at += 2  # ), +
+    return total
+
+
+def test_rules_of_equal_length_go_to_the_first(spark, model):
+    df = spark.createDataFrame([(1, "http://a.bc/x")], "page_id long, url string")
+    for rules in ((("block", "bc/x"), ("allow", "bc/x")), (("allow", "bc/x"), ("block", "bc/x"))):
+        assert U.judge(df, model, rules).first()["verdict"] == rules[0][0]
+
+
 def test_odd_urls(spark, model):
     urls = [None, "", "no scheme", "://", "http://", "HTTP://A.Example.COM/en/7x?q#f", "http://É.com/en/", "x://h?q=/en/", "x://com/en/", "x://xcom/en/", "a://b://c/d", "http://h/a\nb/c", "http://example.net/de/8", "http://net/de/", "x" * 100_000]
     got = judged(spark, model, urls, host="clash", path="clash", verdict="clash", margin=1, f=2)
@@ -64,6 +155,28 @@ def test_odd_urls(spark, model):
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
 
 
+def test_every_feature_earns_its_place_and_none_decides(spark, model):
+    """All features are split on; both labels overlap in each; the trees part labels better than any one feature."""
+    used = set(re.findall(r"WHEN (\w+) <=", model.margin))
+    assert len(used) >= 13 and {"gram_rate", "suffix_rate", "entropy", "digit_ratio", "hyphens", "host_length", "parameter_length"} <= used
+    rows = U._with_rates(U.lexical(U.labelled_urls(spark)), model.rates).withColumn("margin", F.expr(model.margin)).select("label", "margin", *U.FEATURES).collect()
+    whole = auc([(r["margin"], r["label"]) for r in rows])
+    for name in U.FEATURES:
+        own = auc([(r[name], r["label"]) for r in rows])
+        assert max(own, 1 - own) < whole - 0.005, name
+        low = {y: min(r[name] for r in rows if r["label"] == y) for y in (0, 1)}
+        high = {y: max(r[name] for r in rows if r["label"] == y) for y in (0, 1)}
+        assert low[0] < high[1] and low[1] < high[0], name
+
+
+def test_labels_of_another_generator(spark, model):
+    rows = other_urls()
+    got = U.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), model, rules=()).collect()
+    assert auc([(r["margin"], rows[r["page_id"]][1]) for r in got]) > 0.85
+    named = judged(spark, model, ["http://cheapviagra.com/buy", "https://garden-centre.example.org/en/3", "http://kings-college.ac.uk/", "http://free-poker-bonus.info/win"])
+    assert [named[i]["verdict"] for i in range(4)] == ["block", "allow", "allow", "block"]
+
+
 def test_trees_know_what_they_were_shown(spark, model):
     bad = judged(spark, model, ["http://cheap-pills.example.net/fr/12", "https://www.free-bets.example.org/de/3", "http://spam-farm.example.org/en/1"])
     good = judged(spark, model, ["https://garden.example.net/fr/12", "https://www.ththes.example.org/de/3", "http://m.school.example.com/fr/2"])
@@ -71,13 +184,11 @@ def test_trees_know_what_they_were_shown(spark, model):
 
 
 def test_held_out_labels(spark):
-    from pyspark.sql import functions as F
-
     rows = U.labelled_urls(spark, 2000).withColumn("page_id", F.monotonically_increasing_id()).cache()
     half = F.pmod(F.xxhash64("url"), F.lit(2))
     model = U.train(spark, rows.where(half == 0))
     got = U.judge(rows.where(half == 1), model, rules=()).join(rows, "page_id")
-    assert got.where((F.col("verdict") == "block") == (F.col("label") == 1)).count() > 0.95 * got.count()
+    assert got.where((F.col("verdict") == "block") == (F.col("label") == 1)).count() > 0.85 * got.count()
 
 
 def test_one_label_only(spark):
