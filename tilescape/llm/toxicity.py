@@ -6,7 +6,7 @@ whole words and word stems with weights learned as smoothed log-odds from labell
 count. A text's score is a logistic function of its weighted hits, normalised by length.
 
 Defined results: null, empty and wordless texts have no hits and get the score of a text without any; repeated
-rows score alike; with no labels at all only the built-in words count; extra columns are ignored.
+rows score alike; a document with both labels counts as toxic; with no labels at all only the built-in words count; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +110,14 @@ class Lexicon:
             weight = max(word if closed else 0.0, stem)
             if weight > best.get(start, 0.0):
                 best[start] = weight
-        kept = [w for s, w in best.items() if not any(x <= s < y for x, y in spared)]
+        reach, phrases, kept = 0, iter(sorted(spared)), []
+        phrase = next(phrases, None)
+        for start in sorted(best):  # both in page order: a word is spared if a phrase that begins at or before it ends behind its start
+            while phrase is not None and phrase[0] <= start:
+                reach = max(reach, phrase[1])
+                phrase = next(phrases, None)
+            if start >= reach:
+                kept.append(best[start])
         return sum(kept), len(kept), len(low.split())
 
     def score(self, text: str | None) -> float:
@@ -161,12 +168,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60
     return tuple(float(v) for v in w)
 
 
-def train(spark: SparkSession, labels: DataFrame, docs: DataFrame, *, max_rows: int = 20_000, min_documents: int = 4, min_share: float = 0.8, entries: int = 2_000) -> Lexicon:
+def train(spark: SparkSession, labels: DataFrame, docs: DataFrame, *, max_rows: int = 20_000, min_documents: int = 4, min_share: float = 0.8) -> Lexicon:
     """Learn from ``labels`` (doc_id, toxic 0/1) and the texts of ``docs`` (doc_id, text). At most max_rows labels,
-    those with the smallest hash of doc_id, and at most ``entries`` words or stems are used."""
+    those with the smallest hash of doc_id, are used, and every word or stem of them that tells; their number is bounded
+    by that of the labels, as each needs min_documents toxic ones."""
     bound_batches(spark)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows).dropDuplicates(["doc_id"])
+    sample = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     counted = rows.mapInArrow(_terms, "term string, stem boolean, toxic int, n long").groupBy("term", "stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good")).persist()
     size = counted.where("term is null").first()
@@ -176,7 +184,7 @@ def train(spark: SparkSession, labels: DataFrame, docs: DataFrame, *, max_rows:
     bad, good = size["bad"], size["good"]
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     share = (F.col("bad") / bad) / (F.col("bad") / bad + F.col("good") / good)
-    top = counted.where("term is not null").where((F.col("bad") >= min_documents) & (share >= min_share)).withColumn("odds", odds).where("odds >= 2.5").orderBy(F.desc("odds"), "term", "stem").limit(entries).collect()
+    top = counted.where("term is not null").where((F.col("bad") >= min_documents) & (share >= min_share)).withColumn("odds", odds).where("odds >= 2.5").orderBy(F.desc("odds"), "term", "stem").collect()
     counted.unpersist()
     words = dict.fromkeys(map(fold, SEEDS), SEED_WEIGHT)
     stems: dict[str, float] = {}
