@@ -1,7 +1,7 @@
 """Quality rules: base counts, and the Jensen-Shannon distance of a document to its language's references.
 
-A language's references are counted over all of its documents: the median share of each byte class (letters,
-digits, white space, punctuation, symbols, ...), which junk cannot move until it is half of the documents, and the
+A language's references are counted over all of its documents: the median share of each character class (letters,
+digits, white space, punctuation, symbols, ...; beyond ASCII by Unicode category), which junk cannot move until it is half of the documents, and the
 shares of its most frequent words plus one share for the rest.
 A document's distances (base 2, 0 to 1) to them are judged only from a minimum length on; short texts pass.
 
@@ -12,6 +12,7 @@ an empty result; extra columns are passed through untouched by ``keep_good`` and
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
@@ -29,15 +30,17 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Flush a partition's word counts to Spark beyond so many different words, so that memory stays bounded.
 HELD_WORDS = 200_000
-#: Byte classes of the histogram; continuation bytes of UTF-8 belong to none.
+#: Character classes of the histogram; letters beyond ASCII are a class of their own.
 CLASSES = ("lower", "upper", "digit", "white", "stop", "quote", "symbol", "other", "letter")
 
 
 def _classes() -> np.ndarray:
-    table = np.full(256, CLASSES.index("other"), np.int64)
-    for name, members in (("lower", range(97, 123)), ("upper", range(65, 91)), ("digit", range(48, 58)), ("white", b" \t\n\x0b\x0c\r"), ("stop", b".,;:?!"), ("quote", b"'\"()-_/"), ("symbol", b"#*$%&|<>=+~^\\{}[]@`"), ("letter", range(0xC0, 256))):
+    """Of every code point below 0x20000; those above are as the plane's last, other."""
+    by_category = {"L": "letter", "M": "letter", "N": "digit", "Z": "white", "Po": "stop", "P": "quote", "S": "symbol"}
+    kinds = [unicodedata.category(chr(c)) for c in range(0x20000)]
+    table = np.array([CLASSES.index(by_category.get(k, by_category.get(k[0], "other"))) for k in kinds])
+    for name, members in (("lower", range(97, 123)), ("upper", range(65, 91)), ("digit", range(48, 58)), ("white", b" \t\n\x0b\x0c\r"), ("stop", b".,;:?!"), ("quote", b"'\"()-_/"), ("symbol", b"#*$%&|<>=+~^\\{}[]@`")):
         table[list(members)] = CLASSES.index(name)
-    table[0x80:0xC0] = len(CLASSES)
     return table
 
 
@@ -45,6 +48,7 @@ _CLASS = _classes()
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _POINT = ~((np.arange(256) >= 0x80) & (np.arange(256) < 0xC0))
+SALTS = 64
 #: Languages whose references are collected and broadcast together.
 GROUP = 256
 #: Groups of references that a process keeps; of more it loads one at a time.
@@ -71,8 +75,17 @@ def byte_counts(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text, np.uint8), minlength=256)
 
 
-def class_counts(counts: np.ndarray) -> np.ndarray:
-    return np.bincount(_CLASS, weights=counts, minlength=len(CLASSES) + 1)[: len(CLASSES)]
+def class_counts(text: bytes, counts: np.ndarray) -> np.ndarray:
+    """Characters of every class, from a text and its byte counts."""
+    out = np.bincount(_CLASS[:128], weights=counts[:128], minlength=len(CLASSES))
+    if counts[128:].any():
+        points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        points = points[points >= 128]
+        ideographs = (points >= 0x20000) & (points < 0x40000)
+        out = out + np.bincount(_CLASS[np.minimum(points, 0x1FFFF)], minlength=len(CLASSES))
+        out[CLASSES.index("letter")] += ideographs.sum()
+        out[_CLASS[0x1FFFF]] -= ideographs.sum()
+    return out
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -177,7 +190,7 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             split = t.lower().split()
             words[lang].update(split)
             totals[lang] += len(split)
-            c = class_counts(byte_counts(t))
+            c = class_counts(t, byte_counts(t))
             chars.update((lang, k, b) for k, b in enumerate(np.rint(STEPS * c / c.sum()).astype(int).tolist()))
         if sum(map(len, words.values())) > HELD_WORDS:
             for lang, c in words.items():
@@ -199,10 +212,13 @@ def references(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) ->
     bound_batches(spark)
     counted = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_counts, "lang string, kind int, key binary, n long")
     summed = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    # one rank limit for all, so that each task ranks its own best first and passes no more than those on
+    # first the best of each of SALTS parts of a language, then of those: what one task gets has a bound that no corpus moves.
+    # One rank limit for all, so that each task ranks its own best first and passes no more than those on
     limit = max(rules.common_words, STEPS + 1)
-    best = Window.partitionBy("lang", "kind", F.when(F.col("kind") == 0, F.substring("key", 1, 1))).orderBy(F.desc("n"), "key")
-    ranked = summed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= limit)
+    group = ["lang", "kind", F.when(F.col("kind") == 0, F.substring("key", 1, 1))]
+    rank = lambda *more: F.row_number().over(Window.partitionBy(*group, *more).orderBy(F.desc("n"), "key"))
+    salted = summed.withColumn("r", rank(F.pmod(F.xxhash64("key"), F.lit(SALTS)))).where(F.col("r") <= limit)
+    ranked = salted.withColumn("r", rank()).where(F.col("r") <= limit)
     scratch = Scratch(spark, "references")
     top = scratch.table(ranked.where((F.col("kind") != 1) | (F.col("r") <= rules.common_words)).drop("r"), "top")
     totals_of = {r["lang"]: int(r["n"]) for r in top.where("kind = 2 and n > 0").select("lang", "n").collect()}
@@ -245,7 +261,7 @@ def judge_text(text: bytes | None, lang: str | None, refs: Mapping[str, Referenc
     long, wordy = points >= rules.min_chars, len(words) >= rules.min_words
     if long or wordy:
         own = refs.get(lang)
-        c = class_counts(counts)
+        c = class_counts(text, counts)
         seen = Counter(text.lower().split()) if wordy else Counter()
         # one reference at a time, as those of all languages need not fit
         for r in (own,) if own else refs.values():
