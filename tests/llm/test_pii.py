@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -75,6 +76,60 @@ def test_reliabilities_are_recovered():
     assert ((posterior[inverse] > 0.5) == truth).mean() > 0.97
 
 
+def plain_candidates(text, taken):
+    """Every match of every pattern; the leftmost and of those the longest first, never over one before or a taken one."""
+    found = [(m.start(), -m.end(), pii.KINDS.index(kind)) for kind, p in pii._CANDIDATES for m in p.finditer(text) if kind != "secret" or (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]))]
+    out = []
+    for start, end, kind in sorted(found):
+        if not any(s < -end and start < e for _, s, e in taken + out):
+            out.append((kind, start, -end))
+    return out
+
+
+PARTS = ["James Smith", "Mary J. Jones", " ", ", ", "123-45-6789", "a1b2c3d4e5f6a1b2c3d4e5f6", "+1 (115) 555-9688", "x@y.org", "020 7946 0958", "1.2.3.4", "DE89 3704 0044 0532 0130 00", "4539578763621486", "token", "-", "é"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=12).map("".join))
+def test_candidates_against_all_pairs(text):
+    base = pii.base_spans(text)
+    assert pii.candidates(text, base) == plain_candidates(text, base)
+
+
+def test_added_spans_against_a_plain_run(spark, sample):
+    """Votes of all documents counted in one loop, the label model and the classifier on them, every candidate asked."""
+    planted = [(10_000 + i, f"token = {hashlib.sha1(str(i).encode()).hexdigest()} of James Smith, ssn 123-45-{1000 + i}, call 020 7946 {1000 + i}, order {'z9' * 12}") for i in range(30)]  # noqa: S324
+    df = sample[0].union(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in planted], sample[0].schema))
+    rows = df.collect()
+    seen = Counter()
+    for r in rows:
+        t = r["text"] or ""
+        for k, s, e in plain_candidates(t, brute(t)):
+            seen[k, pii.votes(t, k, s, e), pii.traits(t, s, e)] += 1
+    keys = sorted(seen, key=lambda x: (x[0], ",".join(map(str, x[1])), ",".join(map(str, x[2]))))
+    patterns, counts = np.array([k[1] for k in keys]), np.array([seen[k] for k in keys], float)
+    posterior, _, _ = pii.expectation_maximisation(patterns, counts)
+    classifier = pii.fit(np.array([k[0] for k in keys]), patterns, np.array([k[2] for k in keys]), counts, posterior)
+    for r in pii.detect(spark, df).collect():
+        t = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"]) or ""
+        added = [(k, s, e) for k, s, e in plain_candidates(t, brute(t)) if classifier.accepts(k, pii.votes(t, k, s, e), pii.traits(t, s, e))]
+        assert r["spans"] == pii.joined(brute(t) + sorted(added))
+
+
+def test_the_classifier_learns_from_traits():
+    """Candidates with the same votes, told apart by their length alone."""
+    vote, short, long = (0, 0, 0, 0, 1), (0, 2, 0, 3, 0), (4, 2, 0, 3, 0)
+    kind = pii.KINDS.index("secret")
+    c = pii.fit(np.array([kind, kind]), np.array([vote, vote]), np.array([short, long]), np.array([50.0, 50.0]), np.array([0.05, 0.95]))
+    assert c.accepts(kind, vote, long) and not c.accepts(kind, vote, short)
+
+
+def test_many_candidates_take_linear_time():
+    text = "James Smith x.y@example.org, " * 30_000
+    found = pii.candidates(text, pii.base_spans(text))
+    assert len(found) == 30_000
+
+
 def test_luhn_and_bank_numbers():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.iban_ok("DE89 3704 0044 0532 0130 00") and not pii.iban_ok("DE88 3704 0044 0532 0130 00")

@@ -3,9 +3,10 @@
 Base spans follow fixed patterns (email, ip, card, phone) and always stay. Further candidates come from loose
 patterns (secrets, national ids, local phone numbers, account numbers, names). On each candidate a set of
 labelers votes yes, no or nothing: format patterns, a gazetteer, words before the span, and character statistics. Expectation-maximisation over the counts
-of vote patterns estimates how reliable each labeler is, without any labels; its posteriors train a logistic
-span classifier on votes and kind, and candidates it accepts become spans. Only counts of vote patterns, a bounded set, reach the
-driver.
+of vote patterns estimates how reliable each labeler is, without any labels. Its posteriors are the soft labels of a
+logistic span classifier, which sees what the labelers do not: beside votes and kind the candidate's binned traits (length,
+shares of digits and capitals, entropy, the characters around it). Candidates it accepts become spans. Only
+counts of vote and trait patterns, a bounded set, reach the driver.
 
 Defined results: a null text has no spans; overlapping candidates go to the base spans first, then to the leftmost,
 then to the longest; repeated rows are judged alike; without any candidate the classifier accepts nothing; extra
@@ -48,8 +49,8 @@ CONTEXT = {
     "name": ("name", "mr", "mrs", "ms", "dr", "dear", "contact", "from", "by", "monsieur", "madame", "herr", "frau", "señor", "señora"),
 }
 AGAINST = ("isbn", "issn", "version", "order", "page", "figure", "table", "chapter", "commit", "sha", "md5", "build", "part", "lot", "doi")
-#: Given names of the gazetteer.
-GIVEN = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "William", "Elizabeth", "David", "Barbara", "Richard", "Susan", "Thomas", "Sarah", "Karen", "Charles", "Nancy", "Daniel", "Lisa", "Matthew", "Anthony", "Margaret", "Sandra", "Ashley", "Steven", "Emily", "Andrew", "Donna", "Michelle", "Joshua", "Carol", "Kevin", "Amanda", "Brian", "Melissa", "George", "Deborah", "Pierre", "Marie", "Jean", "Claude", "Sophie", "Hans", "Klaus", "Jürgen", "Ursula", "Heike", "José", "María", "Carlos", "Carmen", "Javier", "Ana")
+#: Given names of the gazetteer: common ones in the languages of the context words.
+GIVEN = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "William", "Elizabeth", "David", "Barbara", "Richard", "Susan", "Thomas", "Sarah", "Karen", "Charles", "Nancy", "Daniel", "Lisa", "Matthew", "Anthony", "Margaret", "Sandra", "Ashley", "Steven", "Emily", "Andrew", "Donna", "Michelle", "Joshua", "Carol", "Kevin", "Amanda", "Brian", "Melissa", "George", "Deborah", "Pierre", "Marie", "Jean", "Claude", "Sophie", "Hans", "Klaus", "Jürgen", "Ursula", "Heike", "José", "María", "Carlos", "Carmen", "Javier", "Ana", "Joseph", "Christopher", "Mark", "Donald", "Paul", "Kenneth", "Edward", "Jason", "Ryan", "Jacob", "Nicholas", "Eric", "Jonathan", "Stephen", "Larry", "Justin", "Scott", "Brandon", "Benjamin", "Samuel", "Frank", "Gregory", "Raymond", "Alexander", "Patrick", "Jack", "Dennis", "Jerry", "Peter", "Susan", "Jessica", "Betty", "Helen", "Kimberly", "Laura", "Stephanie", "Rebecca", "Cynthia", "Kathleen", "Amy", "Angela", "Anna", "Ruth", "Virginia", "Rachel", "Catherine", "Christine", "Samantha", "Julie", "Emma", "Olivia", "Sophia", "François", "Michel", "Nicolas", "Julien", "Camille", "Chloé", "Isabelle", "Nathalie", "Thierry", "Luc", "Peter", "Wolfgang", "Stefan", "Andreas", "Markus", "Sabine", "Monika", "Petra", "Katrin", "Anja", "Antonio", "Manuel", "Francisco", "Luis", "Miguel", "Pedro", "Lucía", "Isabel", "Pilar", "Rosa", "Elena", "Laura")
 #: Prefixes of well-known credentials, and country codes of bank account numbers.
 KNOWN_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "eyJ")
 IBAN_COUNTRIES = ("DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "PT", "IE", "LU")
@@ -58,7 +59,7 @@ _CANDIDATES = (
     ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+")),
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
-    ("name", re.compile(r"\b(?:" + "|".join(GIVEN) + r") (?:[A-Z]\. )?[A-Z][a-zà-ÿ]+\b")),
+    ("name", re.compile(r"\b(?:" + "|".join(sorted(set(GIVEN))) + r") (?:[A-Z]\. )?[A-Z][a-zà-ÿ]+\b")),
 )
 LABELERS = ("pattern", "gazetteer", "context", "against", "statistics")
 
@@ -112,16 +113,39 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             found.append((m.start(), -m.end(), KINDS.index(kind)))
     if not found:
         return []
-    out, busy = [], sorted((s, e) for _, s, e in taken)
-    last = 0
-    for start, end, kind in sorted(found):
+    out, last, at = [], 0, 0
+    busy: list[list[int]] = []  # the taken spans, those that overlap as one
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if busy and s < busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], e)
+        else:
+            busy.append([s, e])
+    for start, end, kind in sorted(found):  # starts only grow, so that both lists are passed once
         end = -end
-        if start >= last and not any(s < end and start < e for s, e in busy):
+        while at < len(busy) and busy[at][1] <= start:
+            at += 1
+        if start >= last and (at == len(busy) or busy[at][0] >= end):
             out.append((kind, start, end))
             last = end
     return out
 
 
+#: Number of values of each trait.
+TRAITS = (6, 5, 3, 5, 4)
+
+
+def traits(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Binned length, share of digits, share of capitals, entropy, and what stands around: one value for each of TRAITS."""
+    span = text[start:end]
+    n = len(span)
+    counts = Counter(span)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    digits, capitals = sum(map(str.isdigit, span)), sum(map(str.isupper, span))
+    before, after = text[start - 1 : start], text[end : end + 1]
+    around = 2 * (before in ("=", ":", '"', "'", "(", "<", "[")) + (after in ('"', "'", ")", ">", "]", ",", ".", ";", ""))
+    return min(5, n.bit_length() - 3) if n >= 8 else 0, min(4, 5 * digits // n), min(2, 3 * capitals // n), min(4, int(entropy)), around
+
+
 def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
     """One vote for each of LABELERS: 1 yes, -1 no, 0 none."""
     span, name = text[start:end], KINDS[kind]
@@ -184,26 +208,28 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    """Logistic regression over one-hot votes and kind."""
+    """Logistic regression over kind, and one-hot votes and traits."""
 
     weights: tuple[float, ...]
     threshold: float = 0.5
 
     @staticmethod
-    def row(kind: int, vote: tuple[int, ...]) -> list[float]:
+    def row(kind: int, vote: tuple[int, ...], trait: tuple[int, ...]) -> list[float]:
         x = [1.0] + [float(kind == k) for k in range(len(BASE), len(KINDS))]
         for v in vote:
             x += [float(v == 1), float(v == -1)]
+        for v, n in zip(trait, TRAITS, strict=True):
+            x += [float(v == k) for k in range(n)]
         return x
 
-    def accepts(self, kind: int, vote: tuple[int, ...]) -> bool:
-        z = sum(w * x for w, x in zip(self.weights, self.row(kind, vote), strict=True))
+    def accepts(self, kind: int, vote: tuple[int, ...], trait: tuple[int, ...]) -> bool:
+        z = sum(w * x for w, x in zip(self.weights, self.row(kind, vote, trait), strict=True))
         return z > math.log(self.threshold / (1 - self.threshold))
 
 
-def fit(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray, posterior: np.ndarray, l2: float = 1.0) -> SpanClassifier:
+def fit(kinds: np.ndarray, patterns: np.ndarray, seen: np.ndarray, counts: np.ndarray, posterior: np.ndarray, l2: float = 1.0) -> SpanClassifier:
     """Newton's method on soft labels."""
-    x = np.array([SpanClassifier.row(int(k), tuple(v)) for k, v in zip(kinds, patterns, strict=True)])
+    x = np.array([SpanClassifier.row(int(k), tuple(v), tuple(t)) for k, v, t in zip(kinds, patterns, seen, strict=True)])
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -217,29 +243,31 @@ def fit(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray, posterior:
 
 
 def _votes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int32()), ("votes", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("votes", pa.string()), ("traits", pa.string()), ("n", pa.int64())])
     seen: Counter = Counter()
     for batch in it:
         for t in texts(batch):
             if t:
                 for kind, s, e in candidates(t, base_spans(t)):
-                    seen[kind, ",".join(map(str, votes(t, kind, s, e)))] += 1
-    rows = list(seen.items())
-    yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.int32()), pa.array([v for (_, v), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], schema=schema)
+                    seen[kind, ",".join(map(str, votes(t, kind, s, e))), ",".join(map(str, traits(t, s, e)))] += 1
+    keys = list(seen)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), *(pa.array([k[i] for k in keys], pa.string()) for i in (1, 2)), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
 
 def train(spark: SparkSession, docs: DataFrame) -> SpanClassifier:
-    """Votes over all documents; their counts by pattern, at most len(ADDED) * 3 ** len(LABELERS) rows, come to the driver."""
+    """Votes over all documents; their counts by pattern come to the driver: at most len(ADDED) * 3 ** len(LABELERS)
+    times the product of TRAITS, in practice hundreds of rows, however many documents there are."""
     bound_batches(spark)
-    rows = docs.select("text").mapInArrow(_votes, "kind int, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select("text").mapInArrow(_votes, "kind int, votes string, traits string, n long").groupBy("kind", "votes", "traits").agg(F.sum("n").alias("n"))
+    rows = counted.collect()
     if not rows:
-        return SpanClassifier(tuple([-1.0] + [0.0] * (len(ADDED) + 2 * len(LABELERS))))
-    rows.sort(key=lambda r: (r["kind"], r["votes"]))
+        return SpanClassifier(tuple([-1.0] + [0.0] * (len(ADDED) + 2 * len(LABELERS) + sum(TRAITS))))
+    rows.sort(key=lambda r: (r["kind"], r["votes"], r["traits"]))
     kinds = np.array([r["kind"] for r in rows])
-    patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in rows])
+    patterns, seen = (np.array([[int(v) for v in r[c].split(",")] for r in rows]) for c in ("votes", "traits"))
     counts = np.array([r["n"] for r in rows], float)
     posterior, _, _ = expectation_maximisation(patterns, counts)
-    return fit(kinds, patterns, counts, posterior)
+    return fit(kinds, patterns, seen, counts, posterior)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -255,7 +283,7 @@ def find(docs: DataFrame, classifier: SpanClassifier) -> DataFrame:
             cols: list[list] = [[] for _ in kinds]
             for t in texts(batch):
                 base = base_spans(t) if t else []
-                more = [(k, s, e) for k, s, e in candidates(t, base) if classifier.accepts(k, votes(t, k, s, e))] if t else []
+                more = [(k, s, e) for k, s, e in candidates(t, base) if classifier.accepts(k, votes(t, k, s, e), traits(t, s, e))] if t else []
                 for col, v in zip(cols, [*(sum(k == i for k, _, _ in base) for i in range(4)), joined(base), joined(base + sorted(more))], strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
