@@ -1,6 +1,7 @@
 """Edit matching against the plain distance table."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -43,6 +44,50 @@ def test_search_finds_what_brute_force_finds(seed):
     assert got == expected
 
 
+def test_templated_items_are_found_and_cost_little():
+    """Ten thousand items of one template; a text with the template, and with a few of the items."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    items = tuple((i, f"question: what is the name of the thing that we call {word()} {word()} {word()} {word()}") for i in range(10_000))
+    matcher = D.Matcher(items, 0.1)
+    text = f"{'some words ' * 40} question: what is the name of the thing that we call otherwise. {items[77][1]} and {items[4242][1].replace('thing', 'thong')}"
+    began = time.process_time()
+    got = {i: d for i, d, _, _ in matcher.search(text)}
+    took = time.process_time() - began
+    expected = {77: 0, 4242: 1}
+    assert {i: got[i] for i in expected} == expected
+    for i in rng.sample(range(10_000), 30):
+        assert (i in got) == (best_distance(items[i][1], text) <= D.budget(len(items[i][1]), 0.1))
+    assert took < 5 and len(got) < 20
+
+
+def test_counting_many_items_at_once_changes_nothing(monkeypatch):
+    rng = random.Random(2)
+    items = tuple((i, "".join(rng.choice("abcd ") for _ in range(rng.randint(26, 60)))) for i in range(60))
+    texts = ["".join(rng.choice("abcd ") for _ in range(50)).join(rng.choice(items)[1][rng.randint(0, 3) :] for _ in range(4)) for _ in range(40)]
+    matcher = D.Matcher(items, 0.1)
+    first = [sorted(matcher.search(t)) for t in texts]
+    monkeypatch.setattr(D, "FEW", -1)
+    assert [sorted(matcher.search(t)) for t in texts] == first and any(first)
+
+
+def test_very_long_texts_and_null_ids(spark, documents, benchmark):
+    item = benchmark.first()
+    df = documents([(None, item["text"]), (None, "nothing of it"), (1, "word and word " * 40_000 + item["text"])])
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(spark, df, benchmark).collect()} == {(None, item["item_id"]), (1, item["item_id"])}
+    assert [(r["doc_id"], r["text"]) for r in D.without_leaks(spark, df, benchmark).collect()] == [(None, "nothing of it")]
+
+
+def test_whole_table_against_brute_force(spark, sample, benchmark):
+    """Every text that is short enough for the plain table, against every item."""
+    df, rows = sample
+    items = {r["item_id"]: D.normalised(r["text"]) for r in benchmark.collect()}
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in D.leaks(spark, df, benchmark).collect()}
+    short = [r for r in rows if r["text"] and len(r["text"]) < 700]
+    expected = {(r["doc_id"], i): d for r in short for i, t in items.items() if (d := best_distance(t, D.normalised(r["text"]))) <= D.budget(len(t), 0.1)}
+    assert {k: v for k, v in got.items() if k[0] in {r["doc_id"] for r in short}} == expected and got
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark):
     return spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")

@@ -2,7 +2,8 @@
 
 A test item of m characters may occur in a document with up to k = rate * m edits. Cut into k + 1 pieces, at
 least one piece then occurs unchanged, so an automaton over all pieces finds every place worth a look. A q-gram
-count rules out most chance hits (an occurrence keeps at least m + 1 - q - k * q of the item's q-grams), and
+count rules out most chance hits (an occurrence keeps at least m + 1 - q - k * q of the item's q-grams; where a document
+has pieces of many items, as of a template, those of one region are counted together in its shorter grams), and
 Myers' bit-parallel distance decides the rest. Texts are compared lower-cased, with white space runs as one space.
 
 Items shorter than ``min_chars`` are searched for with the same budget, but count only where they begin and end at
@@ -16,10 +17,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,10 @@ from tilescape.llm.common import batches, bound_batches, texts
 #: Characters of items that one automaton holds; a larger benchmark is searched in several passes.
 SHARD_CHARS = 8_000_000
 Q = 5
+#: Length of the grams that many items are counted in.
+SHORT_Q = 3
+#: Items with pieces in a text up to which each is tried for itself.
+FEW = 16
 #: Scripts that write without spaces: characters that are words or large parts of them, and alphabets.
 _IDEOGRAPHS = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _UNSPACED = re.compile(f"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff{_IDEOGRAPHS}]")
@@ -131,18 +139,47 @@ class Matcher:
         self.min_chars = min_chars  # shorter items need bounds of words
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.items = []
+        self.grams: dict[str, int] = {}
+        numbers, ends = array("i"), array("q", [0])
         for n, (item, text) in enumerate(items):
             k = budget(len(text), rate)
-            self.items.append((item, text, k, positions(text), [text[i : i + Q] for i in range(len(text) - Q + 1)]))
+            self.items.append((item, text, k))
+            for i in range(len(text) - SHORT_Q + 1):
+                numbers.append(self.grams.setdefault(text[i : i + SHORT_Q], len(self.grams)))
+            ends.append(len(numbers))
             for offset, piece in pieces(text, k):
                 found[piece].append((n, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.empty = not found
+        self.numbers, self.ends = np.frombuffer(numbers, np.int32) if numbers else np.empty(0, np.int32), np.frombuffer(ends, np.int64)
+        self.lengths, self.budgets = np.array([len(text) for _, text, _ in self.items], np.int64), np.array([k for _, _, k in self.items], np.int64)
         if found:
             self.automaton.make_automaton()
 
+    def _likely(self, text: str, starts: dict[int, list[int]]) -> Iterator[tuple[int, list[int]]]:
+        """Of many items with pieces in a text those with enough grams in a region where they may begin."""
+        item = np.repeat(np.fromiter(starts, np.int64, len(starts)), list(map(len, starts.values())))
+        low = np.fromiter(chain.from_iterable(starts.values()), np.int64, len(item)) - self.budgets[item]
+        high = low + self.lengths[item] + 3 * self.budgets[item]
+        region = low >> 6
+        order = np.lexsort((item, region))
+        alive: set[int] = set()
+        for mine in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+            window = text[max(0, int(low[mine].min())) : int(high[mine].max())]
+            there = np.zeros(len(self.grams) + 1, bool)
+            there[[self.grams.get(window[x : x + SHORT_Q], -1) for x in range(len(window) - SHORT_Q + 1)]] = True
+            there[-1] = False
+            each = np.unique(item[mine])
+            size = self.ends[each + 1] - self.ends[each]
+            upto = np.cumsum(size)
+            found = np.append(0, np.cumsum(there[self.numbers[np.repeat(self.ends[each] - (upto - size), size) + np.arange(upto[-1])]], dtype=np.int64))
+            total = found[upto] - found[upto - size]
+            alive.update(each[total >= self.lengths[each] + 1 - SHORT_Q * (1 + self.budgets[each])].tolist())
+        for n in sorted(alive):
+            yield n, starts[n]
+
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, distance, budget, end) of every item that occurs within its budget."""
         if self.empty or not text:
@@ -151,8 +188,9 @@ class Matcher:
         for last, (length, where) in self.automaton.iter(text):
             for n, offset in where:
                 starts[n].append(last + 1 - length - offset)
-        for n, at in starts.items():
-            item, pattern, k, peq, grams = self.items[n]
+        for n, at in starts.items() if len(starts) <= FEW else self._likely(text, starts):
+            item, pattern, k = self.items[n]
+            peq: dict[str, int] | None = None
             m, need = len(pattern), len(pattern) + 1 - Q - k * Q
             best = (k + 1, 0)
             at.sort()
@@ -166,8 +204,9 @@ class Matcher:
                 i = j + 1
                 if need > 0:
                     there = {window[x : x + Q] for x in range(len(window) - Q + 1)}
-                    if sum(g in there for g in grams) < need:
+                    if sum(pattern[x : x + Q] in there for x in range(m - Q + 1)) < need:
                         continue
+                peq = peq or positions(pattern)
                 d, end = myers(pattern, window, peq)
                 end += low
                 if m < self.min_chars and d < best[0]:
@@ -184,7 +223,8 @@ def _matcher(key: str, items: tuple, rate: float, min_chars: int) -> Matcher:
 
 
 def _shards(benchmark: DataFrame, min_chars: int) -> list[tuple[tuple[int, str], ...]]:
-    """The items in shards of about SHARD_CHARS characters; each is collected, searched for and let go."""
+    """The items in shards of about SHARD_CHARS characters. A shard goes to the executors with the function that searches
+    for it, and each is one more pass over the documents: a benchmark is small beside them."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = -(-total // SHARD_CHARS)
