@@ -6,9 +6,11 @@ array of packed n-grams and a matrix of each language's interpolated log probabi
 seen back off through the sorted contexts and their weights. The language of the lowest cross-entropy per
 character wins; it is rejected if its cross-entropy lies beyond what its own training texts reach.
 
-Training uses whole texts of at most ``per_language`` documents of each language, those with the smallest hash. All
-languages are learned: the models are made and broadcast a group at a time, and a batch of texts meets one group
-after the other, so that neither the driver nor a worker holds more than HELD_GROUPS of them.
+Training uses whole texts of at most ``per_language`` documents of each language, those with the smallest hash (which
+are looked for below a hash that as many documents and a few more are expected under). All
+languages are learned, each by one task; the models are packed and broadcast in groups of at most GROUP languages and about
+GROUP_GRAMS n-grams, and a batch of texts meets one group after the other, so that neither the driver nor a worker
+holds more than HELD_GROUPS of them.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything if nothing can be
 learned; ties go to the language first in code point order; repeated rows are judged alike; extra columns are ignored.
@@ -23,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +36,10 @@ ORDER = 4
 BITS = 12
 #: Languages that share one set of sorted arrays; more languages make more sets.
 GROUP = 16
+GROUP_GRAMS = 2_000_000
 #: Groups that a process keeps between batches; of more it loads one at a time.
 HELD_GROUPS = 4
-#: Chosen documents whose ids are broadcast; more meet the documents by a shuffle.
+#: Rows of one id or language and a few numbers that are broadcast; more meet the documents by a shuffle.
 BROADCAST_IDS = 2_000_000
 UNDETERMINED = "und"
 
@@ -209,34 +213,77 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
 
+MODEL = "lang string, k int, context boolean, key long, value double"
+
+
+def _model(alphabet: int):
+    """The model of one language, from its n-gram counts: rows of MODEL."""
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        order = np.argsort(gram)
+        parts = []
+        for k, (g, p, ctx, weight) in enumerate(kneser_ney(gram[order], n[order], alphabet), 1):
+            for is_context, keys, values in ((False, g, p), (True, ctx, weight)):
+                rows = [pa.repeat(table.column("lang")[0], len(keys)), pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), is_context)), pa.array(keys.view(np.int64)), pa.array(values)]
+                parts.append(pa.Table.from_arrays(rows, names=["lang", "k", "context", "key", "value"]))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _of_languages(table: pa.Table, langs: list[str]) -> dict[str, list[tuple]]:
+    """kneser_ney's form of each language, from rows of MODEL."""
+    code = pc.index_in(table.column("lang"), value_set=pa.array(langs)).to_numpy()
+    k, context, key, value = table.column("k").to_numpy(), table.column("context").to_numpy(), table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+    place = (code.astype(np.int64) * ORDER + k - 1) * 2 + context
+    order = np.lexsort((key, place))
+    ends = np.searchsorted(place[order], np.arange(len(langs) * ORDER * 2 + 1))
+    cut = lambda i: order[ends[i] : ends[i + 1]]
+    out = {}
+    for i, lang in enumerate(langs):
+        out[lang] = [(key[g], value[g], key[c], value[c]) for g, c in ((cut((i * ORDER + j) * 2), cut((i * ORDER + j) * 2 + 1)) for j in range(ORDER))]
+    return out
+
+
+def grouped(sizes: dict[str, int]) -> list[list[str]]:
+    """Languages in order, in groups of at most GROUP of them and about GROUP_GRAMS n-grams."""
+    out: list[list[str]] = []
+    held = 0
+    for lang in sorted(sizes):
+        if not out or len(out[-1]) == GROUP or held + sizes[lang] > GROUP_GRAMS:
+            out.append([])
+            held = 0
+        out[-1].append(lang)
+        held += sizes[lang]
+    return out
+
+
 def train(spark: SparkSession, labelled: DataFrame, *, per_language: int = 500, slack: float = 0.3) -> Identifier:
     """Learn from ``labelled`` (doc_id, text, lang): every language, and of each at most per_language texts. Their
-    n-gram counts, which do not grow with a language's documents, come to the driver a group of languages at a time."""
+    n-grams, which do not grow with a language's documents, come to the driver a group of languages at a time."""
     bound_batches(spark)
     labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     scratch = Scratch(spark, "languages")
-    chosen = scratch.table(labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id").distinct(), "chosen")
+    sizes = scratch.table(labelled.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))  # of the hash in 0 .. 1
+    enough = per_language + 8 * per_language**0.5 + 20
+    near = labelled.select("doc_id", "lang", place.alias("place")).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "lang").where(F.col("place") * F.col("n") <= enough)
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = scratch.table(near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id").distinct(), "chosen")
     sample = labelled.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, "doc_id", "left_semi").persist()
     counts = scratch.table(sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    per = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     alphabet = 1 + counts.select(F.col("gram").bitwiseAND(F.lit(int(_mask(1))))).distinct().count()
+    models = scratch.table(counts.groupBy("lang").applyInArrow(_model(alphabet), MODEL), "models")
     groups = []
-    for i in range(0, len(names), GROUP):
-        group = names[i : i + GROUP]
-        table = counts.where(F.col("lang").isin(group)).toArrow()
-        langs = np.array(table.column("lang").to_pylist(), object)
-        gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        per_lang = {}
-        for lang in group:
-            mine = np.flatnonzero(langs == lang)
-            order = mine[np.argsort(gram[mine], kind="stable")]
-            per_lang[lang] = kneser_ney(gram[order], n[order], alphabet)
-        groups.append(spark.sparkContext.broadcast(group_models(per_lang, alphabet)))
+    for langs in grouped(per):
+        found = _of_languages(models.where(F.col("lang").between(langs[0], langs[-1])).toArrow(), langs)
+        groups.append(spark.sparkContext.broadcast(group_models(found, alphabet)))
     own = identify(sample.select("doc_id", "text", F.col("lang").alias("truth")), Identifier(groups, {}), keep="truth")
     reach = own.where("bits is not null and lang_pred = truth").groupBy("truth").agg(F.percentile("bits", F.lit(0.999)).alias("bits")).collect()
     sample.unpersist()
-    scratch.drop("chosen", "counts")
+    scratch.drop("chosen", "counts", "sizes", "models")
     return Identifier(groups, {r["truth"]: r["bits"] + slack for r in reach})
 
 
