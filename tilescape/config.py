@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 #: Namespaces that would collide with other parts of a slide's store.
-RESERVED_NAMESPACES = ("features", "metadata", "latent_features", "coordinates", "aggregates")
+RESERVED_NAMESPACES = ("features", "metadata", "latent_features")
 #: Extensions of slide files, in the order in which a sibling is looked up.
-SLIDE_EXTENSIONS = (".ndpi", ".svs", ".tif", ".tiff", ".mrxs", ".scn", ".vms", ".vmu", ".bif", ".ome.tiff", ".ome.tif", ".jpg")
+SLIDE_EXTENSIONS = (".ndpi", ".vms", ".vmu", ".scn", ".mrxs", ".bif", ".svs", ".svslide", ".tif", ".tiff", ".ome.tiff", ".ome.tif")
 #: File types by extension.
 FILE_TYPES = {"wsi": (".ndpi", ".svs"), "hdf5": (".h5",), "image": (".bmp", ".gif", ".icns", ".ico", ".jpg", ".jpeg", ".png", ".tif", ".tiff")}
 #: Tile presets: embedding dimension, channel means, channel deviations.

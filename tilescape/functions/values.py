@@ -32,6 +32,23 @@ def cluster_colour(cluster: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, PALETTE)), (F.pmod(cluster, F.lit(len(PALETTE))) + 1).cast("int"))
 
 
+#: Corners (place, level) of the rainbow colour map's channels.
+JET = {"r": ((0.0, 0.0), (0.35, 0.0), (0.66, 1.0), (0.89, 1.0), (1.0, 0.5)), "g": ((0.0, 0.0), (0.125, 0.0), (0.375, 1.0), (0.64, 1.0), (0.91, 0.0), (1.0, 0.0)), "b": ((0.0, 0.5), (0.11, 1.0), (0.34, 1.0), (0.65, 0.0), (1.0, 0.0))}
+
+
+def score_colour(score: Column) -> Column:
+    """Colour of a score in 0 .. 1 on the rainbow map of 256 steps, as #rrggbb; null for a missing score."""
+    place = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * 256), F.lit(255)) / 255.0
+
+    def level(corners) -> Column:
+        out = F.lit(corners[-1][1])
+        for (x0, y0), (x1, y1) in reversed(list(zip(corners, corners[1:], strict=False))):
+            out = F.when(place <= x1, y0 + (place - x0) * ((y1 - y0) / (x1 - x0))).otherwise(out)
+        return F.lpad(F.lower(F.hex(F.bround(out * 255, 0).cast("long"))), 2, "0")
+
+    return F.when(score.isNotNull() & ~F.isnan(score), F.concat(F.lit("#"), *[level(JET[c]) for c in "rgb"]))
+
+
 def quantised_score(score: Column) -> Column:
     """Score rounded half-even to three decimals; null for NaN, which has no frame."""
     return F.when(~F.isnan(score), F.bround(score, 3) + 0.0)
@@ -79,7 +96,7 @@ def extraction_summary(kept: Column, total: Column, batches: Column, elapsed: Co
 
 def dzi_xml(tile_size: Column, overlap: Column, fmt: Column, width: Column, height: Column) -> Column:
     return F.format_string(
-        '<?xml version="1.0" encoding="UTF-8"?>\n<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="%s" Overlap="%d" TileSize="%d">\n  <Size Width="%d" Height="%d"/>\n</Image>', fmt, overlap, tile_size, width, height
+        '<?xml version="1.0" encoding="utf-8"?>\n<Image xmlns="http://schemas.microsoft.com/deepzoom/2008"\n       Format="%s"\n       Overlap="%d"\n       TileSize="%d">\n  <Size Width="%d" Height="%d"/>\n</Image>', fmt, overlap, tile_size, width, height
     )
 
 

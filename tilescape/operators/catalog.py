@@ -33,6 +33,14 @@ def filters(assignments: DataFrame, model: str, namespace: str, below: str = "")
     return rows.select("filter_path").distinct().withColumn("depth", F.size(F.split("filter_path", "/")))
 
 
+def store_detail(slides: DataFrame, features: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Per slide (slide_id, patch_count): whether it has features of every cached tile, its namespaces and number of clusters."""
+    n = features.groupBy("slide_id").agg(F.count("*").alias("n"))
+    found = assignments.groupBy("slide_id").agg(F.array_join(F.array_sort(F.collect_set("namespace")), ",").alias("namespaces"), F.countDistinct("cluster").alias("ids"))
+    out = slides.join(n, "slide_id", "left").join(found, "slide_id", "left")
+    return out.select("slide_id", "patch_count", F.coalesce(F.col("n") == F.col("patch_count"), F.lit(False)).alias("has_features"), "namespaces", "ids")
+
+
 def renamed(rows: DataFrame, old: str, new: str, model: str | None = None) -> DataFrame:
     """Rows with the namespace renamed, in one model or all. Everything is checked before anything changes."""
     check_namespace(new)

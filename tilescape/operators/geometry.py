@@ -73,14 +73,16 @@ def dzi_tiles(levels: DataFrame) -> DataFrame:
     return tiles.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
 
 
-def dzi_rects(tiles: DataFrame, native: DataFrame, tile_size: int = 256, overlap: int = 0) -> DataFrame:
-    """Read rectangles of deep-zoom tiles: the native level, its rectangle, the tile's size and whether to resize.
+def dzi_rects(levels: DataFrame, native: DataFrame, tile_size: int = 256, overlap: int = 0) -> DataFrame:
+    """Read rectangles of the tiles of deep-zoom levels (see dzi_levels): the native level, its rectangle, the tile's
+    size and whether to resize.
 
-    ``native``: slide_id, ordinal, downsample; a handful of rows a slide, joined per (slide, level) and not per tile.
+    ``native``: slide_id, ordinal, downsample; a handful of rows a slide, gathered and joined with the slides' levels.
+    Tiles come into being after that, and are neither joined nor shuffled.
     """
-    levels = tiles.select("slide_id", "level", "scale").distinct()
-    near = levels.join(native, "slide_id").groupBy("slide_id", "level").agg(F.min_by(F.struct("ordinal", "downsample"), F.struct(F.abs(F.col("downsample") - F.col("scale")), F.col("ordinal"))).alias("n"))
-    t = tiles.join(near, ["slide_id", "level"]).withColumn("native_level", F.col("n.ordinal")).withColumn("native_downsample", F.col("n.downsample")).drop("n")
+    each = native.groupBy("slide_id").agg(F.collect_list(F.struct("ordinal", "downsample")).alias("native"))
+    near = F.array_min(F.transform("native", lambda n: F.struct(F.abs(n["downsample"] - F.col("scale")).alias("off"), n["ordinal"].alias("ordinal"), n["downsample"].alias("downsample"))))
+    t = dzi_tiles(levels.join(each, "slide_id").withColumn("n", near).drop("native")).withColumn("native_level", F.col("n.ordinal")).withColumn("native_downsample", F.col("n.downsample"))
     left, top = F.col("col") * tile_size, F.col("row") * tile_size
     more = lambda at: F.when(at > 0, overlap).otherwise(0)
     width = F.least(left + tile_size + overlap, F.col("level_width")) - left + more(left)

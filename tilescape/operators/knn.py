@@ -10,15 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilescape.operators.stats import matrix
+
 BEST = "i long, j long, d2 double"
 
 
-def _nearest(table: pa.Table, k: int) -> pa.Table:
-    """The k nearest of the right block's rows for each of the left block's."""
-    side = np.array(table.column("side").to_pylist())
-    ids = table.column("id").to_numpy()
-    x = np.stack(table.column("features").to_pylist()).astype(np.float64)
+def _both_ways(table: pa.Table, k: int) -> pa.Table:
+    """The k nearest of the other block's rows for each row of two blocks; of its own block's if there is but one."""
+    side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+    x = matrix(table.column("features").combine_chunks()) if table.num_rows else np.empty((0, 1))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if table.num_rows and table.column("bi")[0] == table.column("bj")[0]:
+        return _nearest(x, ids, left, left, k)
+    return pa.concat_tables([_nearest(x, ids, left, right, k), _nearest(x, ids, right, left, k)])
+
+
+def _nearest(x: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> pa.Table:
+    """The k nearest of the right rows for each of the left ones."""
     empty = pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
     if not len(left) or not len(right):
         return empty
@@ -57,10 +65,11 @@ def knn(rows: DataFrame, k: int, *, block_rows: int = 4096, n: int | None = None
     n = rows.count() if n is None else n
     blocks = max(1, math.ceil(n / block_rows))
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(F.col("block").alias("bi"), others.alias("bj"), F.lit(0).alias("side"), "id", "features")
-    right = rows.select(others.alias("bi"), F.col("block").alias("bj"), F.lit(1).alias("side"), "id", "features")
-    part = left.union(right).groupBy("bi", "bj").applyInArrow(lambda t: _nearest(t, k), BEST)
+    # every unordered pair of blocks is one group that serves both directions; a block meets itself once
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = rows.select("block", "id", "features", other)
+    met = met.select(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "features")
+    part = met.groupBy("bi", "bj").applyInArrow(lambda t: _both_ways(t, k), BEST)
     best = Window.partitionBy("i").orderBy("d2", "j")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("i", "rank", "j", "d2")
 

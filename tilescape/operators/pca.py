@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tilescape.operators.stats import gram
+from tilescape.operators.stats import gram, matrix
 
 
 def fit(features: DataFrame, n_components: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,8 +41,7 @@ def transform(features: DataFrame, mean: np.ndarray, components: np.ndarray, out
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = np.array(batch.column("features").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-            scores = (x - mean) @ components.T if batch.num_rows else np.zeros((0, len(components)))
+            scores = (matrix(batch.column("features")) - mean) @ components.T if batch.num_rows else np.zeros((0, len(components)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(list(scores), pa.list_(pa.float64()))], names=[*names, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema if f.name != "features"), f"{out} array<double>"])

@@ -16,7 +16,38 @@ def long_form(features: DataFrame, keys: Sequence[str] = ("slide_id", "tile_id")
 
 def feature_stats(features: DataFrame) -> DataFrame:
     """dim, n, mean and population deviation, jointly over all rows."""
-    return long_form(features, ()).groupBy("dim").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    moments = features.select("features").mapInArrow(_moments, "dim int, n long, mean double, m2 double")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    spread = F.greatest(F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")) / n - mean * mean, F.lit(0.0))
+    # a dimension whose partitions all have one and the same value has no spread, whatever rounding says
+    constant = (F.max("m2") == 0) & (F.min("mean") == F.max("mean"))
+    return moments.groupBy("dim").agg(n.alias("n"), mean.alias("mean"), F.when(constant, F.lit(0.0)).otherwise(F.sqrt(spread)).alias("std"))
+
+
+def _moments(it):
+    """One row a dimension: the moments of a partition's rows."""
+    n, mean, m2 = 0, None, None
+    for batch in it:
+        if batch.num_rows:
+            x = matrix(batch.column("features"))
+            m = x.mean(0)
+            s = ((x - m) ** 2).sum(0)
+            if mean is None:
+                n, mean, m2 = len(x), m, s
+            else:
+                off = m - mean
+                m2 += s + off**2 * (n * len(x) / (n + len(x)))
+                mean += off * (len(x) / (n + len(x)))
+                n += len(x)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mean), dtype=np.int32)), pa.array(np.full(len(mean), n, np.int64)), pa.array(mean), pa.array(m2)], names=["dim", "n", "mean", "m2"])
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equally long rows as a matrix; missing numbers become NaN."""
+    flat = column.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1)
 
 
 def standardised(features: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -54,7 +85,7 @@ def gram_table(features: DataFrame) -> DataFrame:
         total, n = None, 0
         for batch in it:
             if batch.num_rows:
-                x = np.array(batch.column("features").to_pylist(), dtype=np.float64)
+                x = matrix(batch.column("features"))
                 part = np.vstack([x.sum(0), x.T @ x])
                 total = part if total is None else total + part
                 n += len(x)

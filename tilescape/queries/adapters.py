@@ -45,7 +45,7 @@ TILES = """tiles AS (SELECT vec_id % 3 AS slide_id, vec_id AS tile_id, embedding
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """First feature as a score; NaN where the cluster is an outsider."""
+    """First feature as a score."""
     t = tiles(spark, d)
     return t.select("slide_id", "tile_id", "cluster", F.col("features")[0].alias("value"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tilescape.config import EngineConfig
 from tilescape.operators import embed, graph, knn, pca, stats, umap
 from tilescape.plans import analysis as plan
-from tilescape.queries.adapters import SCORES, TILES, Registry, pixels, scores, tiles
+from tilescape.queries.adapters import SCORES, TILES, Registry, scores, tiles
 from tilescape.sources.tables import read
 
 query = Registry()
@@ -169,7 +169,8 @@ def umap_layout(spark, d):
 
 @query()
 def latent_pca_rgb(spark, d):
-    latent = pixels(spark, d).select("slide_id", "tile_id", F.transform(F.slice("pixels", 1, 16), lambda p: F.array(p["r"].cast("double"), p["g"].cast("double"), p["b"].cast("double"))).alias("tokens"))
+    """Every tile's features as 16 tokens of 4 numbers."""
+    latent = tiles(spark, d).select("slide_id", "tile_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.slice("features", t * 4 + 1, 4)).alias("tokens"))
     return plan.latent_rgb(latent)
 
 

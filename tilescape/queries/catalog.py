@@ -28,16 +28,18 @@ def show_summary(spark, d):
     return catalog_rows(spark, d).groupBy("model", "namespace", "filter_path").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"))
 
 
-@query(f"WITH {CATALOG}, u AS (SELECT DISTINCT model, namespace, cluster FROM catalog_rows), r AS (SELECT *, row_number() OVER (PARTITION BY model, namespace ORDER BY cluster) AS rn FROM u) SELECT model, namespace, string_agg(cluster::VARCHAR, ',' ORDER BY cluster) AS ids FROM r WHERE rn <= 3 GROUP BY ALL")
+@query(f"WITH {CATALOG}, u AS (SELECT DISTINCT model, namespace, cluster FROM catalog_rows), r AS (SELECT *, row_number() OVER (PARTITION BY model, namespace ORDER BY cluster) AS rn FROM u) SELECT model, namespace, string_agg(cluster::VARCHAR, ',' ORDER BY cluster) AS ids FROM r WHERE rn <= 10 GROUP BY ALL")
 def show_verbose_ids(spark, d):
-    ids = F.slice(F.array_sort(F.collect_set("cluster")), 1, 3)
+    ids = F.slice(F.array_sort(F.collect_set("cluster")), 1, 10)
     return catalog_rows(spark, d).groupBy("model", "namespace").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query(f"WITH {CATALOG} SELECT slide_id, count(*) = 167 AS has_features, string_agg(DISTINCT namespace, ',' ORDER BY namespace) AS namespaces, count(DISTINCT cluster) AS ids FROM catalog_rows GROUP BY slide_id")
+@query(f"WITH {CATALOG}, kept AS (SELECT slide_id, count(*) AS patch_count FROM tiles GROUP BY slide_id), f AS (SELECT slide_id, count(*) AS n FROM tiles WHERE NOT (slide_id = 1 AND label = 3) GROUP BY slide_id), c AS (SELECT slide_id, string_agg(DISTINCT namespace, ',' ORDER BY namespace) AS namespaces, count(DISTINCT cluster) AS ids FROM catalog_rows GROUP BY slide_id) SELECT slide_id, patch_count, n = patch_count AS has_features, namespaces, ids FROM kept JOIN f USING (slide_id) JOIN c USING (slide_id)")
 def store_detail(spark, d):
-    g = catalog_rows(spark, d).groupBy("slide_id")
-    return g.agg((F.count("*") == 167).alias("has_features"), F.array_join(F.array_sort(F.collect_set("namespace")), ",").alias("namespaces"), F.countDistinct("cluster").alias("ids"))
+    """One slide lacks some features: rows are compared with the count that caching recorded."""
+    t = tiles(spark, d)
+    kept = t.groupBy("slide_id").agg(F.count("*").alias("patch_count"))
+    return C.store_detail(kept, t.where("not (slide_id = 1 and label = 3)"), catalog_rows(spark, d))
 
 
 @query(f"WITH {CATALOG} SELECT model, CASE WHEN model = 'uni' AND namespace = 'batch' THEN 'renamed' ELSE namespace END AS namespace, filter_path, count(*) AS n FROM catalog_rows GROUP BY ALL")
@@ -74,7 +76,7 @@ def mpp_compat_check(spark, d):
     return slides(spark, d).select("slide_id", mpp.alias("mpp"), (F.abs(mpp - 0.5) / 0.5 > 0.1).alias("mismatch"))
 
 
-@query(f"WITH {FILES}, p AS (SELECT directory, (id % 40)::VARCHAR AS stem, path, CASE {EXT} WHEN '.ndpi' THEN 0 WHEN '.svs' THEN 1 WHEN '.tif' THEN 2 WHEN '.jpg' THEN 11 END AS priority FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY directory, stem ORDER BY priority, path) AS rn FROM p WHERE priority IS NOT NULL) SELECT directory, stem, priority::BIGINT AS priority FROM r WHERE rn = 1")
+@query(f"WITH {FILES}, p AS (SELECT directory, (id % 40)::VARCHAR AS stem, path, CASE {EXT} WHEN '.ndpi' THEN 0 WHEN '.svs' THEN 6 WHEN '.tif' THEN 8 END AS priority FROM files), r AS (SELECT *, row_number() OVER (PARTITION BY directory, stem ORDER BY priority, path) AS rn FROM p WHERE priority IS NOT NULL) SELECT directory, stem, priority::BIGINT AS priority FROM r WHERE rn = 1")
 def sibling_lookup(spark, d):
     f = files(spark, d).select("directory", (F.col("id") % 40).cast("string").alias("stem"), "path", paths.sibling_priority(F.col("path")).alias("priority"))
     best = C.siblings(f, f.select("directory", "stem").distinct())

@@ -125,7 +125,7 @@ floor(tw * scale / downsample)::BIGINT AS read_width, floor(th * scale / downsam
     ).replace("pick AS", "native AS (SELECT slide_id AS s, ordinal, downsample FROM levels_), pick AS")
 )
 def dzi_tile_rects(spark, d):
-    out = G.dzi_rects(_dzi_tiles(spark, d), levels(spark, d), DZI_SIZE, overlap=1)
+    out = G.dzi_rects(G.dzi_levels(slides(spark, d), DZI_SIZE), levels(spark, d), DZI_SIZE, overlap=1)
     return out.withColumn("level", F.col("level").cast("long"))
 
 
@@ -135,7 +135,7 @@ def dzi_tile_totals(spark, d):
 
 
 @query(
-    f"""WITH {SLIDES} SELECT slide_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="jpeg" Overlap="0" TileSize="256">' || chr(10) || '  <Size Width="' || width || '" Height="' || height || '"/>' || chr(10) || '</Image>' AS xml FROM slides"""
+    f"""WITH {SLIDES} SELECT slide_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<Image xmlns="http://schemas.microsoft.com/deepzoom/2008"' || chr(10) || '       Format="jpeg"' || chr(10) || '       Overlap="0"' || chr(10) || '       TileSize="256">' || chr(10) || '  <Size Width="' || width || '" Height="' || height || '"/>' || chr(10) || '</Image>' AS xml FROM slides"""
 )
 def dzi_xml(spark, d):
     return slides(spark, d).select("slide_id", values.dzi_xml(F.lit(256), F.lit(0), F.lit("jpeg"), F.col("width"), F.col("height")).alias("xml"))

@@ -55,7 +55,7 @@ def build_namespace(spark, d):
     return some.select("directory", paths.namespace_of(F.col("paths")).alias("namespace"))
 
 
-@query(f"WITH {TILES}, n AS (SELECT tile_id, ['default', 'features', '', 'a+b', 'metadata', 'batch1', 'aggregates'][(tile_id % 7 + 1)::INT] AS namespace FROM tiles) SELECT tile_id, namespace, namespace != '' AND namespace NOT IN ('features', 'metadata', 'latent_features', 'coordinates', 'aggregates') AS valid FROM n")
+@query(f"WITH {TILES}, n AS (SELECT tile_id, ['default', 'features', '', 'a+b', 'metadata', 'batch1', 'aggregates'][(tile_id % 7 + 1)::INT] AS namespace FROM tiles) SELECT tile_id, namespace, namespace != '' AND namespace NOT IN ('features', 'metadata', 'latent_features') AS valid FROM n")
 def validate_namespace(spark, d):
     names = F.array(*map(F.lit, ("default", "features", "", "a+b", "metadata", "batch1", "aggregates")))
     n = tiles(spark, d).select("tile_id", F.element_at(names, (F.col("tile_id") % 7 + 1).cast("int")).alias("namespace"))
