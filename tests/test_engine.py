@@ -1,6 +1,7 @@
 """Properties and golden cases of the parts that SQL cannot check."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -239,6 +240,74 @@ def test_tables_and_runs(spark, tmp_path):
     assert tables.done(spark, root, "cluster", "m", "a", "", {"resolution": "1"}) and not tables.done(spark, root, "cluster", "m", "a", "", {"resolution": "2"})
 
 
+def test_a_partition_without_rows_goes(spark, tmp_path):
+    root, at = str(tmp_path), {"model": "m", "namespace": "a", "filter_path": "1+2/0"}
+    rows = spark.createDataFrame([("m", "a", "1+2/0", 1, 1, 0), ("m", "a", "", 1, 1, 3)], "model string, namespace string, filter_path string, slide_id long, tile_id long, cluster int")
+    assert tables.write(rows, root, "assignments") == 2
+    assert tables.exists(spark, tables.partition_path(spark, root, "assignments", at))
+    assert tables.write(rows.where("false"), root, "assignments", at) == 0
+    assert [(r["filter_path"], r["cluster"]) for r in tables.read_stored(spark, root, "assignments").collect()] == [("", 3)]
+    assert tables.write(rows.where("false"), root, "assignments", at | {"filter_path": ""}) == 0
+    assert tables.read_stored(spark, root, "assignments").count() == 0
+
+
+def test_keys_that_do_not_fit_raise(spark):
+    ids = lambda rows: [r["id"] for r in plan.with_ids(spark.createDataFrame(rows, "slide_id long, tile_id long")).collect()]
+    assert ids([(0, 1), (1, 0), ((1 << 23) - 1, (1 << 40) - 1)]) == [1, 1 << 40, (1 << 63) - 1]
+    for bad in ((0, 1 << 40), (1 << 23, 0), (-1, 0), (0, -1), (None, 0)):
+        with pytest.raises(Exception, match="no room for the keys"):
+            ids([bad])
+
+
+def test_scores_with_missing_values(spark):
+    rows = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0), (1, None)], "cluster long, value double")
+    assert sorted((r["value"] or -1, r["scaled"]) for r in stats.min_max(rows).collect() if r["value"] is not None) == [(1.0, 0.0), (3.0, 0.5), (5.0, 1.0)]
+    by = {r["group"]: r for r in stats.violin(rows.where("value is not null")).collect()}
+    assert by["All"]["n"] == 3 and by["All"]["median"] == 3.0 and by["1"]["low"] == 5.0
+
+
+def test_moments_come_from_one_row_a_dimension_and_partition(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 2, (500, 6))
+    x[:, 2] = 7.25
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(7)
+    got = sorted(stats.feature_stats(df).collect())
+    assert np.allclose([r["mean"] for r in got], x.mean(0)) and np.allclose([r["std"] for r in got], x.std(0)) and got[2]["std"] == 0
+    assert {r["n"] for r in got} == {500}
+    assert "Generate" not in stats.feature_stats(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_zoom_tiles_are_made_once_and_never_joined(spark):
+    slides = spark.createDataFrame([(1, 5000, 3000), (2, 700, 900)], "slide_id long, width long, height long")
+    native = spark.createDataFrame([(s, i, 4.0**i) for s in (1, 2) for i in range(3)], "slide_id long, ordinal int, downsample double")
+    tree = geometry.dzi_rects(geometry.dzi_levels(slides, 256), native, 256, 1)._jdf.queryExecution().executedPlan().toString()
+    made, join = [m.start() for m in re.finditer("Generate explode", tree)], tree.index("Join")
+    assert len(made) == 3 and made[1] < join < made[2] and tree.count("Join") == 1  # the root comes first: rows and columns above the join
+
+
+def test_each_pair_of_blocks_is_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    near = {(r["i"], r["rank"]): r["j"] for r in knn.knn(df, 4, block_rows=60).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert near == {(i, r + 1): int(j) for i in range(300) for r, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
+
+
+def test_a_folder_with_a_status_is_not_run_again(spark, tmp_path):
+    done = []
+    ask = lambda n, day: spark.createDataFrame([("f1", "uni", f"2024-01-{day}")], "folder string, line string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    for n, day in enumerate(("01", "20")):  # the second is long after the stream has forgotten the first
+        ask(n, day)
+        requests.watch(spark, f"{tmp_path}/in", f"{tmp_path}/checkpoint{n}", f"{tmp_path}/status", lambda s, folder, p, r: done.append(folder)).awaitTermination()
+    assert done == ["f1"] and spark.read.parquet(f"{tmp_path}/status").count() == 1
+
+
+def test_score_colours(spark):
+    got = [one(spark, values.score_colour(F.lit(v).cast("double"))) for v in (0.0, 0.5, 1.0, float("nan"))]
+    assert got == ["#000080", "#7dff7a", "#800000", None]
+
+
 def test_watcher(spark, tmp_path):
     lines = [("f1", "uni2, rotate", "2024-01-01"), ("f1", "uni", "2024-01-02"), ("f2", "DONE", "2024-01-01"), ("f3", "", "2024-01-01"), ("f4", "bad", "2024-01-01")]
     spark.createDataFrame(lines, "folder string, line string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.json(f"{tmp_path}/in")

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 from tilescape.config import EngineConfig
 from tilescape.functions.blank import parse_detector
 from tilescape.plans import commands
+from tilescape.plans.folders import folder_job
+from tilescape.streaming.requests import watch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,6 +39,10 @@ def parser() -> argparse.ArgumentParser:
         c = add(name, slide=True)
         c.add_argument("path", nargs=None if name == "cache" else "?")
         c.add_argument("--detect-white", nargs="*")
+        c.add_argument("--image-mpp", type=float)
+        if name == "extract":
+            c.add_argument("--with-latent", action="store_true")
+            c.add_argument("--batch-size", type=int, default=64)
     add("aggregate").add_argument("--slide-preset", default="titan")
     c = add("cluster", scope=True)
     c.add_argument("--resolution", type=float, default=EngineConfig.resolution)
@@ -53,6 +59,23 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--filter-path", default="")
     c.add_argument("--size", type=int, default=64)
     c.add_argument("--rotate", action="store_true")
+    c = add("preview-score", slide=True)
+    c.add_argument("name")
+    c.add_argument("out")
+    c.add_argument("--namespace", default="default")
+    c.add_argument("--filter-path", default="")
+    c.add_argument("--size", type=int, default=64)
+    c.add_argument("--invert", action="store_true")
+    c.add_argument("--rotate", action="store_true")
+    for name, more in (("rename", ("old", "new")), ("remove", ("namespace",))):
+        c = add(name)
+        for argument in more:
+            c.add_argument(argument)
+        c.add_argument("--in-model")
+    add("migrate").add_argument("metadata", help="Parquet of old-layout metadata")
+    c = add("watch")
+    c.add_argument("source", help="folder of JSON requests")
+    c.add_argument("--interval")
     add("show")
     c = add("dzi")
     c.add_argument("path")
@@ -77,8 +100,8 @@ def run(arguments: list[str] | None = None, spark: SparkSession | None = None):
     if a.command in ("cache", "extract"):
         white = None if a.detect_white is None else parse_detector(a.detect_white)
         if a.command == "cache":
-            return store.cache(a.slide, a.path, detector=white, overwrite=a.overwrite)
-        return store.extract(a.slide, a.model, preset=a.model, path=a.path, detector=white, overwrite=a.overwrite)
+            return store.cache(a.slide, a.path, mpp=a.image_mpp, detector=white, overwrite=a.overwrite)
+        return store.extract(a.slide, a.model, preset=a.model, path=a.path, mpp=a.image_mpp, latent=a.with_latent, batch_size=a.batch_size, detector=white, overwrite=a.overwrite)
     if a.command == "aggregate":
         return store.aggregate(a.model, a.slide_preset, overwrite=a.overwrite)
     if a.command in ("cluster", "umap", "pca"):
@@ -89,6 +112,18 @@ def run(arguments: list[str] | None = None, spark: SparkSession | None = None):
         return store.scores(a.model, a.slides, kind=a.command, **options, **common)
     if a.command == "preview":
         return store.preview(a.slide, a.model, a.out, namespace=a.namespace, filter_path=a.filter_path, size=a.size, rotate=a.rotate)
+    if a.command == "preview-score":
+        return store.preview_scores(a.slide, a.model, a.name, a.out, namespace=a.namespace, filter_path=a.filter_path, invert=a.invert, size=a.size, rotate=a.rotate)
+    if a.command == "rename":
+        return store.rename(a.old, a.new, a.in_model)
+    if a.command == "remove":
+        return store.remove(a.namespace, a.in_model)
+    if a.command == "migrate":
+        return store.migrate(spark.read.parquet(a.metadata))
+    if a.command == "watch":
+        query = watch(spark, a.source, f"{a.store}/watch-checkpoint", f"{a.store}/watch-status", folder_job(store), interval=a.interval)
+        query.awaitTermination()
+        return spark.read.parquet(f"{a.store}/watch-status")
     if a.command == "show":
         return store.show()
     if a.command == "dzi":

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tilescape.config import TILE_PRESETS
 
-#: A model takes normalised pixels [N, 3, H, W] and returns features [N, D].
-Model = Callable[[np.ndarray], np.ndarray]
+#: A model takes normalised pixels [N, 3, H, W] and returns features [N, D], or those and token vectors [N, L, D].
+Model = Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]
+#: Channel means and deviations.
+Norm = tuple[tuple[float, float, float], tuple[float, float, float]]
 
 
 def projection_model(dim: int, seed: int = 42) -> Model:
@@ -29,27 +31,36 @@ def projection_model(dim: int, seed: int = 42) -> Model:
     return run
 
 
-def extract(tiles: DataFrame, preset: str, factory: Callable[[], Model] | None = None) -> DataFrame:
-    """All columns but rgb, and the features. ``factory`` loads the model once in each Python worker's task."""
-    if preset not in TILE_PRESETS:
-        raise ValueError(f"unknown preset {preset!r}; one of {sorted(TILE_PRESETS)}")
-    dim, mean, std = TILE_PRESETS[preset]
+def extract(tiles: DataFrame, preset: str, factory: Callable[[], Model] | None = None, *, norm: Norm | None = None, latent: bool = False, batch_size: int = 64) -> DataFrame:
+    """All columns but rgb, the features and, if ``latent``, the model's token vectors. ``factory`` loads the model, once in each
+    task of a Python worker; a preset of one's own needs a factory and the norm of its pixels."""
+    if preset not in TILE_PRESETS and (factory is None or norm is None):
+        raise ValueError(f"unknown preset {preset!r}; one of {sorted(TILE_PRESETS)}, or give a factory and a norm")
+    dim, *known = TILE_PRESETS.get(preset, (0,))
+    mean, std = norm or known
     names = [c for c in tiles.columns if c != "rgb"]
     make = factory or (lambda: projection_model(dim))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for batch in it:
-            out = []
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            out, more = [], []
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
                 shapes = list(zip(*(part.column(c).to_pylist() for c in ("height", "width", "channels")), strict=True))
                 x = np.stack([np.frombuffer(b, np.uint8).reshape(s)[:, :, :3] for b, s in zip(part.column("rgb").to_pylist(), shapes, strict=True)])
                 z = (x / 255.0 - np.array(mean)) / np.array(std)
-                out += list(model(z.transpose(0, 3, 1, 2)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.list_(pa.float32()))], names=[*names, "features"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema if f.name != "rgb"), "features array<float>"])
+                found = model(z.transpose(0, 3, 1, 2))
+                features, token_vectors = found if isinstance(found, tuple) else (found, None)
+                out += list(np.asarray(features, np.float32))
+                if latent:
+                    if token_vectors is None:
+                        raise ValueError(f"the model of {preset!r} gives no token vectors")
+                    more += [list(v) for v in np.asarray(token_vectors, np.float32)]
+            columns = [batch.column(c) for c in names] + [pa.array(out, pa.list_(pa.float32()))] + ([pa.array(more, pa.list_(pa.list_(pa.float32())))] if latent else [])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "features", *(["tokens"] if latent else [])])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema if f.name != "rgb"), "features array<float>", *(["tokens array<array<float>>"] if latent else [])])
     return tiles.mapInArrow(run, schema)
 
 

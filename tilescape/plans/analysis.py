@@ -43,8 +43,12 @@ def _checked(rows: DataFrame) -> DataFrame:
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
-    """A dense-enough long id from the keys: slide in the high bits. Slide ids below 2**23 and tile ids below 2**40."""
-    return rows.withColumn("id", F.shiftleft(F.col("slide_id"), 40) + F.col("tile_id"))
+    """A long id from the keys: slide in the high bits. Slide ids from 0 to 2**23 - 1 and tile ids from 0 to 2**40 - 1;
+    others raise."""
+    slide, tile = F.col("slide_id").cast("long"), F.col("tile_id").cast("long")
+    fits = slide.between(0, (1 << 23) - 1) & tile.between(0, (1 << 40) - 1)
+    wrong = F.raise_error(F.concat(F.lit("no room for the keys "), F.coalesce(slide.cast("string"), F.lit("null")), F.lit(", "), F.coalesce(tile.cast("string"), F.lit("null"))))
+    return rows.withColumn("id", F.when(F.coalesce(fits, F.lit(False)), F.shiftleft(slide, 40) + tile).otherwise(wrong.cast("long")))
 
 
 def cluster(spark: SparkSession, what: Scope, config: EngineConfig = EngineConfig(), sort_clusters: bool = True) -> DataFrame:

@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilescape.config import PALETTE, SLIDE_PRESETS, EngineConfig
-from tilescape.functions import blank, png
+from tilescape.config import SLIDE_PRESETS, EngineConfig
+from tilescape.functions import blank, png, values
 from tilescape.operators import catalog, embed, scope
 from tilescape.plans import analysis
+from tilescape.schema import PARTITIONS, SLIDES
 from tilescape.sources import images, tables, tiff
 
+#: A blank detector's name and threshold, or a function of a tile's pixels [H, W, 3].
+Detector = tuple[str, float | None] | Callable[[np.ndarray], bool] | None
+
 
 @dataclass(frozen=True)
 class Result:
@@ -50,38 +54,43 @@ class Store:
         tables.commit(self.spark, self.root, kind, model, namespace, filter_path, params)
         return Result(kind, target, rows, time.time() - began, False, details)
 
-    def cache(self, slide_id: int, path: str, *, detector: tuple[str, float | None] | None = None, overwrite: bool = False) -> Result:
+    def cache(self, slide_id: int, path: str, *, mpp: float | None = None, detector: Detector = None, overwrite: bool = False) -> Result:
         """Store a slide's tiles at the level nearest to the target resolution, without blank ones."""
         size = self.config.patch_size
 
         def work() -> tuple[int, dict]:
-            info = images.slide_info(path)
-            level = info.level_for(self.config.target_mpp)
+            tiles, info, level = images.open_slide(self.spark, path, size, self.config.target_mpp, mpp)
             _, width, height, down = info.levels[level]
-            tiff.register(self.spark)
-            tiles = self.spark.read.format("tile_tiff").option("path", path).option("level", info.levels[level][0]).option("patch_size", size).load()
-            tiles = drop_blank(tiles, *detector) if detector else tiles
+            tiles = drop_blank(tiles, detector) if detector else tiles
             out = tiles.select(F.lit(slide_id).cast("long").alias("slide_id"), F.lit(size).alias("patch_size"), "tile_id", "x", "y", "height", "width", "channels", "rgb")
-            tables.write(out, self.root, "tiles")
-            kept = self.table("tiles").where((F.col("slide_id") == slide_id) & (F.col("patch_size") == size)).count()
-            row = (slide_id, path, info.mpp, *info.size, info.mpp * down, width // size, height // size, kept)
-            self.spark.createDataFrame([row], "slide_id long, path string, original_mpp double, original_width long, original_height long, mpp double, cols int, rows int, patch_count long").write.mode("append").parquet(f"{self.root}/slides")
+            at = {"patch_size": size, "slide_id": slide_id}
+            kept = tables.write(out, self.root, "tiles", at)
+            row = (slide_id, size, path, info.mpp, *info.size, info.mpp * down, width // size, height // size, kept)
+            tables.write(self.spark.createDataFrame([row], SLIDES), self.root, "slides", at)
             return kept, {"level": level, "mpp": info.mpp * down, "cols": width // size, "rows": height // size, "total": (width // size) * (height // size)}
 
-        return self._run("cache", "", str(slide_id), "", {"path": path, "size": size, "mpp": self.config.target_mpp, "detector": detector}, overwrite, work)
+        return self._run("cache", "", str(slide_id), "", {"path": path, "size": size, "mpp": self.config.target_mpp, "detector": _name(detector)}, overwrite, work)
 
-    def extract(self, slide_id: int, model: str, *, preset: str | None = None, path: str | None = None, factory: Callable | None = None, detector: tuple[str, float | None] | None = None, overwrite: bool = False) -> Result:
-        """Features of a slide's tiles, from the cache or else from the slide file."""
+    def extract(self, slide_id: int, model: str, *, preset: str | None = None, path: str | None = None, mpp: float | None = None, factory: Callable | None = None, norm: embed.Norm | None = None, latent: bool = False, batch_size: int = 64, detector: Detector = None, overwrite: bool = False) -> Result:
+        """Features of a slide's tiles, from the cache or else from the slide file; with ``latent`` their token vectors too."""
         preset = preset or self.config.default_preset
 
         def work() -> tuple[int, dict]:
-            tiles, source = images.tile_source(self.spark, self.root, slide_id, self.config.patch_size, self.config.target_mpp, path)
-            tiles = drop_blank(tiles, *detector) if detector and source == "slide" else tiles
-            features = embed.extract(tiles, preset, factory).select("slide_id", F.lit(model).alias("model"), "tile_id", "x", "y", "features")
-            tables.write(features, self.root, "tile_features")
-            return self.features(model, [slide_id]).count(), {"source": source, "preset": preset}
-
-        return self._run("features", model, str(slide_id), "", {"preset": preset, "size": self.config.patch_size}, overwrite, work)
+            tiles, source = images.tile_source(self.spark, self.root, slide_id, self.config.patch_size, self.config.target_mpp, path, mpp)
+            tiles = drop_blank(tiles, detector) if detector and source == "slide" else tiles
+            found = embed.extract(tiles, preset, factory, norm=norm, latent=latent, batch_size=batch_size).withColumn("model", F.lit(model))
+            at = {"model": model, "slide_id": slide_id}
+            if latent:  # the model runs once: what it gave is written, then parted
+                staged = tables.shared_folder(self.spark, "extract")
+                found.write.parquet(staged)
+                found = self.spark.read.schema(found.schema).parquet(staged)
+                tables.write(found.select("slide_id", "model", "tile_id", "tokens"), self.root, "latent_features", at)
+            n = tables.write(found.select("slide_id", "model", "tile_id", "x", "y", "features"), self.root, "tile_features", at)
+            if latent:
+                tables.delete(self.spark, staged)
+            return n, {"source": source, "preset": preset}
+
+        return self._run("features", model, str(slide_id), "", {"preset": preset, "size": self.config.patch_size, "latent": latent}, overwrite, work)
 
     def features(self, model: str, slide_ids: list[int] | None = None) -> DataFrame:
         rows = self.table("tile_features").where(F.col("model") == model)
@@ -95,8 +104,8 @@ class Store:
         def work() -> tuple[int, dict]:
             rows = self.features(model)
             pooled = embed.aggregate(rows, set_model) if set_model else embed.mean_pool(rows).select("slide_id", "feature")
-            pooled.select("slide_id", F.lit(model).alias("tile_model"), F.lit(slide_preset).alias("slide_preset"), "feature").write.mode("overwrite").parquet(f"{self.root}/slide_embeddings")
-            return self.table("slide_embeddings").count(), {}
+            out = pooled.select("slide_id", F.lit(model).alias("tile_model"), F.lit(slide_preset).alias("slide_preset"), "feature")
+            return tables.write(out, self.root, "slide_embeddings", {"tile_model": model, "slide_preset": slide_preset}), {}
 
         return self._run("aggregate", model, slide_preset, "", {"set_model": set_model is not None}, overwrite, work)
 
@@ -115,7 +124,7 @@ class Store:
 
         def work() -> tuple[int, dict]:
             found = analysis.cluster(self.spark, what, config, sort_clusters).select(F.lit(model).alias("model"), F.lit(name).alias("namespace"), F.lit(what.filter_path).alias("filter_path"), "slide_id", "tile_id", "cluster")
-            tables.write(found, self.root, "assignments")
+            tables.write(found, self.root, "assignments", {"model": model, "namespace": name, "filter_path": what.filter_path})
             mine = self.table("assignments").where((F.col("model") == model) & (F.col("namespace") == name) & (F.col("filter_path") == what.filter_path))
             n = mine.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("c")).first()
             return n["n"], {"clusters": n["c"]}
@@ -130,11 +139,71 @@ class Store:
         def work() -> tuple[int, dict]:
             found = analysis.component_scores(what, n_components, scaler) if kind == "pca" else analysis.layout(what, self.config, n_components)
             keyed = found.select(F.lit(model).alias("model"), F.lit(name).alias("namespace"), F.lit(what.filter_path).alias("filter_path"), F.lit(label).alias("name"), "slide_id", "tile_id", "values")
-            tables.write(keyed, self.root, "scores")
-            return what.rows().count(), {"components": n_components}
+            at = {"model": model, "namespace": name, "filter_path": what.filter_path, "name": label}
+            return tables.write(keyed, self.root, "scores", at), {"components": n_components}
 
         return self._run(label, model, name, what.filter_path, {"scaler": scaler, "n": n_components, "slides": sorted(slide_ids)}, overwrite, work)
 
+    def cluster_with_layout(self, model: str, slide_ids: list[int], *, on_progress: Callable[[str, Result], None] | None = None, resolution: float | None = None, **scope_options) -> tuple[Result, Result]:
+        """A layout, then clusters of the same scope; clusters come from the features, not from the layout."""
+        placed = self.scores(model, slide_ids, kind="umap", **scope_options)
+        if on_progress:
+            on_progress("umap", placed)
+        found = self.cluster(model, slide_ids, resolution=resolution, **scope_options)
+        if on_progress:
+            on_progress("clusters", found)
+        return placed, found
+
+    def _namespaced(self) -> list[tuple[str, str]]:
+        """(table, model) of the stored tables with namespaces."""
+        found = []
+        for table in ("assignments", "scores"):
+            if tables.exists(self.spark, f"{self.root}/{table}"):
+                found += [(table, r["model"]) for r in self.table(table).select("model").distinct().collect()]
+        return found
+
+    def rename(self, old: str, new: str, model: str | None = None) -> Result:
+        """Rename a namespace in one model or all. Everything is checked before anything moves; rows stay where they are
+        in their files, as a namespace is a folder."""
+        catalog.check_namespace(new)
+        path = lambda t, m, n: tables.partition_path(self.spark, self.root, t, {"model": m, "namespace": n})
+        mine = [(t, m) for t, m in self._namespaced() if model in (None, m)]
+        moves = [(path(t, m, old), path(t, m, new)) for t, m in mine if tables.exists(self.spark, path(t, m, old))]
+        if not moves:
+            raise ValueError(f"no namespace {old!r}")
+        if any(tables.exists(self.spark, target) for _, target in moves):
+            raise ValueError(f"namespace {new!r} is taken")
+        for source, target in moves:
+            tables.move(self.spark, source, target)
+        chosen = F.lit(True) if model is None else F.col("model") == model
+        tables.change_runs(self.spark, self.root, lambda runs: catalog.with_namespace(runs, old, new, chosen & ~F.col("kind").isin("cache", "features", "aggregate")))
+        return Result("rename", new, len(moves))
+
+    def remove(self, namespace: str, model: str | None = None) -> Result:
+        """Remove a namespace and all that was filtered from it, in one model or all."""
+        catalog.check_namespace(namespace)
+        gone = [p for t, m in self._namespaced() if model in (None, m) and tables.exists(self.spark, p := tables.partition_path(self.spark, self.root, t, {"model": m, "namespace": namespace}))]
+        for p in gone:
+            tables.delete(self.spark, p)
+        chosen = F.lit(True) if model is None else F.col("model") == model
+        tables.change_runs(self.spark, self.root, lambda runs: runs.where(~((F.col("namespace") == namespace) & chosen & ~F.col("kind").isin("cache", "features", "aggregate"))))
+        return Result("remove", namespace, len(gone))
+
+    def migrate(self, old: DataFrame) -> Result:
+        """Take over slides recorded in the old layout (slide_id, patch_size, mpp, image_level, cols, rows, patch_count and,
+        if known, original sizes); those already there stay as they are."""
+        new = catalog.migrated(old).withColumn("path", F.lit(None).cast("string"))
+        for c in ("original_mpp", "original_width", "original_height"):
+            new = new.join(old.select("slide_id", c), "slide_id") if c in old.columns else new.withColumn(c, F.lit(None).cast("double" if c.endswith("mpp") else "long"))
+        types = dict(x.split(" ") for x in SLIDES.split(", "))
+        new = new.select(*[F.col(c).cast(k).alias(c) for c, k in types.items()])
+        if tables.exists(self.spark, f"{self.root}/slides"):
+            new = new.join(self.table("slides").select("slide_id", "patch_size"), ["slide_id", "patch_size"], "left_anti")
+        n = new.count()
+        if n:
+            new.write.mode("append").partitionBy(*PARTITIONS["slides"]).parquet(f"{self.root}/slides")
+        return Result("migrate", "slides", n)
+
     def dense_clusters(self, model: str, namespace: str, filter_path: str = "") -> DataFrame:
         """Every tile with its cluster, -1 outside of the scope."""
         mine = self.table("assignments").where((F.col("model") == model) & (F.col("namespace") == namespace) & (F.col("filter_path") == filter_path))
@@ -145,31 +214,112 @@ class Store:
         rows = self.table("assignments")
         return rows.groupBy("model", "namespace", "filter_path").agg(F.count("*").alias("tiles"), F.countDistinct("cluster").alias("clusters"), F.countDistinct("slide_id").alias("slides")).orderBy("model", "namespace", "filter_path")
 
-    def preview(self, slide_id: int, model: str, out: str, *, namespace: str = "default", filter_path: str = "", size: int = 64, rotate: bool = False) -> Result:
-        """A PNG of the slide's tiles with frames in their clusters' colours. The canvas is drawn on the driver, tile by tile."""
-        meta = self.table("slides").where(F.col("slide_id") == slide_id).orderBy(F.desc("patch_count")).first()
-        tiles = self.table("tiles").where((F.col("slide_id") == slide_id) & (F.col("patch_size") == self.config.patch_size))
-        rows = tiles.join(self.dense_clusters(model, namespace, filter_path).select("slide_id", "tile_id", "cluster"), ["slide_id", "tile_id"], "left")
-        small = rows.mapInArrow(_shrunk(size), "x int, y int, cluster int, rgb binary")
-        canvas = np.zeros((meta["rows"] * size, meta["cols"] * size, 3), np.uint8)
+    def _canvas(self, slide_id: int, path: str | None = None) -> tuple[DataFrame, int, int]:
+        """Tiles of a slide with pixels, and the columns and rows of its canvas: from the cache, or else the places of its
+        features with pixels read from the slide file."""
+        tiles, source = images.tile_source(self.spark, self.root, slide_id, self.config.patch_size, self.config.target_mpp, path)
+        if source == "cache":
+            meta = self.table("slides").where((F.col("slide_id") == slide_id) & (F.col("patch_size") == self.config.patch_size)).first()
+            return tiles, meta["cols"], meta["rows"]
+        info = images.slide_info(path)
+        _, width, height, _ = info.levels[info.level_for(self.config.target_mpp)]
+        return tiles, width // self.config.patch_size, height // self.config.patch_size
+
+    def _draw(self, tiles: DataFrame, cols: int, rows: int, out: str, size: int, rotate: bool) -> int:
+        """A PNG of tiles (x, y, height, width, channels, rgb and frame #rrggbb, label, overlay [l * l * 3 bytes], alpha; each may
+        be null). A row of tiles is drawn and deflated by a task; the driver puts the strips in a row, one at a time."""
+        patch = self.config.patch_size
+        row = F.floor(F.col("y") / patch).cast("int")
+        blank_rows = self.spark.range(rows).select(F.col("id").cast("int").alias("strip"))
+        placed = tiles.withColumn("strip", (rows - 1 - row) if rotate else row).withColumn("col", F.floor(F.col("x") / patch).cast("int"))
+        strips = blank_rows.join(placed, "strip", "left").groupBy("strip").applyInPandas(_strip(cols, size, rotate), "strip int, data binary, adler long, length long, n int")
         n = 0
-        for r in small.toLocalIterator():
-            x, y = r["x"] // self.config.patch_size * size, r["y"] // self.config.patch_size * size
-            tile = np.frombuffer(r["rgb"], np.uint8).reshape(size, size, 3)
+
+        def parts():
+            nonlocal n
+            for r in strips.orderBy("strip").toLocalIterator():
+                n += r["n"]
+                yield bytes(r["data"]), r["adler"], r["length"]
+
+        with open(out, "wb") as f:
+            png.write_strips(f, cols * size, rows * size, parts())
+        return n
+
+    def preview(self, slide_id: int, model: str, out: str, *, namespace: str = "default", filter_path: str = "", size: int = 64, rotate: bool = False, path: str | None = None) -> Result:
+        """A PNG of the slide's tiles with frames and numbers in their clusters' colours."""
+        tiles, cols, rows = self._canvas(slide_id, path)
+        mine = self.dense_clusters(model, namespace, filter_path).select("slide_id", "tile_id", F.when(F.col("cluster") >= 0, F.col("cluster")).alias("c"))
+        framed = tiles.join(mine, ["slide_id", "tile_id"], "left")
+        framed = framed.withColumn("frame", values.cluster_colour(F.col("c"))).withColumn("label", F.col("c").cast("string"))
+        return Result("preview", out, self._draw(_plain(framed), cols, rows, out, size, rotate))
+
+    def preview_scores(self, slide_id: int, model: str, name: str, out: str, *, namespace: str = "default", filter_path: str = "", invert: bool = False, size: int = 64, rotate: bool = False, path: str | None = None) -> Result:
+        """A PNG with frames and numbers by a score's first component; tiles without a score have none."""
+        found = self.table("scores").where((F.col("model") == model) & (F.col("namespace") == namespace) & (F.col("filter_path") == filter_path) & (F.col("name") == name) & (F.col("slide_id") == slide_id))
+        if found.limit(1).isEmpty():
+            raise ValueError(f"no scores {model}/{namespace}/{filter_path}/{name} of slide {slide_id}")
+        first = F.col("values")[0]
+        scores = found.select("slide_id", "tile_id", (1 - first if invert else first).alias("s"))
+        tiles, cols, rows = self._canvas(slide_id, path)
+        framed = tiles.join(scores, ["slide_id", "tile_id"], "left").withColumn("frame", values.score_colour(F.col("s")))
+        framed = framed.withColumn("label", F.when(F.col("frame").isNotNull(), F.format_string("%.3f", values.quantised_score(F.col("s")))))
+        return Result("preview-score", out, self._draw(_plain(framed), cols, rows, out, size, rotate))
+
+    def preview_latent(self, slide_id: int, model: str, out: str, *, clusters: DataFrame | None = None, alpha: float = 0.5, size: int = 64, rotate: bool = False, path: str | None = None) -> Result:
+        """A PNG with an overlay of the tiles' token vectors: their three leading components as colours, or the colours of
+        ``clusters`` (slide_id, tile_id, token, cluster)."""
+        if clusters is None:
+            latent = self.table("latent_features").where((F.col("model") == model) & (F.col("slide_id") == slide_id))
+            dots = analysis.latent_rgb(latent).select("slide_id", "tile_id", "token", "r", "g", "b")
+        else:
+            colour = values.cluster_colour(F.col("cluster"))
+            dots = clusters.where(F.col("slide_id") == slide_id).select("slide_id", "tile_id", "token", *[F.round(values.channel(colour, i) * 255).cast("int").alias(c) for i, c in enumerate("rgb")])
+        packed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token", "r", "g", "b"))), lambda t: F.concat(*[F.lpad(F.hex(t[c].cast("long")), 2, "0") for c in "rgb"])), "")
+        overlays = dots.groupBy("slide_id", "tile_id").agg(F.unhex(packed).alias("overlay"))
+        tiles, cols, rows = self._canvas(slide_id, path)
+        covered = tiles.join(overlays, ["slide_id", "tile_id"], "left").withColumn("alpha", F.lit(float(int(alpha * 255)) / 255))
+        return Result("preview-latent", out, self._draw(_plain(covered), cols, rows, out, size, rotate))
+
+
+def _name(detector: Detector) -> str:
+    return getattr(detector, "__qualname__", None) or str(detector)
+
+
+def _plain(tiles: DataFrame) -> DataFrame:
+    """The columns that a canvas is drawn from."""
+    kinds = {"frame": "string", "label": "string", "overlay": "binary", "alpha": "double"}
+    more = [(F.col(c) if c in tiles.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()]
+    return tiles.select("x", "y", "height", "width", "channels", "rgb", *more)
+
+
+def _strip(cols: int, size: int, rotate: bool):
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        canvas, n = np.zeros((size, cols * size, 3), np.uint8), 0
+        for r in rows[rows["rgb"].notna()].itertuples():
+            shape = (int(r.height), int(r.width), int(r.channels))
+            tile = png.scaled(np.frombuffer(r.rgb, np.uint8).reshape(shape)[:, :, :3], size, size)
             if rotate:
-                x, y, tile = (meta["cols"] - 1) * size - x, (meta["rows"] - 1) * size - y, tile[::-1, ::-1]
-            if r["cluster"] is not None and r["cluster"] >= 0:
-                tile = png.framed(tile, PALETTE[r["cluster"] % len(PALETTE)])
-            canvas[y : y + size, x : x + size] = tile
+                tile = tile[::-1, ::-1]
+            if isinstance(r.overlay, bytes | bytearray):
+                side = int(round((len(r.overlay) // 3) ** 0.5))
+                cover = png.scaled(np.frombuffer(r.overlay, np.uint8).reshape(side, side, 3), size, size)
+                tile = np.rint(tile * (1 - r.alpha) + (cover[::-1, ::-1] if rotate else cover) * r.alpha).astype(np.uint8)
+            if isinstance(r.frame, str):
+                tile = png.labelled(png.framed(tile, r.frame), r.label or "", r.frame)
+            x = (cols - 1 - int(r.col) if rotate else int(r.col)) * size
+            canvas[:, x : x + size] = tile
             n += 1
-        with open(out, "wb") as f:
-            f.write(png.encode(canvas))
-        return Result("preview", out, n)
+        data, adler, length = png.strip(canvas)
+        return pd.DataFrame({"strip": rows["strip"].iloc[:1], "data": [data], "adler": [adler], "length": [length], "n": [n]})
 
+    return run
 
-def drop_blank(tiles: DataFrame, method: str = "ptp", threshold: float | None = None) -> DataFrame:
-    """Tiles whose pixels are not blank."""
-    test = blank.pixel_detector(method, threshold)
+
+def drop_blank(tiles: DataFrame, detector: Detector) -> DataFrame:
+    """Tiles whose pixels are not blank: by a method's name and threshold, or by a function of the pixels."""
+    test = detector if callable(detector) else blank.pixel_detector(*detector)
 
     def run(it):
         for batch in it:
@@ -179,23 +329,11 @@ def drop_blank(tiles: DataFrame, method: str = "ptp", threshold: float | None =
     return tiles.mapInArrow(run, tiles.schema)
 
 
-def _shrunk(size: int):
-    def run(it):
-        for batch in it:
-            out = []
-            for h, w, c, b in zip(*(batch.column(k).to_pylist() for k in ("height", "width", "channels", "rgb")), strict=True):
-                out.append(png.scaled(np.frombuffer(b, np.uint8).reshape(h, w, c)[:, :, :3], size, size).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), batch.column("cluster"), pa.array(out, pa.binary())], names=["x", "y", "cluster", "rgb"])
-
-    return run
-
-
 def deep_zoom(spark: SparkSession, path: str, out: str, name: str = "slide", *, tile_size: int = 256, overlap: int = 0) -> Result:
     """A deep-zoom folder of PNG tiles and its XML. Tiles are planned as rows and written by their tasks; ``out`` is
     a folder that all executors share."""
     import os
 
-    from tilescape.functions.values import dzi_xml
     from tilescape.operators import geometry
 
     info = images.slide_info(path)
@@ -203,7 +341,7 @@ def deep_zoom(spark: SparkSession, path: str, out: str, name: str = "slide", *,
     slides = spark.createDataFrame([(0, width, height)], "slide_id long, width long, height long")
     native = spark.createDataFrame([(0, i, lv[3]) for i, lv in enumerate(info.levels)], "slide_id long, ordinal int, downsample double")
     levels = geometry.dzi_levels(slides, tile_size)
-    rects = geometry.dzi_rects(geometry.dzi_tiles(levels), native, tile_size, overlap)
+    rects = geometry.dzi_rects(levels, native, tile_size, overlap)
 
     def write(rows) -> None:
         with open(path, "rb") as f:
@@ -220,7 +358,7 @@ def deep_zoom(spark: SparkSession, path: str, out: str, name: str = "slide", *,
                     target.write(png.encode(png.scaled(block, r["tile_width"], r["tile_height"])))
 
     rects.repartition("level", "row").foreachPartition(write)
-    xml = slides.select(dzi_xml(F.lit(tile_size), F.lit(overlap), F.lit("png"), F.col("width"), F.col("height")).alias("x")).first()["x"]
+    xml = slides.select(values.dzi_xml(F.lit(tile_size), F.lit(overlap), F.lit("png"), F.col("width"), F.col("height")).alias("x")).first()["x"]
     with open(f"{out}/{name}.dzi", "w") as f:
         f.write(xml)
     return Result("dzi", f"{out}/{name}.dzi", rects.count(), details={"max_level": levels.agg(F.max("level")).first()[0], "width": width, "height": height})

@@ -1,7 +1,7 @@
 """Folder requests as a stream: a file source instead of polling, foreachBatch instead of a job loop.
 
-A request is a line 'preset[, rotate]' in a folder; status rows replace the status file, so a restart never runs
-a folder twice (checkpoint and status) and a failed folder is marked instead of left in progress.
+A request is a line 'preset[, rotate]' in a folder; status rows replace the status file. A folder that has a status row
+is not run again, however late it is asked for once more, and a failed folder is marked instead of left in progress.
 """
 
 from __future__ import annotations
@@ -39,18 +39,23 @@ def watch(spark: SparkSession, source: str, checkpoint: str, status_path: str, j
 
     With an interval it keeps watching; without, it works off what is there and ends.
     """
+    from tilescape.sources.tables import exists
+
     stream = parsed(spark.readStream.schema(REQUEST).json(source)).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["folder"])
 
     def run(batch: DataFrame, _: int) -> None:
         session, rows = batch.sparkSession, []
-        for r in batch.orderBy("folder").toLocalIterator():  # requests of people, a few a batch; the jobs are distributed
+        if exists(session, status_path):
+            batch = batch.join(session.read.schema(STATUS).parquet(status_path).select("folder"), "folder", "left_anti")
+        for r in first_request(batch.withColumn("line", F.concat_ws(",", "preset", F.col("rotate").cast("string")))).orderBy("folder").toLocalIterator():  # requests of people, a few a batch; the jobs are distributed
             try:
                 job(session, r["folder"], r["preset"], r["rotate"])
                 status = "DONE"
             except Exception as e:  # noqa: BLE001  one folder's failure must not stop the others
                 status = f"ERROR: {e}"[:500]
             rows.append((r["folder"], status, r["preset"], r["rotate"], r["ts"]))
-        session.createDataFrame(rows, STATUS).write.mode("append").parquet(status_path)
+        if rows:
+            session.createDataFrame(rows, STATUS).write.mode("append").parquet(status_path)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
