@@ -303,6 +303,14 @@ def test_a_folder_with_a_status_is_not_run_again(spark, tmp_path):
     assert done == ["f1"] and spark.read.parquet(f"{tmp_path}/status").count() == 1
 
 
+def test_distributed_communities_of_blobs(spark, blobs):
+    found = plan.cluster(spark, plan.Scope(blobs), distributed=True).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["tile_id"] // 60, set()).add(r["cluster"])
+    assert len(found) == 180 and all(len(g & h) == 0 for i, g in groups.items() for j, h in groups.items() if i < j)
+
+
 def test_score_colours(spark):
     got = [one(spark, values.score_colour(F.lit(v).cast("double"))) for v in (0.0, 0.5, 1.0, float("nan"))]
     assert got == ["#000080", "#7dff7a", "#800000", None]

@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     c = add("cluster", scope=True)
     c.add_argument("--resolution", type=float, default=EngineConfig.resolution)
     c.add_argument("--no-sort", action="store_true")
+    c.add_argument("--distributed", action="store_true")
     c = add("umap", scope=True)
     c.add_argument("--n-neighbors", type=int, default=EngineConfig.n_neighbors)
     c.add_argument("--min-dist", type=float, default=EngineConfig.min_dist)
@@ -107,7 +108,7 @@ def run(arguments: list[str] | None = None, spark: SparkSession | None = None):
     if a.command in ("cluster", "umap", "pca"):
         common = {"namespace": a.namespace, "parent": a.parent, "ids": tuple(a.filter), "overwrite": a.overwrite}
         if a.command == "cluster":
-            return store.cluster(a.model, a.slides, resolution=a.resolution, sort_clusters=not a.no_sort, **common)
+            return store.cluster(a.model, a.slides, resolution=a.resolution, sort_clusters=not a.no_sort, distributed=a.distributed, **common)
         options = {"n_components": a.n, "scaler": a.scaler} if a.command == "pca" else {}
         return store.scores(a.model, a.slides, kind=a.command, **options, **common)
     if a.command == "preview":

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilescape.config import EngineConfig
 from tilescape.operators import graph, knn, pca, scope, stats, umap
 from tilescape.operators.catalog import check_namespace
+from tilescape.sources import tables
 
 
 @dataclass(frozen=True)
@@ -51,10 +52,12 @@ def with_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.when(F.coalesce(fits, F.lit(False)), F.shiftleft(slide, 40) + tile).otherwise(wrong.cast("long")))
 
 
-def cluster(spark: SparkSession, what: Scope, config: EngineConfig = EngineConfig(), sort_clusters: bool = True) -> DataFrame:
+def cluster(spark: SparkSession, what: Scope, config: EngineConfig = EngineConfig(), sort_clusters: bool = True, distributed: bool = False) -> DataFrame:
     """slide_id, tile_id, cluster: joint z-scores, components for 95 % of the variance, neighbour graph, communities,
-    renumbered by their mean first component."""
-    rows = with_ids(stats.standardised(_checked(what.rows()).select("slide_id", "tile_id", F.col("features").cast("array<double>").alias("features")))).persist()
+    renumbered by their mean first component. Communities are found by one task, or, if ``distributed``, coarser ones by
+    rounds of label votes over the whole cluster."""
+    rows = with_ids(stats.standardised(_checked(what.rows()).select("slide_id", "tile_id", F.col("features").cast("array<double>").alias("features"))))
+    rows = tables.staged(rows, "scaled")
     n = rows.count()
     empty = spark.createDataFrame([], "slide_id long, tile_id long, cluster int")
     if n == 0:
@@ -64,7 +67,12 @@ def cluster(spark: SparkSession, what: Scope, config: EngineConfig = EngineConfi
     scores = pca.transform(rows, mean, components[:kept]).select("slide_id", "tile_id", "id", "values")
     near = knn.knn(scores.select("id", F.col("values").alias("features")), knn.default_k(n), block_rows=config.block_rows, n=n)
     edges = knn.undirected(knn.directed_edges(near)).withColumn("weight", F.lit(1.0)).withColumn("scope", F.lit(0).cast("long"))
-    found = graph.communities(edges, scores.select(F.lit(0).cast("long").alias("scope"), F.col("id").alias("node")), config.resolution, config.seed)
+    if distributed:
+        voted = label_rounds(edges, scores.select(F.col("id").alias("node")))
+        numbers = voted.select("community").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("community")) - 1)  # one row a community
+        found = voted.join(numbers, "community").select("node", F.col("n").alias("community"))
+    else:
+        found = graph.communities(edges, scores.select(F.lit(0).cast("long").alias("scope"), F.col("id").alias("node")), config.resolution, config.seed)
     out = scores.join(found.select(F.col("node").alias("id"), F.col("community").alias("cluster")), "id").select("slide_id", "tile_id", "cluster", F.col("values")[0].alias("value"))
     return (stats.reorder_clusters(out) if sort_clusters else out).select("slide_id", "tile_id", F.col("cluster").cast("int").alias("cluster"))
 
@@ -90,7 +98,8 @@ def component_scores(what: Scope, n_components: int = 2, scaler: str = "minmax")
 
 def layout(what: Scope, config: EngineConfig = EngineConfig(), n_components: int = 2) -> DataFrame:
     """slide_id, tile_id, values: a seeded layout of the fuzzy neighbour graph of joint z-scores."""
-    rows = with_ids(stats.standardised(_checked(what.rows()).select("slide_id", "tile_id", F.col("features").cast("array<double>").alias("features")))).persist()
+    rows = with_ids(stats.standardised(_checked(what.rows()).select("slide_id", "tile_id", F.col("features").cast("array<double>").alias("features"))))
+    rows = tables.staged(rows, "scaled")
     near = knn.knn(rows.select("id", "features"), config.n_neighbors, block_rows=config.block_rows)
     fuzzy = knn.fuzzy_graph(knn.fuzzy_weights(near, config.n_neighbors)).withColumn("scope", F.lit(0).cast("long"))
     placed = umap.embed(fuzzy, rows.select(F.lit(0).cast("long").alias("scope"), F.col("id").alias("node")), n_components=n_components, min_dist=config.min_dist, seed=config.seed)
@@ -113,13 +122,14 @@ def latent_rgb(latent: DataFrame) -> DataFrame:
 
 def label_rounds(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:
     """Distributed coarse communities (node, community) for graphs beyond one task: every round each node takes the
-    community most of its edge weight leads to, ties to the smaller; lineage is cut by checkpoint()."""
+    community most of its edge weight leads to, ties to the smaller; every round's labels are a table in the shared folder."""
     both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst"), F.col("src"), "weight"))
     labels = nodes.select("node", F.col("node").alias("community"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("best"))
-        labels = labels.join(best.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce(F.least("best", "community"), "community").alias("community")).checkpoint()
+        labels = labels.join(best.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce(F.least("best", "community"), "community").alias("community"))
+        labels = tables.staged(labels, "labels")
     return labels
 
 

@@ -118,18 +118,18 @@ class Store:
                 raise ValueError(f"no clusters at {model}/{name}/{parent}")
         return analysis.Scope(self.features(model, slide_ids), assigned, parent, tuple(ids)), name
 
-    def cluster(self, model: str, slide_ids: list[int], *, namespace: str | None = None, parent: str = "", ids: tuple[int, ...] = (), resolution: float | None = None, sort_clusters: bool = True, overwrite: bool = False) -> Result:
+    def cluster(self, model: str, slide_ids: list[int], *, namespace: str | None = None, parent: str = "", ids: tuple[int, ...] = (), resolution: float | None = None, sort_clusters: bool = True, distributed: bool = False, overwrite: bool = False) -> Result:
         what, name = self._scope(model, slide_ids, namespace, parent, ids)
         config = replace(self.config, resolution=self.config.resolution if resolution is None else resolution)
 
         def work() -> tuple[int, dict]:
-            found = analysis.cluster(self.spark, what, config, sort_clusters).select(F.lit(model).alias("model"), F.lit(name).alias("namespace"), F.lit(what.filter_path).alias("filter_path"), "slide_id", "tile_id", "cluster")
+            found = analysis.cluster(self.spark, what, config, sort_clusters, distributed).select(F.lit(model).alias("model"), F.lit(name).alias("namespace"), F.lit(what.filter_path).alias("filter_path"), "slide_id", "tile_id", "cluster")
             tables.write(found, self.root, "assignments", {"model": model, "namespace": name, "filter_path": what.filter_path})
             mine = self.table("assignments").where((F.col("model") == model) & (F.col("namespace") == name) & (F.col("filter_path") == what.filter_path))
             n = mine.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("c")).first()
             return n["n"], {"clusters": n["c"]}
 
-        return self._run("clusters", model, name, what.filter_path, {"resolution": config.resolution, "sort": sort_clusters, "slides": sorted(slide_ids)}, overwrite, work)
+        return self._run("clusters", model, name, what.filter_path, {"resolution": config.resolution, "sort": sort_clusters, "distributed": distributed, "slides": sorted(slide_ids)}, overwrite, work)
 
     def scores(self, model: str, slide_ids: list[int], *, kind: str = "pca", namespace: str | None = None, parent: str = "", ids: tuple[int, ...] = (), n_components: int = 2, scaler: str = "minmax", overwrite: bool = False) -> Result:
         """Component scores (kind pca) or a layout (kind umap), stored by name, such as pca2 or umap."""

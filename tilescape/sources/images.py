@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilescape.config import SLIDE_EXTENSIONS
-from tilescape.sources import tables, tiff
+from tilescape.sources import slide_library, tables, tiff
 
 #: Share by which a cached resolution may differ from the wanted one.
 MPP_TOLERANCE = 0.1
@@ -108,6 +108,14 @@ def open_slide(spark: SparkSession, path: str, patch_size: int, target_mpp: floa
         size = plain_images(spark, path).select("width", "height").first()
         info = SlideInfo(path, ((0, size["width"], size["height"], 1.0),), mpp)
         return image_tiles(spark, path, patch_size), info, 0
+    if not path.lower().endswith((".tif", ".tiff")):
+        resolution = mpp or slide_library.mpp(path)
+        if not resolution:
+            raise ValueError(f"{path} has no resolution; give mpp")
+        info = SlideInfo(path, slide_library.levels(path), resolution)
+        level = info.level_for(target_mpp)
+        slide_library.register(spark)
+        return spark.read.format("tile_slide").option("path", path).option("level", level).option("patch_size", patch_size).load(), info, level
     info = slide_info(path, mpp)
     level = info.level_for(target_mpp)
     tiff.register(spark)

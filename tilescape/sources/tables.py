@@ -29,6 +29,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for steps that read it again and again; gone with the process."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_forget, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended before the process
+        return
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{table}.parquet")
 
