@@ -64,6 +64,15 @@ def test_copies_are_stored_once_and_ids_come_back(spark, documents, library, row
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_large_stores_get_parts_by_their_bytes(spark, documents, library, monkeypatch):
+    monkeypatch.setattr(T, "PART_BYTES", 200)
+    rows = [(i, f"document number {i} of a few words " * (1 + i % 5)) for i in range(200)]
+    path = store(spark, documents(rows))
+    assert spark.read.parquet(f"{path}/manifest").count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = [tuple(r) for r in T.read_store(spark, path, tokenizer=PATH).orderBy("start").collect()]
+    assert got == expected(library, rows)
+
+
 def test_damage_is_found(spark, documents):
     path = store(spark, documents([(1, "a b c"), (2, "d e f")]))
     stored = [r.asDict() for r in spark.read.parquet(f"{path}/store").collect()]

@@ -53,6 +53,9 @@ GROUP_BYTES = 4 << 20
 #: White space other than the space and the line feed.
 _OTHER_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
+#: Bytes of ids of a part of the store, whose leaves one task hashes into a root.
+PART_BYTES = 128 << 20
+
 STORE = "part int, doc_id long, uid long, n_tokens long, local_start long, digests array<binary>, lens array<int>, held array<int>, shared array<int>, data binary, leaf binary"
 
 
@@ -417,7 +420,11 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, *, tokenizer: s
     notes = scratch.table(notes, "notes")
     none = F.lit(None).cast("array<int>")
     rows = notes.union(staged.select("doc_id", "uid", F.lit(1), none, none, "n_tokens", "digests", "lens", "data", "leaf"))
-    ordered = rows.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
+    held = (staged.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0) * width
+    parts = -(-held // PART_BYTES)
+    # large stores get as many parts as their bytes ask for; smaller ones the session's number, which Spark may lower
+    many = (parts,) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+    ordered = rows.repartitionByRange(*many, "doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
     ordered.mapInArrow(_lay_out(width), STORE).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/store")
     store = spark.read.schema(STORE).parquet(f"{path}/store")
     roots = store.select("part", "local_start", "n_tokens", "leaf").groupBy("part").applyInPandas(_roots, MANIFEST)
