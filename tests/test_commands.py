@@ -217,6 +217,13 @@ def test_the_job_of_a_folder(spark, slide, tmp_path):
     assert (tmp_path / "in" / "s_preview.png").exists() and (tmp_path / "in" / "s_thumb.png").exists()
 
 
+def test_benchmark_rows_and_file(spark, slide, tmp_path):
+    rows = commands.benchmark(spark, [slide[0]], str(tmp_path / "csv"), iterations=2, tile_size=128).collect()
+    assert [r["iteration"] for r in rows] == [1, 2] and all(r["tiles_per_sec"] == pytest.approx(r["total_tiles"] / r["elapsed_sec"]) for r in rows)
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == [c.split()[0] for c in commands.BENCHMARK.split(", ")] and back.count() == 2
+
+
 def test_strips_in_a_row_are_one_image(tmp_path):
     image = np.random.default_rng(5).integers(0, 255, (40, 30, 3), dtype=np.uint8)
     with open(tmp_path / "x.png", "wb") as f:

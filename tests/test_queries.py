@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and the contract's entry points."""
 
 import os
+import sys
 
 import duckdb
 import pytest
@@ -36,5 +37,20 @@ def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_without_the_llm_package(monkeypatch):
+    find = __spark_entry__.importlib.util.find_spec
+    monkeypatch.setattr(__spark_entry__.importlib.util, "find_spec", lambda name: None if name == "tilescape.llm" else find(name))
+    assert __spark_entry__.queries() == engine.QUERIES and __spark_entry__.oracle_sql() == engine.ORACLE_SQL
+
+
+def test_an_import_error_in_the_llm_package_is_not_hidden(monkeypatch):
+    if __spark_entry__.importlib.util.find_spec("tilescape.llm") is None:
+        pytest.skip("not installed")
+    monkeypatch.setitem(sys.modules, "tilescape.llm.queries", None)
+    monkeypatch.delattr("tilescape.llm.queries", raising=False)
+    with pytest.raises(ImportError):
+        __spark_entry__.queries()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 500

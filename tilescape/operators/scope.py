@@ -29,6 +29,12 @@ def unassigned(features: DataFrame, assignments: DataFrame) -> DataFrame:
     return features.join(assignments.select(*KEYS), KEYS, "left_anti")
 
 
+def in_first_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each combination of keys once, numbered from 0 in the order in which they first appear."""
+    first = rows.groupBy(*keys).agg(F.min(order).alias("first"))
+    return first.select(*keys, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first", *keys)) - 1).cast("long").alias("position"))  # one row a combination
+
+
 def file_slices(features: DataFrame) -> DataFrame:
     """Offsets of each slide in the concatenation of all, from one row per slide."""
     counts = features.groupBy("slide_id").agg(F.count("*").alias("n"))

@@ -334,28 +334,16 @@ def deep_zoom(spark: SparkSession, path: str, out: str, name: str = "slide", *,
     a folder that all executors share."""
     import os
 
-    from tilescape.operators import geometry
-
     info = images.slide_info(path)
     width, height = info.size
-    slides = spark.createDataFrame([(0, width, height)], "slide_id long, width long, height long")
-    native = spark.createDataFrame([(0, i, lv[3]) for i, lv in enumerate(info.levels)], "slide_id long, ordinal int, downsample double")
-    levels = geometry.dzi_levels(slides, tile_size)
-    rects = geometry.dzi_rects(levels, native, tile_size, overlap)
+    slides, levels, rects = _zoom_plan(spark, info, tile_size, overlap)
 
     def write(rows) -> None:
-        with open(path, "rb") as f:
-            found = tiff.pages(f)
-            for r in rows:
-                page = found[info.levels[r["native_level"]][0]]
-                h, w, _ = page.shape
-                y0, y1 = min(r["read_y"], h - 1), min(r["read_y"] + max(1, r["read_height"]), h)
-                x0, x1 = min(r["read_x"], w - 1), min(r["read_x"] + max(1, r["read_width"]), w)
-                block = tiff.strip_rows(f, page, y0, max(y1, y0 + 1))[:, x0 : max(x1, x0 + 1)]
-                folder = f"{out}/{name}_files/{r['level']}"
-                os.makedirs(folder, exist_ok=True)
-                with open(f"{folder}/{r['col']}_{r['row']}.png", "wb") as target:
-                    target.write(png.encode(png.scaled(block, r["tile_width"], r["tile_height"])))
+        for r, tile in _zoom_tiles(info, rows):
+            folder = f"{out}/{name}_files/{r['level']}"
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/{r['col']}_{r['row']}.png", "wb") as target:
+                target.write(png.encode(tile))
 
     rects.repartition("level", "row").foreachPartition(write)
     xml = slides.select(values.dzi_xml(F.lit(tile_size), F.lit(overlap), F.lit("png"), F.col("width"), F.col("height")).alias("x")).first()["x"]
@@ -364,6 +352,54 @@ def deep_zoom(spark: SparkSession, path: str, out: str, name: str = "slide", *,
     return Result("dzi", f"{out}/{name}.dzi", rects.count(), details={"max_level": levels.agg(F.max("level")).first()[0], "width": width, "height": height})
 
 
+def _zoom_plan(spark: SparkSession, info: images.SlideInfo, tile_size: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The slide, its deep-zoom levels, and the rectangles of their tiles."""
+    from tilescape.operators import geometry
+
+    slides = spark.createDataFrame([(0, *info.size)], "slide_id long, width long, height long")
+    native = spark.createDataFrame([(0, i, lv[3]) for i, lv in enumerate(info.levels)], "slide_id long, ordinal int, downsample double")
+    levels = geometry.dzi_levels(slides, tile_size)
+    return slides, levels, geometry.dzi_rects(levels, native, tile_size, overlap)
+
+
+def _zoom_tiles(info: images.SlideInfo, rows):
+    """Rectangles with their pixels, read from the slide file."""
+    with open(info.path, "rb") as f:
+        found = tiff.pages(f)
+        for r in rows:
+            page = found[info.levels[r["native_level"]][0]]
+            h, w, _ = page.shape
+            y0, y1 = min(r["read_y"], h - 1), min(r["read_y"] + max(1, r["read_height"]), h)
+            x0, x1 = min(r["read_x"], w - 1), min(r["read_x"] + max(1, r["read_width"]), w)
+            block = tiff.strip_rows(f, page, y0, max(y1, y0 + 1))[:, x0 : max(x1, x0 + 1)]
+            yield r, png.scaled(block, r["tile_width"], r["tile_height"])
+
+
+BENCHMARK = "file string, engine string, iteration int, width int, height int, max_level int, total_tiles int, elapsed_sec double, tiles_per_sec double"
+
+
+def benchmark(spark: SparkSession, slide_paths: list[str], out: str, *, iterations: int = 3, tile_size: int = 256, overlap: int = 0) -> DataFrame:
+    """Time the reading of all deep-zoom tiles of slides; one row a run, also as a CSV file with a header beneath ``out``."""
+    measured = []
+    for path in slide_paths:
+        info = images.slide_info(path)
+        _, levels, rects = _zoom_plan(spark, info, tile_size, overlap)
+        total, top = rects.count(), levels.agg(F.max("level")).first()[0]
+
+        def read(rows, info=info) -> None:
+            for _ in _zoom_tiles(info, rows):
+                pass
+
+        for i in range(1, iterations + 1):
+            began = time.perf_counter()
+            rects.repartition("level", "row").foreachPartition(read)
+            took = time.perf_counter() - began
+            measured.append((path.rsplit("/", 1)[-1], "tiff", i, *info.size, top, total, took, total / took))
+    rows = spark.createDataFrame(measured, BENCHMARK)
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(out)
+    return rows
+
+
 def thumbnail(path: str, out: str, width: int = -1, height: int = -1) -> Result:
     """A PNG thumbnail, read from the native level nearest to its scale and cropped to its aspect."""
     if width < 0 and height < 0:

@@ -92,9 +92,10 @@ def distinct_clusters(spark, d):
     return tiles(spark, d).select("slide_id", "cluster").distinct()
 
 
-@query(f"WITH {TILES} SELECT DISTINCT cluster, cluster % 3 AS target FROM tiles WHERE cluster >= 0")
+@query(f"WITH {TILES}, f AS (SELECT cluster, cluster % 3 AS target, min(tile_id) AS first FROM tiles WHERE cluster >= 0 GROUP BY ALL) SELECT cluster, target, (row_number() OVER (ORDER BY first) - 1)::BIGINT AS position FROM f")
 def subcluster_targets(spark, d):
-    return tiles(spark, d).where("cluster >= 0").select("cluster", (F.col("cluster") % 3).alias("target")).dropDuplicates()
+    t = tiles(spark, d).where("cluster >= 0").select("cluster", (F.col("cluster") % 3).alias("target"), "tile_id")
+    return S.in_first_order(t, ["cluster", "target"], "tile_id")
 
 
 @query(f"WITH {SCORES} SELECT slide_id, tile_id, round(1 - value, 6) AS value FROM scores")
