@@ -50,9 +50,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, up to COPIES times each, so that every source comes near its target; one row per copy taken."""
     scratch = Scratch(spark, "mix")
     rows, place = placed(scratch, docs)
+    copies = "_copies"
+    while copies in rows.columns:
+        copies = f"_{copies}"
     times = sum((F.col(f"taken_{t}") > 0).cast("int") for t in range(COPIES))
-    taken = mix(scratch, rows, most=COPIES, cut="whole", carry=place).select(*place, F.array_repeat(F.lit(0), times).alias("_copies")).where(F.size("_copies") > 0)
-    return rows.join(taken, list(place)).select(*docs.columns, F.explode("_copies").alias("_copy")).select(*docs.columns)
+    taken = mix(scratch, rows, most=COPIES, cut="whole", carry=place).select(*place, F.array_repeat(F.lit(0), times).alias(copies)).where(F.size(copies) > 0)
+    return rows.join(taken, list(place)).withColumn(copies, F.explode(copies)).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
