@@ -61,7 +61,7 @@ def test_run(spark):
 def test_stages_with_null_and_repeated_ids_and_clashing_names(spark, documents):
     prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(1, prose(1)), (1, prose(1)), (1, prose(2)), (None, prose(3)), (None, prose(4)), (5, prose(1) + " tail"), (6, None), (7, ""), (8, prose(5), None, None)]
-    df = documents(rows, _file="clash", _row=1, size=2, component_id=3, taken_0=4, _copies=5)
+    df = documents(rows, _file="clash", _row=1, size=2, component_id=3, taken_0=4, _copies=5, _metadata=6)
     deduped = P.near_dedup(spark, df, DATA)
     assert deduped.columns == df.columns
     assert sorted((repr(r["doc_id"]), r["text"] or "") for r in deduped.collect()) == sorted((repr(i), t or "") for i, t, *_ in [rows[0], *rows[2:5], *rows[6:]])  # two documents share the id 1

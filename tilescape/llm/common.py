@@ -80,7 +80,8 @@ def placed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, tuple[str, str
         names = [f"_{n}" for n in names]
 
     def with_places(df: DataFrame) -> DataFrame:
-        return df.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+        place = df.metadataColumn("_metadata")  # whatever the columns are called
+        return df.select("*", place["file_path"].alias(names[0]), place["row_index"].alias(names[1]))
 
     try:
         return with_places(docs), (names[0], names[1])
