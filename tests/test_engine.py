@@ -140,6 +140,35 @@ def test_ties_beyond_the_kept_candidates_go_to_the_smaller_id(spark):
     assert got == {(i, r + 1): int(j) for i in range(600) for r, j in enumerate(best[i])}
 
 
+def test_candidates_of_a_row_are_not_shuffled(spark, blobs):
+    """Rows go to the bands; nothing is dealt out anew after the neighbours are found."""
+    rows = blobs.select(F.col("tile_id").alias("id"), "features")
+    tree = knn.knn(rows, 5, block_rows=40, n=180)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in tree and tree.count("Exchange") == 1 and tree.index("MapInArrow") < tree.index("Exchange")  # the root comes first
+
+
+def test_a_band_keeps_the_first_of_equally_near_ones_whatever_the_chunks():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(80, 6)), 5, axis=0)[rng.permutation(400)]
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    for k, cut in ((7, 50), (60, 33), (500, 90)):
+        band = knn._Band(np.arange(100, 140), x[100:140], k)
+        for at in range(0, 400, cut):
+            band.meet(np.arange(400)[at : at + cut], x[at : at + cut])
+        assert (band.at == np.argsort(d2[100:140], axis=1, kind="stable")[:, :k]).all()
+
+
+def test_communities_of_neighbour_lists_are_those_of_their_edges(spark):
+    x = np.random.default_rng(6).normal(size=(300, 4))
+    rows = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    scope = F.lit(0).cast("long").alias("scope")
+    edges = knn.undirected(knn.directed_edges(knn.knn(rows, 12, block_rows=100))).select(scope, "src", "dst", F.lit(1.0).alias("weight"))
+    lists = knn.neighbour_lists(rows, 12, block_rows=100).select(scope, "at", F.col("i").alias("node"), "near")
+    expected = graph.communities(edges, rows.select(scope, F.col("id").alias("node"))).collect()
+    assert sorted(graph.list_communities(lists).collect()) == sorted(expected) and len(expected) == 300
+    assert len({r["community"] for r in expected}) > 3
+
+
 def connected_inside(labels, pairs):
     parent = {n: n for n in labels}
 

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by blocks: every pair of row blocks is one task, and per-row bests are merged."""
+"""Exact nearest neighbours: every band of rows meets all rows in one pass that keeps the best so far."""
 
 from __future__ import annotations
 
@@ -7,71 +7,133 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilescape.operators.stats import matrix
 
-BEST = "i long, j long, d2 double"
-
-
-def _both_ways(table: pa.Table, k: int) -> pa.Table:
-    """The k nearest of the other block's rows for each row of two blocks; of its own block's if there is but one."""
-    side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-    x = matrix(table.column("features").combine_chunks()) if table.num_rows else np.empty((0, 1))
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if table.num_rows and table.column("bi")[0] == table.column("bj")[0]:
-        return _nearest(x, ids, left, left, k)
-    return pa.concat_tables([_nearest(x, ids, left, right, k), _nearest(x, ids, right, left, k)])
-
-
-def _nearest(x: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> pa.Table:
-    """The k nearest of the right rows for each of the left ones."""
-    empty = pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
-    if not len(left) or not len(right):
-        return empty
-    order = right[np.argsort(ids[right], kind="stable")]
-    xr, jr = x[order], ids[order]
-    norms = (xr * xr).sum(1)
-    keep = min(len(order), k + 8)  # products rank roughly, differences decide
-    rounding = 8 * (x.shape[1] + 4) * np.finfo(float).eps
-    out: list[pa.Table] = []
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        xl = x[rows]
-        rough = norms[None, :] - 2 * (xl @ xr.T)
-        near = np.argpartition(rough, keep - 1, axis=1)[:, :keep] if keep < len(order) else np.tile(np.arange(len(order)), (len(rows), 1))
-        near.sort(axis=1)
-        d2 = ((xl[:, None, :] - xr[near]) ** 2).sum(2)
-        best = np.argsort(d2, axis=1, kind="stable")[:, : min(k, keep)]
-        r = np.arange(len(rows))[:, None]
-        near, d2 = near[r, best], d2[r, best]
-        if keep < len(order):
-            # rows that the products cannot tell from the k-th may be more than were kept
-            bound = np.partition(rough, min(k, keep) - 1, axis=1)[:, min(k, keep) - 1] + rounding * (norms.max() + (xl * xl).sum(1))
-            alike = rough <= bound[:, None]
-            for n in np.flatnonzero(alike.sum(1) > keep):
-                among = np.flatnonzero(alike[n])
-                exact = ((xl[n] - xr[among]) ** 2).sum(1)
-                first = np.argsort(exact, kind="stable")[: best.shape[1]]
-                near[n], d2[n] = among[first], exact[first]
-        out.append(pa.table({"i": np.repeat(ids[rows], best.shape[1]), "j": jr[near].ravel(), "d2": d2.ravel()}))
-    return pa.concat_tables(out)
+#: Rows of a band, and candidates, whose products are made at once; pairs whose differences are; neighbours a band keeps.
+TILE, CHUNK, PAIRS, KEPT = 512, 4096, 1 << 16, 1 << 23
+#: Blocks of rows in a band at most, and bands that there are at least if there are as many blocks.
+WIDE, BANDS = 4, 16
+
+
+class _Band:
+    """The k nearest so far of a band's rows. Candidates come in the order of their ids, so that of equally near ones
+    the earlier stays."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.norms = (x * x).sum(1)
+        self.d2, self.at = np.empty((len(x), 0)), np.empty((len(x), 0), np.int32)
+        self.seen: list[np.ndarray] = []
+        self.n = 0
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        norms = (y * y).sum(1)
+        slack = 16 * (y.shape[1] + 4) * np.finfo(float).eps * (norms.max() + self.norms)
+        doubled = -2 * y.T
+        width = min(self.k, self.n + len(y))
+        d2, at = (np.empty((len(self.x), width)), np.empty((len(self.x), width), np.int32)) if width > self.d2.shape[1] else (self.d2, self.at)
+        for first in range(0, len(self.x), TILE):
+            rows = slice(first, first + TILE)
+            d2[rows], at[rows] = self._best(rows, self.x[rows] @ doubled + norms, slack[rows], y, width)
+        self.d2, self.at = d2, at
+        self.seen.append(ids)
+        self.n += len(y)
+
+    def _best(self, rows: slice, rough: np.ndarray, slack: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Products tell which candidates may be among the nearest, differences decide."""
+        x, d2, at = self.x[rows], self.d2[rows], self.at[rows]
+        full = d2.shape[1] == self.k
+        worst = d2[:, -1] if full else np.full(len(x), np.inf)
+        if full:
+            limit = worst - self.norms[rows]
+        else:
+            limit = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] if len(y) > self.k else worst
+        r, c = np.nonzero(~(rough > (limit + slack)[:, None]))
+        exact = np.empty(len(r))
+        for i in range(0, len(r), PAIRS):
+            exact[i : i + PAIRS] = ((x[r[i : i + PAIRS]] - y[c[i : i + PAIRS]]) ** 2).sum(1)
+        if full:
+            nearer = ~(exact >= worst[r])
+            r, c, exact = r[nearer], c[nearer], exact[nearer]
+        if not len(r):
+            return d2, at
+        # new ones stand right of the kept ones in a matrix, filled up with NaN, which a stable sort leaves last
+        counts = np.bincount(r, minlength=len(x))
+        column = d2.shape[1] + np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        all_d2 = np.full((len(x), d2.shape[1] + counts.max()), np.nan)
+        all_at = np.zeros(all_d2.shape, np.int32)
+        all_d2[:, : d2.shape[1]], all_at[:, : d2.shape[1]] = d2, at
+        all_d2[r, column], all_at[r, column] = exact, c + self.n
+        order = np.argsort(all_d2, axis=1, kind="stable")[:, :width]
+        return np.take_along_axis(all_d2, order, 1), np.take_along_axis(all_at, order, 1)
+
+    def lists(self, positions: bool) -> Iterator[pa.RecordBatch]:
+        seen = np.concatenate(self.seen)
+        for first in range(0, len(self.ids), TILE):
+            ids, at = self.ids[first : first + TILE], self.at[first : first + TILE]
+            ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * at.shape[1])
+            lists = lambda v: pa.ListArray.from_arrays(ends, pa.array(v.ravel()))  # noqa: E731, B023
+            if positions:
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(seen, ids).astype(np.int32)), pa.array(ids), lists(at)], names=["at", "i", "near"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), lists(seen[at]), lists(self.d2[first : first + TILE])], names=["i", "j", "d2"])
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of equal values."""
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def _met(batches: Iterator[pa.RecordBatch], k: int, positions: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by band, side and id: a band's own rows (side 0), then all rows (side 1)."""
+    number, own, band = None, [], None
+    for batch in batches:
+        numbers, sides, ids = (batch.column(c).to_numpy() for c in ("band", "side", "id"))
+        for lo, hi in _runs(numbers * 2 + sides) if batch.num_rows else ():
+            if numbers[lo] != number:
+                if band is not None:
+                    yield from band.lists(positions)
+                number, own, band = numbers[lo], [], None
+            x = matrix(batch.column("features").slice(lo, hi - lo))
+            if not sides[lo]:
+                own.append((ids[lo:hi].copy(), x))
+            elif own or band is not None:
+                if band is None:
+                    band, own = _Band(*(np.concatenate(v) for v in zip(*own, strict=True)), k), []
+                for at in range(0, hi - lo, CHUNK):
+                    band.meet(ids[lo + at : min(lo + at + CHUNK, hi)].copy(), x[at : at + CHUNK])
+    if band is not None:
+        yield from band.lists(positions)
+
+
+def _lists(rows: DataFrame, k: int, block_rows: int, n: int | None, positions: bool) -> DataFrame:
+    n = rows.count() if n is None else n
+    blocks = max(1, math.ceil(n / block_rows))
+    wide = max(1, min(WIDE, KEPT // (k * block_rows)))
+    bands = max(min(blocks, BANDS), math.ceil(blocks / wide))
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+    band = F.pmod(F.xxhash64("id"), F.lit(bands)).cast("int")  # by hash, so that their size follows the rows and not the ids
+    # a row goes to every band as a candidate, and to its own band once more, ahead of them
+    met = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.lit(1).alias("side")))
+    met = rows.withColumn("to", F.explode(F.concat(met, F.array(F.struct(band.alias("band"), F.lit(0).alias("side")))))).select("to.band", "to.side", "id", "features")
+    dealt = met.repartition(8 * bands, "band").sortWithinPartitions("band", "side", "id")  # so many that few bands share a task
+    return dealt.mapInArrow(lambda it: _met(it, k, positions), "at int, i long, near array<int>" if positions else "i long, j array<long>, d2 array<double>")
 
 
 def knn(rows: DataFrame, k: int, *, block_rows: int = 4096, n: int | None = None) -> DataFrame:
     """(i, rank from 1, j, d2) of rows (id, features): the k nearest by Euclidean distance, the row itself included,
-    ties to the smaller id. Blocks are by hash, so that their size follows the rows and not the ids."""
-    n = rows.count() if n is None else n
-    blocks = max(1, math.ceil(n / block_rows))
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # every unordered pair of blocks is one group that serves both directions; a block meets itself once
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    met = rows.select("block", "id", "features", other)
-    met = met.select(F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "features")
-    part = met.groupBy("bi", "bj").applyInArrow(lambda t: _both_ways(t, k), BEST)
-    best = Window.partitionBy("i").orderBy("d2", "j")
-    return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("i", "rank", "j", "d2")
+    ties to the smaller id. What is shuffled are rows, once a band; neighbours leave their band's task as they are."""
+    near = _lists(rows, k, block_rows, n, False).select("i", F.posexplode(F.arrays_zip("j", "d2")).alias("rank", "near"))
+    return near.select("i", (F.col("rank") + 1).alias("rank"), "near.j", "near.d2")
+
+
+def neighbour_lists(rows: DataFrame, k: int, *, block_rows: int = 4096, n: int | None = None) -> DataFrame:
+    """(at, i, near) of the same: a row's position in the order of ids, its id, and the positions of its neighbours."""
+    return _lists(rows, k, block_rows, n, True)
 
 
 def default_k(n: int) -> int:

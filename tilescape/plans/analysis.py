@@ -65,14 +65,16 @@ def cluster(spark: SparkSession, what: Scope, config: EngineConfig = EngineConfi
     mean, components, ratios = pca.fit(rows)
     kept = pca.n_for_variance(ratios, config.variance)
     scores = pca.transform(rows, mean, components[:kept]).select("slide_id", "tile_id", "id", "values")
-    near = knn.knn(scores.select("id", F.col("values").alias("features")), knn.default_k(n), block_rows=config.block_rows, n=n)
-    edges = knn.undirected(knn.directed_edges(near)).withColumn("weight", F.lit(1.0)).withColumn("scope", F.lit(0).cast("long"))
+    points = scores.select("id", F.col("values").alias("features"))
     if distributed:
+        edges = knn.undirected(knn.directed_edges(knn.knn(points, knn.default_k(n), block_rows=config.block_rows, n=n))).withColumn("weight", F.lit(1.0))
         voted = label_rounds(edges, scores.select(F.col("id").alias("node")))
         numbers = voted.select("community").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("community")) - 1)  # one row a community
         found = voted.join(numbers, "community").select("node", F.col("n").alias("community"))
     else:
-        found = graph.communities(edges, scores.select(F.lit(0).cast("long").alias("scope"), F.col("id").alias("node")), config.resolution, config.seed)
+        near = knn.neighbour_lists(points, knn.default_k(n), block_rows=config.block_rows, n=n)
+        found = graph.list_communities(near.select(F.lit(0).cast("long").alias("scope"), "at", F.col("i").alias("node"), "near"), config.resolution, config.seed)
+        found = tables.staged(found, "communities")  # one row a tile; read twice, found once
     out = scores.join(found.select(F.col("node").alias("id"), F.col("community").alias("cluster")), "id").select("slide_id", "tile_id", "cluster", F.col("values")[0].alias("value"))
     return (stats.reorder_clusters(out) if sort_clusters else out).select("slide_id", "tile_id", F.col("cluster").cast("int").alias("cluster"))
 
