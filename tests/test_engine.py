@@ -1,5 +1,6 @@
 """Properties and golden cases of the parts that SQL cannot check."""
 
+import itertools
 import math
 import re
 
@@ -11,6 +12,7 @@ from tilescape.config import EngineConfig
 from tilescape.functions import blank, paths, values
 from tilescape.operators import catalog, embed, geometry, graph, knn, pca, scope, stats, umap
 from tilescape.plans import analysis as plan
+from tilescape.queries import geometry as geometry_queries
 from tilescape.sources import tables, tiff
 from tilescape.streaming import requests
 
@@ -314,6 +316,26 @@ def test_deep_zoom_tiles_are_made_once_and_never_joined(spark):
     assert len(made) == 3 and made[1] < join < made[2] and tree.count("Join") == 1  # the root comes first: rows and columns above the join
 
 
+def test_numbered_tiles_are_neither_shuffled_nor_sorted(spark):
+    tree = geometry_queries.tile_numbering(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    made = tree.index("Generate posexplode")  # the root comes first
+    assert all(made < m.start() for m in re.finditer("Exchange|Sort|Window", tree)) and "Window" in tree
+
+
+@pytest.mark.parametrize("band", [1, 3, 7, 1000])
+def test_numbers_run_on_over_bands_of_a_grid(spark, band):
+    sizes = [(0, 35, 50), (1, 9, 100), (2, 100, 9), (3, 70, 10), (4, 10, 70), (5, 20, 10), (4, 10, 70)]  # slide 4 twice
+    slides = spark.createDataFrame(sizes, "slide_id long, width long, height long")
+    got = geometry.numbered_grid(slides, 10, lambda col, row: (col * 7 + row * 13) % 5 != 0, band).collect()
+    expected = []
+    for slide, width, height in sizes:
+        kept = [row * (width // 10) + col for row in range(height // 10) for col in range(width // 10) if (col * 7 + row * 13) % 5]
+        expected += [(slide, tile) for tile in kept]
+    numbers = {}
+    expected = [(slide, tile, numbers.setdefault(slide, itertools.count()).__next__()) for slide, tile in sorted(expected)]
+    assert sorted(map(tuple, got)) == expected and len({r["slide_id"] for r in got}) == 4
+
+
 def test_each_pair_of_blocks_is_one_group(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 5))
